@@ -104,14 +104,13 @@ def densify(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     Each row emits the weeks up to the next one, so a gap costs what it spans.
     """
     w = spec.window(df)
+    day = F.col(spec.date)
     # An entity's last row spans only itself.
-    until = F.coalesce(F.date_sub(F.lead(spec.date).over(w), 7), F.col(spec.date))
-    weeks = F.explode(
-        F.sequence(F.col(spec.date), F.greatest(until, F.col(spec.date)), F.expr("interval 7 days"))
-    )
+    until = F.coalesce(F.date_sub(F.lead(spec.date).over(w), 7), day)
+    weeks = F.explode(F.sequence(day, F.greatest("_until", day), F.expr("interval 7 days")))
     other = [c for c in df.columns if c not in (spec.entity, spec.date)]
     spread = df.withColumn("_until", until).select(
-        spec.entity, F.col(spec.date).alias("_own"), *other, weeks.alias(spec.date)
+        spec.entity, day.alias("_own"), *other, weeks.alias(spec.date)
     )
     own = F.col("_own") == F.col(spec.date)
     return spread.select(

@@ -53,3 +53,14 @@ def checkpointed(df, eager: bool = True):
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager)
+
+
+def materialized(df, name: str):
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    For inputs that several jobs read: cuts lineage, survives lost executors,
+    and later jobs read only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
