@@ -6,7 +6,7 @@ from importlib import import_module
 
 from panelcast.catalog.registry import ORACLES, QUERIES
 
-MODULES = ("panel", "cleaning", "windows", "reports", "forecasts")
+MODULES = ("panel", "io", "cleaning", "windows", "reports", "forecasts", "uploads", "alerts")
 
 for _name in MODULES:
     import_module(f"panelcast.catalog.{_name}")

@@ -190,12 +190,12 @@ def forecast_long(spark, sf):
     over_forecast(
         f"""select province_code, province, latitude, longitude, risk_index, risk_level,
         case when risk_index >= 80 then 'Critico' else 'Epidemia' end as alert_type, prediction_date, trend,
-        week_2_forecast, week_3_forecast, week_4_forecast from ({_SUMMARY}) where risk_index >= 40"""
+        week_2_forecast, week_3_forecast, week_4_forecast from ({_SUMMARY}) where risk_index >= 30"""
     ),
 )
 def forecast_alerts(spark, sf):
-    """The threshold is a parameter; 40 here, as few entities end above 65."""
-    return O.alert_table(summary(spark, sf), threshold=40.0).orderBy(F.desc("risk_index"), "province")
+    """The threshold is a parameter; 30 here, as the last weeks end below 65."""
+    return O.alert_table(summary(spark, sf), threshold=30.0).orderBy(F.desc("risk_index"), "province")
 
 
 @query(

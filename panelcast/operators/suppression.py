@@ -10,6 +10,8 @@ functions are chained per entity, and each chunk then marks its own rows.
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,7 +84,7 @@ def mark_sent(
     times = stamped.select(F.col(entity).alias("k"), F.col("_t").alias("t")).distinct()
     chunked = times.withColumn("chunk", F.floor(F.col("t") / F.lit(span)).cast("long"))
 
-    def reduce_chunk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def reduce_chunk(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
         moments = np.sort(pdf["t"].to_numpy())
         bounds, exits = _chunk_function(moments, int(key[1]) * span, interval)
         return pd.DataFrame({"k": key[0], "chunk": key[1], "bound": bounds, "exit": exits})
@@ -91,7 +93,7 @@ def mark_sent(
         reduce_chunk, T.StructType([field("k", key_type), field("chunk"), field("bound"), field("exit")])
     )
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
         rows, state = [], NEVER
         for chunk, part in pdf.sort_values(["chunk", "bound"]).groupby("chunk", sort=True):
             rows.append((key[0], chunk, state))
@@ -104,7 +106,7 @@ def mark_sent(
         chain, T.StructType([field("k", key_type), field("chunk"), field("inherited")])
     )
 
-    def mark_chunk(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def mark_chunk(key: Any, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"k": [], "t": []})
         sent = _sent_times(np.sort(left["t"].to_numpy()), int(right["inherited"].iloc[0]), interval)
