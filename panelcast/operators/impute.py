@@ -19,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.scaling import column_stats
 from panelcast.session import checkpointed
 
 PARAMETERS = (
@@ -28,8 +29,7 @@ PARAMETERS = (
 
 
 def column_means(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(columns) if row[f"m{i}"] is not None}
+    return {c: s.mean for c, s in column_stats(df, columns).items()}
 
 
 @dataclass

@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Range = tuple[float, float]
 
 
-def fit_ranges(df: DataFrame, columns: list[str], null_as: float | None = 0.0) -> dict[str, Range]:
-    """(min, max) per column from one aggregate row; nulls count as ``null_as``."""
+class Stats(NamedTuple):
+    low: float
+    high: float
+    mean: float
+
+
+def column_stats(
+    df: DataFrame, columns: list[str], null_as: float | None = None
+) -> dict[str, Stats]:
+    """Min, max and mean per column from one aggregate row; all-null columns left out."""
     def value(c: str) -> Column:
         x = F.col(c).cast("double")
         return x if null_as is None else F.coalesce(x, F.lit(null_as))
 
     row = df.agg(
-        *[F.min(value(c)).alias(f"lo_{i}") for i, c in enumerate(columns)],
-        *[F.max(value(c)).alias(f"hi_{i}") for i, c in enumerate(columns)],
+        *[
+            F.struct(F.min(value(c)), F.max(value(c)), F.avg(value(c))).alias(f"s{i}")
+            for i, c in enumerate(columns)
+        ]
     ).first()
-    return {
-        c: (row[f"lo_{i}"], row[f"hi_{i}"])
-        for i, c in enumerate(columns)
-        if row[f"lo_{i}"] is not None
-    }
+    return {c: Stats(*row[i]) for i, c in enumerate(columns) if row[i][0] is not None}
+
+
+def fit_ranges(df: DataFrame, columns: list[str], null_as: float | None = 0.0) -> dict[str, Range]:
+    """(min, max) per column; nulls count as ``null_as``."""
+    return {c: (s.low, s.high) for c, s in column_stats(df, columns, null_as).items()}
 
 
 def scaled(x: Column, low: float, high: float) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelcast.functions.temporal import temporal_features
 from panelcast.operators.cleaning import apply_caps, clip_negative, dedup_first, ensure_date, fit_caps
 from panelcast.operators.impute import KnnImputer, MeanImputer
-from panelcast.operators.scaling import Range, apply_ranges, fit_ranges, inverse
+from panelcast.operators.scaling import Range, apply_ranges, column_stats, inverse
 from panelcast.operators.windows import (
     LAG_COLUMNS,
     ROLLING_COLUMNS,
@@ -22,6 +22,7 @@ from panelcast.operators.windows import (
     rolling_mean_columns,
     rolling_std_columns,
 )
+from panelcast.session import materialized
 from panelcast.spec import PanelSpec, numeric_columns, present
 
 
@@ -108,19 +109,19 @@ class FeaturePipeline:
 
     def fit(self, df: DataFrame) -> FeaturePipelineModel:
         spec = self.spec
-        base = clean(df, spec)
+        # Read by the caps, then by the statistics.
+        base = materialized(clean(df, spec), "clean")
         caps = fit_caps(base)
         features = add_features(apply_caps(base, caps), spec)
-        fixed = (spec.target, spec.year, spec.week, "month")
-        columns = numeric_columns(features, exclude=fixed)
-        if self.imputer == "knn":
-            fitted = KnnImputer(columns, k=self.neighbours).fit(features)
-        else:
-            fitted = MeanImputer(columns).fit(features)
+        calendar = (spec.year, spec.week, "month")
         # Nothing the imputers fill in leaves the observed range of a column.
-        known = numeric_columns(features, exclude=fixed[1:])
-        ranges = fit_ranges(features, known, null_as=None)
+        stats = column_stats(features, numeric_columns(features, exclude=calendar))
+        ranges = {c: (x.low, x.high) for c, x in stats.items()}
         target = ranges.pop(spec.target, (0.0, 1.0))
+        if self.imputer == "knn":
+            fitted = KnnImputer(list(ranges), k=self.neighbours).fit(features)
+        else:
+            fitted = MeanImputer(list(ranges), {c: stats[c].mean for c in ranges})
         return FeaturePipelineModel(spec, caps, fitted, ranges, target)
 
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
@@ -39,12 +41,11 @@ CALENDAR = ("year", "week", "month")
 
 
 def forest(**params) -> RandomForestRegressor:
-    """Larger node groups than the default, for fewer passes over the data."""
-    return RandomForestRegressor(maxMemoryInMB=1024, **(FOREST | params))
+    return RandomForestRegressor(**(FOREST | params))
 
 
 def boosted(**params) -> GBTRegressor:
-    return GBTRegressor(maxMemoryInMB=1024, **(BOOSTED | params))
+    return GBTRegressor(**(BOOSTED | params))
 
 
 def tabular(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -105,15 +106,29 @@ class HorizonModels:
         return HorizonModels(models, features, back, names)
 
 
-def fit_horizons(estimator, df: DataFrame, features: str, back, names: list[str], horizon: int = HORIZON) -> HorizonModels:
-    known = df.where(F.col(features).isNotNull())
-    models = [
-        estimator.copy()
-        .setFeaturesCol(features)
-        .setLabelCol(f"target_week_{h}")
-        .fit(known)
-        for h in range(1, horizon + 1)
-    ]
+def spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """At least one partition per core, rows placed by key so that a run repeats.
+
+    A small table read from one file would otherwise train in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, df.rdd.getNumPartitions()), *by).sortWithinPartitions(*by)
+
+
+def fit_horizons(
+    estimator, df: DataFrame, features: str, back, names: list[str], by: list[str], horizon: int = HORIZON
+) -> HorizonModels:
+    """One fit per horizon on the same rows; the fits share the cluster."""
+    targets = [f"target_week_{h}" for h in range(1, horizon + 1)]
+    rows = spread(df.where(F.col(features).isNotNull()).select(*by, features, *targets), by)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(target: str):
+        return estimator.copy().setFeaturesCol(features).setLabelCol(target).fit(rows)
+
+    with ThreadPool(horizon) as pool:
+        models = pool.map(inheritable_thread_target(df.sparkSession)(fit), targets)
+    rows.unpersist()
     return HorizonModels(models, features, back, names)
 
 
@@ -128,6 +143,10 @@ class Prepared:
     val_start: date
     test_start: date
 
+    @property
+    def keys(self) -> list[str]:
+        return [self.pipeline.spec.entity, self.pipeline.spec.date]
+
     @property
     def train(self) -> DataFrame:
         """Rows whose last target lies before the validation period."""
@@ -178,7 +197,9 @@ def prepare(panel: DataFrame, spec: PanelSpec = PanelSpec(), imputer: str = "mea
 
 def train_forest(data: Prepared, df: DataFrame | None = None, **params) -> HorizonModels:
     rows = tabular(data.train if df is None else df, data.tabular_names)
-    return fit_horizons(forest(**params), rows, "features", data.pipeline.inverse_target, data.tabular_names)
+    return fit_horizons(
+        forest(**params), rows, "features", data.pipeline.inverse_target, data.tabular_names, data.keys
+    )
 
 
 def with_sequences(data: Prepared, spec: PanelSpec = PanelSpec()) -> DataFrame:
@@ -188,7 +209,9 @@ def with_sequences(data: Prepared, spec: PanelSpec = PanelSpec()) -> DataFrame:
 def train_boosted(data: Prepared, spec: PanelSpec = PanelSpec(), **params) -> HorizonModels:
     rows = with_sequences(data, spec).where(F.col("target_date") < F.lit(data.val_start))
     names = [f"{c}_t{t}" for t in range(1, SEQUENCE_LENGTH + 1) for c in data.sequence_names]
-    return fit_horizons(boosted(**params), rows, "sequence", data.pipeline.inverse_target, names)
+    return fit_horizons(
+        boosted(**params), rows, "sequence", data.pipeline.inverse_target, names, data.keys
+    )
 
 
 def persistence(data: Prepared, df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
