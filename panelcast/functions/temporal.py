@@ -15,7 +15,7 @@ RAINY_SEASON = (18, 44)
 
 def week_start(date: Column) -> Column:
     """Monday of the week of ``date``."""
-    return F.date_trunc("week", date).cast("date")
+    return F.date_sub(date, F.weekday(date))
 
 
 def iso_year(date: Column) -> Column:

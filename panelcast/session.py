@@ -10,9 +10,18 @@ from pyspark.sql import SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def local_session(cores: str = "8", app: str = "panelcast", memory: str = "8g") -> SparkSession:
-    """A session for tests and the bench; a cluster brings its own."""
-    return (
+# Made-up folder of a local session without the setting, by application.
+_made: dict[str, str] = {}
+
+
+def local_session(
+    cores: str = "8", app: str = "panelcast", memory: str = "8g", **settings: str
+) -> SparkSession:
+    """A session for tests and the bench; a cluster brings its own.
+
+    ``settings`` are further options, with ``_`` for ``.`` in their names.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -21,8 +30,10 @@ def local_session(cores: str = "8", app: str = "panelcast", memory: str = "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name.replace("_", "."), value)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,14 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     A machine-local folder is made up only for a local master, where driver and
     executors are the same machine; a cluster without the setting is an error.
     """
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    context = spark.sparkContext
+    named = context.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="panelcast-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    if context.applicationId not in _made:
+        _made[context.applicationId] = tempfile.mkdtemp(prefix="panelcast-")
+    return _made[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
