@@ -94,35 +94,24 @@ def concat_sources(frames: list[DataFrame]) -> DataFrame:
 
 
 def read_upload_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows that parse, raw text of rows that do not).
+    """(typed rows, records that hold a value of the wrong type, as JSON).
 
     Only ``.csv`` files with the required columns in the header are accepted.
+    Values are read as text and cast here, so that what counts as broken does
+    not depend on which columns a query goes on to use.
     """
     if not path.rstrip("/").endswith(".csv"):
         raise ValueError("only .csv uploads are accepted")
-    header = spark.read.option("header", True).csv(path)
-    require_columns(header, REQUIRED_COLUMNS)
+    raw = require_columns(spark.read.option("header", True).csv(path), REQUIRED_COLUMNS)
     types = {f.name: f.dataType for f in T.StructType.fromDDL(schemas.UPLOAD).fields}
-    # The order of the file's columns, with the known types.
-    schema = T.StructType(
-        [T.StructField(c, types.get(c, T.StringType())) for c in header.columns]
-        + [T.StructField("_corrupt", T.StringType())]
-    )
-    # Every column is needed, so that a value broken in any of them counts.
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("enforceSchema", True)
-        .csv(path)
-    )
-    wanted = [c for c in types if c in header.columns]
-    whole = raw.select(*wanted, "_corrupt")
-    return (
-        whole.where(F.col("_corrupt").isNull()).drop("_corrupt"),
-        whole.where(F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("record")),
+    names = [c for c in types if c in raw.columns]
+    typed = {c: F.trim(c).try_cast(types[c]) for c in names}
+    broken = reduce(
+        lambda a, b: a | b, [F.col(c).isNotNull() & typed[c].isNull() for c in names]
     )
+    good = raw.where(~broken).select(*[typed[c].alias(c) for c in names])
+    bad = raw.where(broken).select(F.to_json(F.struct(*raw.columns)).alias("record"))
+    return no_nan(good), bad
 
 
 def read_upload_json(spark: SparkSession, path: str) -> DataFrame:
