@@ -20,7 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators.scaling import column_stats
-from panelcast.session import checkpointed
+from panelcast.session import checkpointed, materialized
+
+# Rows in the fullest cell of the first round.
+CELL_ROWS = 256
 
 PARAMETERS = (
     "columns array<string>, pivots array<string>, k int, widest double, "
@@ -84,11 +87,29 @@ class KnnImputer:
         self.means = {c: s["mean"] for c, s in stats.items() if s["mean"] is not None}
         ranges = [max(stats[c]["range"] or 0.0, 1e-9) for c in pivots]
         self.widest = max(ranges)
+        donors = values.groupBy(*self.columns).agg(F.count(F.lit(1)).alias("copies"))
+        # Every round of the search reads them.
+        self.donors = materialized(donors, "donors")
         # Cells that would hold about k donors each if these spread evenly.
-        self.first_width = (prod(ranges) * self.k / max(row["n"], 1)) ** (1.0 / len(pivots))
-        self.donors = values.groupBy(*self.columns).agg(F.count(F.lit(1)).alias("copies"))
+        even = (prod(ranges) * self.k / max(row["n"], 1)) ** (1.0 / len(pivots))
+        self.first_width = self._fit_width(max(even, 1e-9))
         return self
 
+    def _fit_width(self, width: float) -> float:
+        """Narrow the first cells until the fullest one is small, wherever the
+        data crowds; starting narrow costs a few more rounds, not more pairs."""
+        for _ in range(12):
+            fullest = (
+                self.donors.groupBy(*[self._cell(F.col(p), width) for p in self.pivots])
+                .agg(F.count(F.lit(1)).alias("n"))
+                .agg(F.max("n"))
+                .first()[0]
+            )
+            if (fullest or 0) <= CELL_ROWS:
+                break
+            width /= 2
+        return width
+
     def transform(self, df: DataFrame, key: list[str]) -> DataFrame:
         """``df`` with nulls of the fitted columns filled; ``key`` is unique."""
         typed = df.withColumns({c: F.col(c).cast("double") for c in self.columns})
@@ -160,6 +181,9 @@ class KnnImputer:
             .where(F.col("v").isNotNull())
             .withColumn("distance", F.sqrt(share * sum(squares[1:], squares[0])))
         )
+        if width <= self.widest:
+            # Only what lies within a cell width can settle a row this round.
+            pairs = pairs.where(F.col("distance") <= F.lit(width))
         order = Window.partitionBy(*key, "target").orderBy("distance", *self.columns)
         near = pairs.select(*key, "target", "v", "copies", "distance", F.row_number().over(order).alias("rn")).where(
             F.col("rn") <= self.k

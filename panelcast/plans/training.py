@@ -107,12 +107,12 @@ class HorizonModels:
 
 
 def spread(df: DataFrame, by: list[str]) -> DataFrame:
-    """At least one partition per core, rows placed by key so that a run repeats.
-
-    A small table read from one file would otherwise train in one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, df.rdd.getNumPartitions()), *by).sortWithinPartitions(*by)
+    """Rows placed and ordered by key, so that a run repeats; no fewer
+    partitions than cores, as a table from one file would train in one task."""
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(spark.sparkContext.defaultParallelism, wanted)
+    return df.repartition(parts, *by).sortWithinPartitions(*by)
 
 
 def fit_horizons(

@@ -8,6 +8,7 @@ Nothing that is being read is ever overwritten.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -66,9 +67,12 @@ def start_ingestion(
     """Ingest everything that has landed, then stop."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        # Two writes, one run of the stateful part.
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         good, bad = check_batch(batch, domain, spec)
         good.write.mode("overwrite").parquet(f"{target}/log/batch_id={batch_id}")
         bad.write.mode("overwrite").parquet(f"{target}/quarantine/batch_id={batch_id}")
+        batch.unpersist()
 
     return (
         without_redelivery(uploads, ts, spec)
