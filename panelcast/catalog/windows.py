@@ -266,10 +266,9 @@ def _customer_sql() -> str:
 @query("customer_features", _customer_sql())
 def customer_features(spark, sf):
     """All lags and rolling statistics on the panel that grows with the data."""
-    panel = B.customer_months(spark, sf)
-    w, names = B.CUSTOMER_SPEC.window(panel), ["cases", "rainfall_mm"]
-    lags = W.lag_columns(w, names)
-    rolls = W.rolling_mean_columns(w, names) | W.rolling_std_columns(w, names)
-    return panel.withColumns(lags | rolls).select(
-        "entity", text("date"), *lags, *[half_up(c, 4).alias(c) for c in rolls]
-    )
+    names = ["cases", "rainfall_mm"]
+    panel = W.add_lags(B.customer_months(spark, sf), B.CUSTOMER_SPEC, names)
+    made = W.add_rolling(panel, B.CUSTOMER_SPEC, names)
+    rolls = [c for c in made.columns if "_roll" in c]
+    lags = [c for c in made.columns if "_lag" in c]
+    return made.select("entity", text("date"), *lags, *[half_up(c, 4).alias(c) for c in rolls])

@@ -1,7 +1,8 @@
 """Alert suppression in batch: an alert is sent only if the last *sent* one of
 its entity is more than the interval old.
 
-The rule is sequential, yet an entity need not fit in one task. Two sent alerts
+The rule is sequential, yet an entity need not fit in one task. Entities with few
+alerts are folded as they are. For the others: two sent alerts
 are more than an interval apart, so what a time chunk inherits is one number,
 the last sent time before it, and only its effect on the first interval of the
 chunk matters. Each (entity, chunk) is reduced to that step function, the
@@ -14,7 +15,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 INTERVAL_SECONDS = 21600
 # A chunk spans this many intervals (28 of six hours are a week).
 CHUNK_INTERVALS = 28
+# Entities with no more moments than this are folded in one array.
+FEW = 1000
 NEVER = -(2**62)
 
 
@@ -66,22 +69,22 @@ def _sent_times(times: np.ndarray, inherited: int, interval: int) -> np.ndarray:
     return np.array(sent, dtype="int64")
 
 
-def mark_sent(
-    alerts: DataFrame,
-    entity: str,
-    ts: str,
-    interval_seconds: int = INTERVAL_SECONDS,
-    chunk_intervals: int = CHUNK_INTERVALS,
-) -> DataFrame:
-    """``alerts`` with a boolean ``sent``."""
-    interval = interval_seconds * 1_000_000
-    span = interval * chunk_intervals
-    key_type = alerts.schema[entity].dataType
-    field = lambda n, t=T.LongType(): T.StructField(n, t)
+def _fold_few(times: DataFrame, interval: int) -> DataFrame:
+    """Sent moments of entities with few of them: one fold over a short array."""
+    listed = times.groupBy("k").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    start = F.struct(F.lit(NEVER).alias("last"), F.array().cast("array<bigint>").alias("sent"))
 
-    stamped = alerts.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    # Copies of a moment collapse before the shuffle.
-    times = stamped.select(F.col(entity).alias("k"), F.col("_t").alias("t")).distinct()
+    def step(state: Column, t: Column) -> Column:
+        due = t - state["last"] > F.lit(interval)
+        return F.when(due, F.struct(t.alias("last"), F.array_append(state["sent"], t).alias("sent"))).otherwise(state)
+
+    return listed.select("k", F.explode(F.aggregate("t", start, step)["sent"]).alias("t"))
+
+
+def _chain_many(times: DataFrame, interval: int, span: int) -> DataFrame:
+    """Sent moments of entities with many of them, chunk by chunk."""
+    key_type = times.schema["k"].dataType
+    field = lambda n, t=T.LongType(): T.StructField(n, t)
     chunked = times.withColumn("chunk", F.floor(F.col("t") / F.lit(span)).cast("long"))
 
     def reduce_chunk(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -112,14 +115,37 @@ def mark_sent(
         sent = _sent_times(np.sort(left["t"].to_numpy()), int(right["inherited"].iloc[0]), interval)
         return pd.DataFrame({"k": key[0], "t": sent})
 
-    sent = (
+    return (
         chunked.groupBy("k", "chunk")
         .cogroup(entries.groupBy("k", "chunk"))
         .applyInPandas(mark_chunk, T.StructType([field("k", key_type), field("t")]))
-        .select(F.col("k").alias(entity), F.col("t").alias("_t"), F.lit(True).alias("_sent"))
     )
+
+
+def mark_sent(
+    alerts: DataFrame,
+    entity: str,
+    ts: str,
+    interval_seconds: int = INTERVAL_SECONDS,
+    chunk_intervals: int = CHUNK_INTERVALS,
+    few: int = FEW,
+) -> DataFrame:
+    """``alerts`` with a boolean ``sent``.
+
+    Entities with at most ``few`` moments take the fold, the others the chunks;
+    both give the same answer.
+    """
+    interval = interval_seconds * 1_000_000
+    stamped = alerts.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    # Copies of a moment collapse before the shuffle.
+    times = stamped.select(F.col(entity).alias("k"), F.col("_t").alias("t")).distinct()
+    many = times.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select("k")
+    sent = _fold_few(times.join(many, "k", "left_anti"), interval).unionByName(
+        _chain_many(times.join(many, "k", "left_semi"), interval, interval * chunk_intervals)
+    )
+    flags = sent.select(F.col("k").alias(entity), F.col("t").alias("_t"), F.lit(True).alias("_sent"))
     return (
-        stamped.join(sent, [entity, "_t"], "left")
+        stamped.join(flags, [entity, "_t"], "left")
         .withColumn("sent", F.coalesce("_sent", F.lit(False)))
         .select(*alerts.columns, "sent")
     )

@@ -66,13 +66,61 @@ def add_lags(df: DataFrame, spec: PanelSpec = PanelSpec(), columns=LAG_COLUMNS,
     return df.withColumns(lag_columns(spec.window(df), present(df, columns), lags))
 
 
+def _merge(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """Count, mean and squared deviations of two blocks taken together."""
+    n = a["n"] + b["n"]
+    gap = b["mean"] - a["mean"]
+    share = F.coalesce(F.try_divide(b["n"], n), F.lit(0.0))
+    return {
+        "n": n,
+        "mean": a["mean"] + gap * share,
+        "m2": a["m2"] + b["m2"] + gap * gap * a["n"] * share,
+    }
+
+
 def add_rolling(
     df: DataFrame, spec: PanelSpec = PanelSpec(), columns=ROLLING_COLUMNS, windows=ROLLING_WINDOWS
 ) -> DataFrame:
-    names, w = present(df, columns), spec.window(df)
-    return df.withColumns(
-        rolling_mean_columns(w, names, windows) | rolling_std_columns(w, names, windows)
+    """Rolling means and sample deviations of several lengths.
+
+    Where all lengths are multiples of the shortest, only that one slides over
+    the rows; the longer ones merge its value here with its values further back.
+    Same shuffle and sort, a fraction of the updates per row.
+    """
+    names, w, step = present(df, columns), spec.window(df), min(windows)
+    if any(n % step for n in windows):
+        return df.withColumns(
+            rolling_mean_columns(w, names, windows) | rolling_std_columns(w, names, windows)
+        )
+    frame = w.rowsBetween(-(step - 1), 0)
+    blocks = df.withColumns(
+        {
+            f"_{c}_0": F.struct(
+                F.count(c).over(frame).cast("double").alias("n"),
+                F.avg(c).over(frame).alias("mean"),
+                F.var_pop(c).over(frame).alias("var"),
+            )
+            for c in names
+        }
     )
+    count = max(windows) // step
+    earlier = {f"_{c}_{i}": F.lag(f"_{c}_0", i * step).over(w) for c in names for i in range(1, count)}
+    made = {}
+    for c in names:
+        total = None
+        for i in range(count):
+            zero = lambda part: F.coalesce(F.col(f"_{c}_{i}.{part}"), F.lit(0.0))  # noqa: B023, E731
+            block = {"n": zero("n"), "mean": zero("mean"), "m2": zero("var") * zero("n")}
+            total = block if total is None else _merge(total, block)
+            length = (i + 1) * step
+            if length in windows:
+                some = total["n"] > 0
+                made[f"{c}_roll{length}w_mean"] = F.when(some, total["mean"])
+                made[f"{c}_roll{length}w_std"] = F.coalesce(
+                    F.sqrt(F.try_divide(F.greatest(total["m2"], F.lit(0.0)), total["n"] - 1)), F.lit(0.0)
+                )
+    helpers = [f"_{c}_{i}" for c in names for i in range(count)]
+    return blocks.withColumns(earlier).withColumns(made).drop(*helpers)
 
 
 def add_targets(

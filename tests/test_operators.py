@@ -73,6 +73,21 @@ def test_rolling_of_one_row(spark):
     assert row["cases_roll4w_mean"] == 5.0 and row["cases_roll4w_std"] == 0.0
 
 
+def test_merged_rolling_equals_plain(spark, series):
+    gaps = series.withColumn("cases", F.expr("if(cases > 17, null, cases + 1e6)"))
+    w = SPEC.window(gaps)
+    plain = W.rolling_mean_columns(w, ["cases"]) | W.rolling_std_columns(w, ["cases"])
+    want = gaps.select("province", "date", *[c.alias(n) for n, c in plain.items()])
+    got = W.add_rolling(gaps, columns=("cases",)).select(*want.columns)
+    for a, b in zip(rows(got, "province", "date"), rows(want, "province", "date")):
+        assert a[2:] == pytest.approx(b[2:], rel=1e-9, abs=1e-7)
+
+
+def test_odd_lengths_slide_on_their_own(series):
+    made = W.add_rolling(series, columns=("cases",), windows=(3, 4)).where("province = 'b'").orderBy("date")
+    assert made.collect()[1]["cases_roll3w_mean"] == 3.5
+
+
 def test_windows_stay_in_the_entity(series):
     first = W.add_lags(series, columns=("cases",), lags=(1,)).where("date = '2020-01-06'")
     assert [r["cases_lag1w"] for r in first.collect()] == [None, None]
@@ -213,11 +228,12 @@ def marked(spark, data, **kw):
 
 def test_suppression_is_strict_and_counts_from_the_sent(spark):
     data = [("a", 0), ("a", 10000), ("a", 21600), ("a", 21601), ("b", 5)]
-    assert marked(spark, data) == {("a", 0), ("a", 21601), ("b", 5)}
+    assert marked(spark, data) == marked(spark, data, few=0) == {("a", 0), ("a", 21601), ("b", 5)}
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 28])
-def test_suppression_equals_brute_force(spark, chunk):
+@pytest.mark.parametrize("few", [0, 100, 5000])
+@pytest.mark.parametrize("chunk", [1, 28])
+def test_suppression_equals_brute_force(spark, chunk, few):
     rng = random.Random(chunk)
     data = [("hot", rng.randrange(0, 4_000_000)) for _ in range(3000)]
     data += [("dense", i * 60) for i in range(2000)]
@@ -225,7 +241,7 @@ def test_suppression_equals_brute_force(spark, chunk):
     want = {
         (k, t) for k in ("hot", "dense", "rare") for t in brute_sent([s for n, s in data if n == k], 21600)
     }
-    assert marked(spark, data, chunk_intervals=chunk) == want
+    assert marked(spark, data, chunk_intervals=chunk, few=few) == want
 
 
 def test_normalize_and_lookup(spark):
