@@ -60,7 +60,10 @@ def alert_digest(spark, sf):
     )
 
 
-@query("alert_stream", f"{_CHAIN} select user_id, epoch_us(ts) as sent_us from chain where ts is not null")
+@query(
+    "alert_stream",
+    f"{_CHAIN} select user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as sent_at from chain where ts is not null",
+)
 def alert_stream(spark, sf):
     """Sent alerts from a stream over the landed files."""
     schema = B.table(spark, sf, "events").schema
@@ -76,4 +79,4 @@ def alert_stream(spark, sf):
     )
     run.awaitTermination()
     made = spark.read.parquet(f"{target}/sent")
-    return made.select("user_id", F.unix_micros("ts").alias("sent_us"))
+    return made.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("sent_at"))

@@ -19,6 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.session import send_code
+
+send_code(__name__)
+
 # Fixed value: six hours, in seconds; the comparison is strict.
 INTERVAL_SECONDS = 21600
 # A chunk spans this many intervals (28 of six hours are a week).

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+def send_code(module: str) -> None:
+    """Send the functions of a module along with the tasks that call them, so
+    that executors need not have this package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 # Made-up folder of a local session without the setting, by application.
 _made: dict[str, str] = {}
 

@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from panelcast.operators.suppression import INTERVAL_SECONDS
+from panelcast.session import send_code
+
+send_code(__name__)
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
