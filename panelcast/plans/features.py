@@ -15,7 +15,13 @@ from panelcast.functions.temporal import temporal_features
 from panelcast.operators.cleaning import apply_caps, clip_negative, dedup_first, ensure_date, fit_caps
 from panelcast.operators.impute import KnnImputer, MeanImputer
 from panelcast.operators.scaling import Range, apply_ranges, column_stats, inverse
-from panelcast.operators.windows import add_lags, add_rolling
+from panelcast.operators.windows import (
+    LAG_COLUMNS,
+    ROLLING_COLUMNS,
+    lag_columns,
+    rolling_mean_columns,
+    rolling_std_columns,
+)
 from panelcast.session import materialized
 from panelcast.spec import PanelSpec, numeric_columns, present
 
@@ -28,8 +34,19 @@ def clean(df: DataFrame, spec: PanelSpec, order: list[str | Column] | None = Non
 
 
 def add_features(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Lags, rolling statistics and calendar columns, with one shuffle and one sort."""
-    return add_rolling(add_lags(df, spec), spec).withColumns(
+    """Lags, rolling statistics and calendar columns in one window pass.
+
+    With this many columns the merged form of ``add_rolling`` makes expressions
+    too large to compile well, so every length slides on its own here.
+    """
+    w = spec.window(df)
+    rolled = present(df, ROLLING_COLUMNS)
+    windows = (
+        lag_columns(w, present(df, LAG_COLUMNS))
+        | rolling_mean_columns(w, rolled)
+        | rolling_std_columns(w, rolled)
+    )
+    return df.withColumns(windows).withColumns(
         temporal_features(F.col(spec.week), F.col(spec.date))
     )
 
