@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.session import materialized, send_code
+from panelcast import session
+from panelcast.session import materialized
 
 #: Labelled rows whose remainder is 0 are never learned from.
 FOLDS = 5
@@ -23,10 +25,21 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
                       F.lit(False))
 
 
+def send_code(*modules: str) -> None:
+    """Send this module's functions and those of ``modules`` with the tasks that call them."""
+    for module in (__name__, *modules):
+        session.send_code(module)
+
+
+def strings(values: pd.Series) -> list[str | None]:
+    """A column of text as a list, nulls as None."""
+    return [x if isinstance(x, str) else None for x in values.to_numpy(object)]
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if its rows, counted first, stay under BROADCAST_ROWS; else as it is, so
     that Spark shuffles. For written tables, where a count is cheap."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-__all__ = ["BROADCAST_ROWS", "FOLDS", "held_out", "materialized", "send_code", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "FOLDS", "held_out", "materialized", "send_code", "small", "strings", "table"]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.llm import url_filter, warc
-from panelcast.llm.common import table
+from panelcast.llm import decontaminate, pieces, quality, toxicity, url_filter, warc
+from panelcast.llm.common import held_out, table
 from panelcast.session import scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -64,3 +64,36 @@ def op6_warc(spark, sf):
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf, "pages"), path)
     return warc.captures(warc.assemble(warc.read_records(spark, path)))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf):
+    """Every document scored by its nearest labelled examples."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), "toxicity.neighbours", "toxicity.terms")
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark, sf):
+    """Every leaked test item of every document."""
+    return decontaminate.leaked_pairs(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op9_pieces")
+def op9_pieces(spark, sf):
+    """The ids of every whole text, and the test that they decode to it."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pieces.encoded(docs, pieces.load()).select(
+        "doc_id", F.size("pieces.ids").cast("long").alias("n_ids"), "pieces.ids", "pieces.decoded_ok")
+
+
+@query("op10_quality")
+def op10_quality(spark, sf):
+    """Every document scored by the network over its word vectors."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = quality.scored(docs, quality.fit(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"),
+                         (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))

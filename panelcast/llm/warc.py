@@ -124,7 +124,7 @@ def _rows(frames):
                 out.append((path, at, head.get("warc-record-id"), kind, head.get("warc-concurrent-to"),
                             head.get("warc-target-uri"), head.get("warc-payload-digest", "").removeprefix("sha1:"),
                             head.get("warc-refers-to"), more, payload))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")])
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")], dtype=object)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
