@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.llm import decontaminate, pieces, quality, toxicity, url_filter, warc
+from panelcast.llm import decontaminate, html_wrapper, pieces, quality, secret_ledger, toxicity, url_filter, warc
 from panelcast.llm.common import held_out, table
 from panelcast.session import scratch_path
 
@@ -24,6 +24,18 @@ def query(name, sql=None):
     return register
 
 
+@query("op1_html_wrapper")
+def op1_html_wrapper(spark, sf):
+    """The main text of every page."""
+    return html_wrapper.main_text(table(spark, sf, "pages"))
+
+
+@query("op3_secret_ledger")
+def op3_secret_ledger(spark, sf):
+    """Secrets in every document, from a ledger of its blobs."""
+    return secret_ledger.scanned(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 _URL = "coalesce(url, '')"
 _HOST = (f"translate(regexp_extract(case when instr({_URL}, '://') > 0 then substr({_URL}, instr({_URL}, '://') + 3)"
          " else '' end, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")

@@ -22,7 +22,8 @@ RULES = (
 BASE = ("assign", "access", "hex")
 #: A single character class is matched with its least length at once: the maximal runs are the same.
 FAST = {"hex": r"[0-9a-f]{16,}", "access": r"AKIA[A-Z0-9]{14,}", "github": r"gh[pousr]_[A-Za-z0-9]{36,}"}
-LEDGER = "blob binary, kind string, version int, spans array<struct<start:bigint,end:bigint>>"
+SPANS = "array<struct<start:bigint,end:bigint>>"
+LEDGER = f"blob binary, kind string, version int, spans {SPANS}"
 
 
 def blob_of(text: Column) -> Column:
@@ -36,7 +37,7 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     Spans are those of the leftmost non-overlapping matches in the whole text, in code points, end exclusive;
     matches whose measured group is too short are dropped. A text is cut at the matches; the running lengths
     of the pieces give the places, by a window over the matches of one blob and kind. Only blobs that match
-    at all are cut.
+    are cut, and only their cuts are shuffled.
     """
     text, none = F.col("text"), F.array().cast("array<struct<piece:int,match:int,group:int>>")
     found = []
@@ -51,14 +52,18 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
         cut = F.when(text.rlike(FAST.get(kind, pattern)), parts).otherwise(none)
         found.append(F.struct(F.lit(kind).alias("kind"), F.lit(version).alias("version"), F.lit(least).alias("least"),
                               cut.alias("parts")))
-    rows = blobs.select("blob", F.explode(F.array(*found)).alias("f")).select("blob", "f.*")
-    rows = rows.selectExpr("blob", "kind", "version", "least", "posexplode_outer(parts) as (i, part)")
+    cuts = materialized(blobs.select("blob", F.array(*found).alias("found")), "secret-cuts")
+    cuts = cuts.select("blob", F.explode("found").alias("f")).select("blob", "f.*")
+    clean = cuts.where(F.size("parts") == 0).select("blob", "kind", "version", F.array().cast(SPANS).alias("spans"))
+    rows = cuts.selectExpr("blob", "kind", "version", "least", "posexplode(parts) as (i, part)")
     places = "over (partition by blob, kind order by i)"
     rows = rows.selectExpr(
-        "blob", "kind", "version", "least", "i", "part.match as m", "part.`group` as g",
+        "blob", "kind", "version", "least", "part.match as m", "part.`group` as g",
         f"sum(part.piece) {places} + sum(coalesce(part.match, 0)) {places} as stop")
-    span = F.when((F.col("g") >= F.col("least")), F.struct((F.col("stop") - F.col("m")).alias("start"), F.col("stop").alias("end")))
-    return rows.groupBy("blob", "kind", "version").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    span = F.struct((F.col("stop") - F.col("m")).alias("start"), F.col("stop").alias("end"))
+    rows = rows.groupBy("blob", "kind", "version").agg(
+        F.array_sort(F.collect_list(F.when(F.col("g") >= F.col("least"), span))).alias("spans"))
+    return clean.unionAll(rows)
 
 
 def update_ledger(texts: DataFrame, ledger: DataFrame | None = None, rules=RULES, text: str = "text") -> DataFrame:
@@ -97,7 +102,7 @@ def findings(texts: DataFrame, ledger: DataFrame, rules=RULES, text: str = "text
         return F.array_join(F.transform(items, lambda x: F.concat_ws(
             ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    count = [F.size(F.filter("s", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    count = [F.expr(f"cast(size(filter(s, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
     held = held.select("blob", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
     rows = texts.withColumn("_blob", blob_of(F.col(text))).drop(text)
     rows = rows.join(held.withColumnRenamed("blob", "_blob"), "_blob", "left").drop("_blob")
