@@ -130,8 +130,9 @@ def indexes(benchmark: DataFrame, items_per_index: int = ITEMS_PER_INDEX):
         yield LeakIndex([tuple(r) for r in rows], {r["term"]: r["count"] for r in terms}, n_items, mean_words)
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, items_per_index: int = ITEMS_PER_INDEX) -> DataFrame:
-    """``docs`` with an array column ``leaks``: the items whose text its whole text holds, with BM25 score and the
+def with_leaks(docs: DataFrame, benchmark: DataFrame, items_per_index: int = ITEMS_PER_INDEX,
+               into: str = "leaks") -> DataFrame:
+    """``docs`` with an array column ``into``: the items whose text its whole text holds, with BM25 score and the
     shares of question, answer and whole item found in one passage.
 
     Every passage of two chunks is a query, and each item lies wholly inside one; all items above MIN_SCORE are
@@ -146,7 +147,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, items_per_index: int = ITE
 
         columns.append(F.pandas_udf(lambda t, f=leaks: f(t), FOUND, F.PandasUDFType.SCALAR)("text"))
     found = F.concat(*columns) if columns else F.array().cast(FOUND)
-    return docs.withColumn("leaks", found)
+    return docs.withColumn(into, found)
 
 
 def leaked_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -154,8 +154,8 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(plain, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
 
-def encoded(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``pieces``: the ids of the whole text, and whether decoding them gives the
+def encoded(docs: DataFrame, pieces: Pieces, text: str = "text", into: str = "pieces") -> DataFrame:
+    """``docs`` with a struct column ``into``: the ids of the whole text, and whether decoding them gives the
     text back (with each space mark in it as a space, as the vocabulary can't tell them apart).
 
     Null and empty texts have no ids and decode to the empty text. Rows never meet one another."""
@@ -170,4 +170,4 @@ def encoded(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
             same.append(pieces.decode(found.tolist()) == (x or "").replace(SPACE, " "))
         return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded_ok": same})
 
-    return docs.withColumn("pieces", encode(F.col(text)))
+    return docs.withColumn(into, encode(F.col(text)))

@@ -194,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     return QualityModel(vectors, x, rows["label"].to_numpy("f8"))
 
 
-def scored(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``quality_score`` from the whole text. Null and empty texts are scored as texts
+def scored(docs: DataFrame, model: QualityModel, text: str = "text", into: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``into`` from the whole text. Null and empty texts are scored as texts
     without tokens. Rows never meet one another, so repeated rows score alike."""
     send_code(__name__)
 
@@ -206,4 +206,4 @@ def scored(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFram
             return pd.Series([], dtype="f8")
         return pd.Series(model.scores(np.stack([pooled(x, model.vectors, known) for x in strings(texts)])))
 
-    return docs.withColumn("quality_score", score(F.col(text)))
+    return docs.withColumn(into, score(F.col(text)))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.llm import decontaminate, html_wrapper, pieces, quality, secret_ledger, toxicity, url_filter, warc
+import corpus_pipeline
+from panelcast.llm import (
+    decontaminate, html_wrapper, pieces, prefix_join, quality, secret_ledger, toxicity, url_filter, vector_index, warc,
+)
 from panelcast.llm.common import held_out, table
 from panelcast.session import scratch_path
 
@@ -30,6 +33,26 @@ def op1_html_wrapper(spark, sf):
     return html_wrapper.main_text(table(spark, sf, "pages"))
 
 
+_SETS = r"""
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as sh from w),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id
+    group by 1, 2),
+l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 75 * (a.n + b.n - shared))"""
+
+
+@query("op2_prefix_join", f"""with recursive {_SETS},
+r(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from r join l on l.x = r.y)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.y) as component_id
+from documents d join r on r.x = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id, n.n""")
+def op2_prefix_join(spark, sf):
+    """Set size and component of every document."""
+    return prefix_join.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op3_secret_ledger")
 def op3_secret_ledger(spark, sf):
     """Secrets in every document, from a ledger of its blobs."""
@@ -88,6 +111,20 @@ def op5_toxicity(spark, sf):
         (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), "toxicity.neighbours", "toxicity.terms")
 
 
+@query("op7_vector_index", """with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null),
+l as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+r(x, y) as (select vec_id, vec_id from embeddings union select r.x, l.y from r join l on l.x = r.y),
+c as (select x as vec_id, min(y) as component_id from r group by 1),
+n as (select x as vec_id, count(*) as n from l group by 1)
+select c.vec_id, coalesce(n, 0)::bigint as n_links, component_id, c.vec_id = component_id as kept
+from c left join n using (vec_id)""")
+def op7_vector_index(spark, sf):
+    """Links and component of every vector."""
+    return vector_index.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @query("op8_decontaminate")
 def op8_decontaminate(spark, sf):
     """Every leaked test item of every document."""
@@ -109,3 +146,9 @@ def op10_quality(spark, sf):
     scored = quality.scored(docs, quality.fit(docs, table(spark, sf, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"),
                          (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    """All stages over all documents."""
+    return corpus_pipeline.run(spark, sf)

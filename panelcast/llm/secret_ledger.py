@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ BASE = ("assign", "access", "hex")
 #: A single character class is matched with its least length at once: the maximal runs are the same.
 FAST = {"hex": r"[0-9a-f]{16,}", "access": r"AKIA[A-Z0-9]{14,}", "github": r"gh[pousr]_[A-Za-z0-9]{36,}"}
 SPANS = "array<struct<start:bigint,end:bigint>>"
+#: Spans of all blobs together are broadcast up to this number.
+BROADCAST_SPANS = 200_000
+#: Names that no table should have.
+BLOB, FOUND = "_panelcast_blob", "_panelcast_found"
 LEDGER = f"blob binary, kind string, version int, spans {SPANS}"
 
 
@@ -83,19 +88,26 @@ def update_ledger(texts: DataFrame, ledger: DataFrame | None = None, rules=RULES
     return reduce(DataFrame.unionAll, fresh)
 
 
-def findings(texts: DataFrame, ledger: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """``texts`` with what the ledger holds on them under the present versions of the rules, joined back by blob:
-    columns n_assign, n_access, n_hex, base_sha256, spans of the ledger's findings.
-
-    Spans read ``kind:start:end``, by start, then by the order of the rules, joined by commas; base_sha256 is the
-    lower-case hex SHA-256 of those of the base kinds. Null and empty texts, and clean ones, have no spans and
-    the hash of the empty text. Only blobs with findings meet the texts; Spark splits a blob with many paths."""
+def spans_by_blob(ledger: DataFrame, rules=RULES) -> DataFrame:
+    """(blob, s): for each blob with findings under the present versions of the rules, its spans as structs
+    (start, place, kind, end), by start, then by the place of the rule. Written, as two joins may read it, and
+    marked for broadcast while its blobs and spans, counted first, are few."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r[0], i)])
-    now = reduce(lambda a, b: a | b, [(F.col("kind") == r[0]) & (F.col("version") == r[1]) for r in rules])
+    now = reduce(or_, [(F.col("kind") == r[0]) & (F.col("version") == r[1]) for r in rules])
     spans = ledger.where(now & (F.size("spans") > 0)).select("blob", "kind", F.explode("spans").alias("s"))
     spans = spans.select("blob", F.struct(F.col("s.start").alias("start"), order[F.col("kind")].alias("place"), "kind",
                                           F.col("s.end").alias("end")).alias("s"))
-    held = spans.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    held = materialized(spans.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("s")), "secret-spans")
+    return F.broadcast(held) if (held.agg(F.sum(F.size("s"))).first()[0] or 0) <= BROADCAST_SPANS else held
+
+
+def findings(texts: DataFrame, ledger: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+    """``texts`` without their text, with what the ledger holds on it under the present versions of the rules:
+    columns n_assign, n_access, n_hex, base_sha256, spans.
+
+    Spans read ``kind:start:end``, by start, then by the order of the rules, joined by commas; base_sha256 is the
+    lower-case hex SHA-256 of those of the base kinds. Null and empty texts, and clean ones, have no spans and
+    the hash of the empty text. Only blobs with findings meet the texts, so a blob with many paths costs no more."""
     base = F.filter("s", lambda x: x["place"] < len(BASE))
 
     def joined(items: Column) -> Column:
@@ -103,13 +115,26 @@ def findings(texts: DataFrame, ledger: DataFrame, rules=RULES, text: str = "text
             ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
     count = [F.expr(f"cast(size(filter(s, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
-    held = held.select("blob", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
-    rows = texts.withColumn("_blob", blob_of(F.col(text))).drop(text)
-    rows = rows.join(held.withColumnRenamed("blob", "_blob"), "_blob", "left").drop("_blob")
+    held = spans_by_blob(ledger, rules).select(
+        F.col("blob").alias(BLOB), *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
+    rows = texts.withColumn(BLOB, blob_of(F.col(text))).drop(text).join(held, BLOB, "left").drop(BLOB)
     return rows.fillna(0, [f"n_{k}" for k in BASE]).withColumns({
         "base_sha256": F.coalesce("base_sha256", F.sha2(F.lit(""), 256)), "spans": F.coalesce("spans", F.lit(""))})
 
 
+def redacted(texts: DataFrame, ledger: DataFrame, rules=RULES, text: str = "text", mark: str = "[secret]") -> DataFrame:
+    """``texts`` with every found span in the text replaced by ``mark``; spans that overlap or touch are one.
+    Clean, null and empty texts stay as they are."""
+    held = spans_by_blob(ledger, rules).select(F.col("blob").alias(BLOB), F.col("s").alias(FOUND))
+    rows = texts.withColumn(BLOB, blob_of(F.col(text))).join(held, BLOB, "left")
+    out = F.expr(f"""aggregate({FOUND}, named_struct('at', 0L, 'out', ''), (a, x) -> named_struct(
+        'at', greatest(a.at, x.end),
+        'out', if(x.start > a.at or a.at = 0,
+                  concat(a.out, substring(`{text}`, cast(a.at + 1 as int), cast(x.start - a.at as int)), '{mark}'), a.out)),
+        a -> concat(a.out, substring(`{text}`, cast(a.at + 1 as int), length(`{text}`))))""")
+    return rows.withColumn(text, F.when(F.col(FOUND).isNotNull(), out).otherwise(F.col(text))).drop(BLOB, FOUND)
+
+
 def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 

@@ -198,8 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     return ToxicityModel(names, idf, [(r[0], r[1], Counter(dict(zip(r[2], r[3], strict=True)))) for r in rows])
 
 
-def scored(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``toxicity`` (score, neighbours, terms) from the whole text.
+def scored(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "toxicity") -> DataFrame:
+    """``docs`` with a struct column ``into`` (score, neighbours, terms) from the whole text.
 
     Null and empty texts, and ones without a known term, get the score of examples that have none either.
     Rows never meet one another: no shuffle, and repeated rows score alike."""
@@ -215,4 +215,4 @@ def scored(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFra
             out.append(known[key])
         return pd.DataFrame(out, columns=["score", "neighbours", "terms"])
 
-    return docs.withColumn("toxicity", toxicity(F.col(text)))
+    return docs.withColumn(into, toxicity(F.col(text)))
