@@ -16,14 +16,16 @@ from panelcast.llm.common import materialized, send_code, strings
 
 SHINGLE = 5
 #: Items of one index; more items are searched index after index.
-ITEMS_PER_INDEX = 2_000
+ITEMS_PER_INDEX = 500
 #: A passage is two neighbouring chunks of so many words, or of as many as the longest item has.
 CHUNK = 64
 #: BM25 of a passage over BM25 of the item itself, from which on an item is retrieved.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.5
 #: Share of the item's shingles found in the passage, from which on it counts as leaked.
 MIN_OVERLAP = 0.5
 K1, B = 1.2, 0.75
+#: Items in a block of the index.
+BLOCK = 4
 FOUND = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double,overlap:double>>"
 
 _WORD = re.compile(r"\w+")
@@ -54,6 +56,8 @@ class LeakIndex:
     """Items as BM25 impacts divided by the item's own score, so that an exact copy scores 1 for each item."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float):
+        # Items that share frequent words, such as those of one language, stand together: their blocks bound well.
+        items = sorted(items, key=lambda x: (sorted(set(words(x[1])), key=lambda t: (-df[t], t))[:3], x))
         self.ids = [i for i, _ in items]
         parts = [question_and_answer(t) for _, t in items]
         tokens = [q + a for q, a in parts]
@@ -68,7 +72,7 @@ class LeakIndex:
             terms += [self.terms[t] for t in tf]
             owners += [k] * len(tf)
             weights += [x / sum(impact) for x in impact]
-        self.index = blockmax.BlockMaxIndex(terms, owners, weights, max(1, len(self.terms)), len(items), 16)
+        self.index = blockmax.BlockMaxIndex(terms, owners, weights, max(1, len(self.terms)), len(items), BLOCK)
 
     def retrieve(self, tokens: list[str]) -> dict[int, dict[int, float]]:
         """Passage number -> {item: score} for all scores of MIN_SCORE or more. A block of items is scored only
@@ -79,20 +83,19 @@ class LeakIndex:
         if not len(place):
             return {}
         n = len(self.terms)
-        pairs = np.unique(place // self.chunk * n + at[place])
-        chunk, term = pairs // n, pairs % n
-        first = np.flatnonzero(np.diff(chunk, prepend=-1))
-        bound = np.zeros(((len(tokens) - 1) // self.chunk + 2, self.index.n_blocks))
-        bound[chunk[first]] = np.add.reduceat(self.index.max[term], first, axis=0)
+        chunk, term = place // self.chunk, at[place]
+        later = chunk > 0
+        pairs = np.unique(np.concatenate([chunk * n + term, (chunk[later] - 1) * n + term[later]]))
+        passage, term = pairs // n, pairs % n
+        first = np.flatnonzero(np.diff(passage, prepend=-1))
+        last = np.append(first[1:], len(pairs))
+        bounds = np.add.reduceat(self.index.max[term], first, axis=0)
         found: dict[int, dict[int, float]] = {}
-        for passage, block in np.argwhere(bound[:-1] + bound[1:] >= MIN_SCORE):
-            asked = np.unique(term[(chunk == passage) | (chunk == passage + 1)])
-            ones = np.ones(len(asked))
-            if self.index.bounds(asked, ones)[block] < MIN_SCORE:
-                continue
-            scores = self.index.scores(block, asked, ones)
+        for row, block in np.argwhere(bounds >= MIN_SCORE):
+            asked = term[first[row]:last[row]]
+            scores = self.index.scores(block, asked, np.ones(len(asked)))
             for k in np.flatnonzero(scores >= MIN_SCORE):
-                found.setdefault(int(passage), {})[int(block) * self.index.block + int(k)] = float(scores[k])
+                found.setdefault(int(passage[first[row]]), {})[int(block) * self.index.block + int(k)] = float(scores[k])
         return found
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
@@ -130,6 +133,17 @@ def indexes(benchmark: DataFrame, items_per_index: int = ITEMS_PER_INDEX):
         yield LeakIndex([tuple(r) for r in rows], {r["term"]: r["count"] for r in terms}, n_items, mean_words)
 
 
+def _leaks_of(index: LeakIndex):
+    names = ("item_id", "score", "question_overlap", "answer_overlap", "overlap")
+
+    def leaks(texts: pd.Series) -> pd.Series:
+        found = [[dict(zip(names, r, strict=True)) for r in index.leaks(x)] for x in strings(texts)]
+        return pd.Series(found, dtype=object)
+
+    # Marked so that a filter on the result never makes it run twice.
+    return F.pandas_udf(leaks, FOUND).asNondeterministic()
+
+
 def with_leaks(docs: DataFrame, benchmark: DataFrame, items_per_index: int = ITEMS_PER_INDEX,
                into: str = "leaks") -> DataFrame:
     """``docs`` with an array column ``into``: the items whose text its whole text holds, with BM25 score and the
@@ -138,14 +152,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, items_per_index: int = ITE
     Every passage of two chunks is a query, and each item lies wholly inside one; all items above MIN_SCORE are
     verified. Null and empty texts, and an empty benchmark, give an empty array. Rows never meet one another."""
     send_code(__name__, blockmax.__name__)
-    columns = []
-    for index in indexes(benchmark, items_per_index):
-        def leaks(texts: pd.Series, index=index) -> pd.Series:
-            names = ("item_id", "score", "question_overlap", "answer_overlap", "overlap")
-            return pd.Series([[dict(zip(names, r, strict=True)) for r in index.leaks(x)] for x in strings(texts)],
-                             dtype=object)
-
-        columns.append(F.pandas_udf(lambda t, f=leaks: f(t), FOUND, F.PandasUDFType.SCALAR)("text"))
+    columns = [_leaks_of(index)("text") for index in indexes(benchmark, items_per_index)]
     found = F.concat(*columns) if columns else F.array().cast(FOUND)
     return docs.withColumn(into, found)
 
