@@ -8,7 +8,7 @@ from panelcast.catalog import bindings as B
 from panelcast.catalog.registry import query
 from panelcast.operators.suppression import digest, mark_sent
 from panelcast.session import scratch_path
-from panelcast.streaming.alerts import due_alerts
+from panelcast.streaming.alerts import due_alerts, use_state_store
 
 ALERT = "event_type = 'error' and value >= 65"
 
@@ -66,8 +66,8 @@ def alert_digest(spark, sf):
 )
 def alert_stream(spark, sf):
     """Sent alerts from a stream over the landed files."""
-    schema = B.table(spark, sf, "events").schema
-    landed = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    use_state_store(spark)
+    landed = B.stream(spark, sf, "events")
     target = scratch_path(spark, "alerts")
     run = (
         due_alerts(landed.where(ALERT), "user_id", "ts")

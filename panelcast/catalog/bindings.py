@@ -19,6 +19,11 @@ from panelcast.spec import PanelSpec
 SPEC = PanelSpec()
 
 
+def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of part files: as a pattern, the path fits both."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

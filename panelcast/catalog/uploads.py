@@ -106,8 +106,7 @@ def quarantine(spark, sf):
 @query("upload_stream", _UPSERT)
 def upload_stream(spark, sf):
     """The same result from a stream over the landed files."""
-    schema = B.table(spark, sf, "events").schema
-    landed = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    landed = B.stream(spark, sf, "events")
     rows = landed.select(
         "event_id",
         F.concat(F.lit("NATION_"), (F.col("user_id") % 30).cast("string")).alias("province"),
@@ -117,6 +116,6 @@ def upload_stream(spark, sf):
         F.col("ts").cast("timestamp").alias("ts"),
     )
     target = scratch_path(spark, "uploads")
-    S.start_ingestion(rows, domain(spark, sf), "ts", target, f"{target}/checkpoint").awaitTermination()
+    S.start_ingestion(rows, domain(spark, sf), target, f"{target}/checkpoint").awaitTermination()
     made = S.current_panel(spark, target, ["ts", "event_id"])
     return made.select("province", "year", "week", "event_id", "cases")

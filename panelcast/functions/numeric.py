@@ -10,11 +10,15 @@ def half_up(x: Column | str, digits: int) -> Column:
     """Round half up on the binary value.
 
     Engines break ties of ``round`` differently; a plain floor with a small
-    guard gives the same digits everywhere.
+    guard gives the same digits everywhere. Values too large to have such
+    digits, infinite ones and NaN stay as they are.
     """
     x = F.col(x) if isinstance(x, str) else x
     scale = float(10**digits)
-    return F.floor(x * F.lit(scale) + F.lit(0.5) + F.lit(1e-6)).cast("double") / F.lit(scale)
+    scaled = x * F.lit(scale)
+    rounded = F.floor(scaled + F.lit(0.5) + F.lit(1e-6)).cast("double") / F.lit(scale)
+    # NaN is larger than any number here.
+    return F.when(F.abs(scaled) < F.lit(2.0**53), rounded).otherwise(x.cast("double"))
 
 
 def clamp(x: Column, low: float | None = None, high: float | None = None) -> Column:

@@ -1,20 +1,42 @@
 """Exact interpolated quantiles that no single task has to hold.
 
 The built-in exact ``percentile`` merges every distinct value into one buffer.
-Here a mergeable sketch first brackets each wanted rank, then a second pass
-counts what lies below the bracket and lists only the distinct values inside
-it, about 6 in 10,000 rows; the exact order statistic is read off there.
+Here a mergeable sketch first brackets each wanted rank, about 6 in 10,000
+rows. Brackets that still hold many rows are narrowed by further sketches of
+what lies inside; then the distinct values inside are listed with their counts
+and the exact order statistic is read off. All inputs go the same way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10000
 MARGIN = 3.0 / ACCURACY
-# Up to this many rows the bracket is the whole range.
-SMALL = 100_000
+# A bracket is narrowed until about so many rows can be inside: one task lists them.
+LISTED = 100_000
+# Cut points of a narrowing sketch.
+GRID = 1000
+
+
+@dataclass
+class Bracket:
+    """Of one wanted rank: its group and column, its position among n values, and what encloses it."""
+
+    by: tuple
+    prob: float
+    n: int
+    low: float
+    high: float
+    rows: float
+
+    @property
+    def position(self) -> float:
+        return self.prob * (self.n - 1)
 
 
 def _long(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
@@ -23,38 +45,63 @@ def _long(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
     return long.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
+def _table(spark: SparkSession, brackets: list[Bracket], long: DataFrame, by: list[str]) -> DataFrame:
+    """Brackets as a table of literals: one row per wanted rank, so small by construction."""
+    kinds = ", ".join(f"`{c}` {long.schema[c].dataType.simpleString()}" for c in by)
+    rows = [(*b.by, b.prob, b.n, b.low, b.high) for b in brackets]
+    return F.broadcast(spark.createDataFrame(rows, f"{kinds}, prob double, n bigint, lo double, hi double"))
+
+
+def _narrowed(spark: SparkSession, long: DataFrame, by: list[str], brackets: list[Bracket]) -> list[Bracket]:
+    """Each bracket cut down to the cut points, of a sketch of what lies inside, that enclose its rank."""
+    cuts = [i / GRID for i in range(GRID + 1)]
+    inside = F.col("v").between(F.col("lo"), F.col("hi"))
+    found = long.join(_table(spark, brackets, long, by), by).where("v <= hi").groupBy(*by, "prob").agg(
+        F.count_if(F.col("v") < F.col("lo")).alias("below"), F.count_if(inside).alias("m"),
+        F.percentile_approx(F.when(inside, F.col("v")), cuts, ACCURACY).alias("q"),
+    ).collect()
+    seen = {(tuple(r[c] for c in by), r["prob"]): r for r in found}
+    out = []
+    for b in brackets:
+        r = seen[b.by, b.prob]
+        share = [(rank - r["below"]) / max(r["m"], 1) for rank in (math.floor(b.position), math.ceil(b.position) + 1)]
+        low = max(0, math.floor((share[0] - MARGIN) * GRID))
+        high = min(GRID, math.ceil((share[1] + MARGIN) * GRID))
+        left = r["m"] * ((high - low) / GRID + 2 * MARGIN)
+        out.append(Bracket(b.by, b.prob, b.n, r["q"][low], r["q"][high], left))
+    return out
+
+
 def exact_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], group: list[str] | None = None
 ) -> DataFrame:
-    """(group.., column, prob, value): linear interpolation between order statistics."""
-    group = list(group or [])
+    """(group.., column, prob, value): linear interpolation between order statistics.
+
+    Groups are few (phases, not entities): their brackets are held by the driver and sent to all tasks, so that
+    the values themselves are never shuffled by group or column. A group that is null is left out, and so is a
+    column without values."""
+    spark, group = df.sparkSession, list(group or [])
     long = _long(df, columns, group)
     by = [*group, "column"]
+    for c in group:
+        long = long.where(F.col(c).isNotNull())
     points = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)})
     at = {p: i for i, p in enumerate(points)}
     summary = long.groupBy(*by).agg(
-        F.count("v").alias("n"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-        F.percentile_approx("v", [float(p) for p in points], ACCURACY).alias("q"),
-    )
-    small = F.col("n") < SMALL
-    bracket = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                F.when(small, F.col("lo")).otherwise(F.col("q")[at[max(p - MARGIN, 0.0)]]).alias("lo"),
-                F.when(small, F.col("hi")).otherwise(F.col("q")[at[min(p + MARGIN, 1.0)]]).alias("hi"),
-            )
-            for p in probs
-        ]
-    )
-    brackets = summary.select(*by, "n", F.explode(bracket).alias("b")).select(
-        *by, "n", "b.prob", "b.lo", "b.hi"
-    )
-    # Null key: the rows below the bracket, needed only as a count.
+        F.count("v").alias("n"), F.percentile_approx("v", [float(p) for p in points], ACCURACY).alias("q")
+    ).collect()
+    brackets = [
+        Bracket(
+            tuple(r[c] for c in by), float(p), r["n"],
+            r["q"][at[max(p - MARGIN, 0.0)]], r["q"][at[min(p + MARGIN, 1.0)]], 2 * MARGIN * r["n"] * 2,
+        )
+        for r in summary for p in probs
+    ]
+    while any(b.rows > LISTED and b.low < b.high for b in brackets):
+        brackets = _narrowed(spark, long, by, brackets)
+    # Null value: the rows below the bracket, needed only as a count.
     counted = (
-        long.join(brackets, by)
+        long.join(_table(spark, brackets, long, by), by)
         .where(F.col("v") <= F.col("hi"))
         .groupBy(*by, "prob", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))

@@ -60,21 +60,22 @@ def risk_bands(latest: DataFrame, level: str = "risk_level", count: str = "provi
 def seasonal_profile(df: DataFrame, value: str, date: str = "date") -> DataFrame:
     """Mean and sample deviation across years of the monthly totals.
 
-    A month missing in a year that occurs counts as 0. With n years, the sums
-    over the observed cells give both moments, so no grid is built.
+    A month missing in a year that occurs counts as 0. The observed cells give
+    their mean and deviation, and the absent ones are merged in as so many
+    zeros, so no grid is built and nothing large cancels.
     """
     cells = df.groupBy(F.year(date).alias("y"), F.month(date).alias("month")).agg(
         F.sum(value).cast("double").alias("total")
     )
     years = cells.agg(F.countDistinct("y").cast("double").alias("n")).scalar()
-    sums = cells.groupBy("month").agg(
-        F.sum("total").alias("s"),
-        F.sum(F.col("total") * F.col("total")).alias("ss"),
+    seen = cells.groupBy("month").agg(
+        F.count(F.lit(1)).cast("double").alias("m"), F.avg("total").alias("avg"), F.var_pop("total").alias("var")
     ).withColumn("n", years)
-    mean = F.col("s") / F.col("n")
-    spread = F.greatest(F.col("ss") - F.col("n") * mean * mean, F.lit(0.0))
+    share = F.col("m") / F.col("n")
+    mean = F.col("avg") * share
+    spread = F.col("var") * F.col("m") + F.col("avg") * F.col("avg") * (F.col("n") - F.col("m")) * share
     std = F.coalesce(F.sqrt(F.try_divide(spread, F.col("n") - 1)), F.lit(0.0))
-    return sums.select(
+    return seen.select(
         "month",
         mean.alias("mean"),
         std.alias("std"),
@@ -170,23 +171,47 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     )
 
 
-def _pearson(a: Column, b: Column) -> Column:
-    """Over rows complete in both; null, not an error, for a constant column."""
-    pa = F.when(b.isNotNull(), a)
-    pb = F.when(a.isNotNull(), b)
-    spread = F.stddev_pop(pa) * F.stddev_pop(pb)
-    return F.try_divide(F.covar_pop(a, b), F.when(spread > 0, spread))
-
-
 def correlation_matrix(df: DataFrame, columns=CORRELATION_COLUMNS) -> DataFrame:
-    """(column_a, column_b, r) of the full matrix, from one aggregate row."""
+    """(column_a, column_b, r) of the full matrix, over rows complete in both; null for a constant column.
+
+    A first pass gives means and null counts, a second the sums of products around those means: one sum for each
+    pair, and only pairs with a column that has nulls need sums of their own over their complete rows.
+    """
     names = present(df, columns)
-    pairs = list(combinations_with_replacement(names, 2))
-    d = {c: F.col(c).cast("double") for c in names}
-    one = df.agg(*[_pearson(d[a], d[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    first = wide.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.avg(c).alias(f"m_{c}") for c in names], *[F.count(c).alias(f"n_{c}") for c in names]
+    ).first()
+    mean = {c: first[f"m_{c}"] or 0.0 for c in names}
+    holes = {c for c in names if first[f"n_{c}"] < first["_rows"]}
+    off = {c: F.col(c) - F.lit(mean[c]) for c in names}
+    sums = {}
+    for a, b in combinations_with_replacement(names, 2):
+        sums[f"{a}|{b}"] = F.sum(off[a] * off[b])
+        if a != b and (a in holes or b in holes):
+            for c, other in ((a, b), (b, a)):
+                kept = F.when(F.col(other).isNotNull(), off[c])
+                sums |= {f"{a}|{b}|{c}": F.sum(kept), f"{a}|{b}|{c}|{c}": F.sum(kept * kept)}
+            sums[f"{a}|{b}|n"] = F.count(F.when(F.col(a).isNotNull(), F.col(b)))
+    one = wide.agg(*[v.alias(k) for k, v in sums.items()])
+
+    def r(a: str, b: str) -> Column:
+        cell = lambda k: F.col(f"`{k}`")
+        both, aa, bb, n = cell(f"{a}|{b}"), cell(f"{a}|{a}"), cell(f"{b}|{b}"), F.lit(float(first["_rows"]))
+        if a != b and (a in holes or b in holes):
+            n = cell(f"{a}|{b}|n").cast("double")
+            sa, sb = cell(f"{a}|{b}|{a}"), cell(f"{a}|{b}|{b}")
+            both = both - F.try_divide(sa * sb, n)
+            aa = cell(f"{a}|{b}|{a}|{a}") - F.try_divide(sa * sa, n)
+            bb = cell(f"{a}|{b}|{b}|{b}") - F.try_divide(sb * sb, n)
+        # What rounding alone leaves of a constant column is no spread.
+        some = (aa > n * F.lit(1e-24 * (1 + mean[a] ** 2))) & (bb > n * F.lit(1e-24 * (1 + mean[b] ** 2)))
+        return F.when(some, both / (F.sqrt(aa) * F.sqrt(bb)))
+
     cells = [
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("r"))
-        for i, (x, y) in enumerate(pairs)
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r(x, y).alias("r"))
+        for x, y in combinations_with_replacement(names, 2)
         for a, b in dict.fromkeys([(x, y), (y, x)])
     ]
     return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
@@ -224,19 +249,20 @@ def phase(x: Column, phases=PHASES) -> Column:
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whiskers at 1.5 IQR pulled in to the data, and outlier counts."""
-    known = df.where(F.col(group).isNotNull())
+    known = df.where(F.col(group).isNotNull()).select(group, value)
     at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
-    quart = (
+    found = (
         exact_quantiles(known, [value], [0.25, 0.5, 0.75], [group])
         .groupBy(group)
         .agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
     )
+    # Groups are few, as the quantiles ask: their row each goes to all tasks, not the panel to a few keys.
+    quart = F.broadcast(df.sparkSession.createDataFrame(found.collect(), found.schema))
     fence = (F.col("q3") - F.col("q1")) * 1.5
     low, high = F.col("q1") - fence, F.col("q3") + fence
     inside = F.col(value).between(low, high)
     return (
-        known.select(group, value)
-        .join(quart, group)
+        known.join(quart, group)
         .groupBy(group, "q1", "median", "q3")
         .agg(
             F.count(value).alias("n"),

@@ -1,12 +1,13 @@
 """Alert suppression in batch: an alert is sent only if the last *sent* one of
 its entity is more than the interval old.
 
-The rule is sequential, yet an entity need not fit in one task. Entities with few
-alerts are folded as they are. For the others: two sent alerts
-are more than an interval apart, so what a time chunk inherits is one number,
-the last sent time before it, and only its effect on the first interval of the
-chunk matters. Each (entity, chunk) is reduced to that step function, the
-functions are chained per entity, and each chunk then marks its own rows.
+The rule is sequential, yet an entity need not fit in one task. What a time
+chunk inherits is one number, the last sent time before it, and only its effect
+on the first interval of the chunk matters. Each (entity, chunk) is reduced to
+that step function. Step functions compose: runs of FAN chunks become one
+function, runs of those again, up to one per entity; then the inherited numbers
+go down the same tree, and each chunk marks its own rows. No task holds more
+than one chunk or FAN functions.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.session import send_code
+from panelcast.session import materialized, send_code
 
 send_code(__name__)
 
@@ -27,8 +28,8 @@ send_code(__name__)
 INTERVAL_SECONDS = 21600
 # A chunk spans this many intervals (28 of six hours are a week).
 CHUNK_INTERVALS = 28
-# Entities with no more moments than this are folded in one array.
-FEW = 1000
+# Functions that one task composes.
+FAN = 64
 NEVER = -(2**62)
 
 
@@ -73,20 +74,30 @@ def _sent_times(times: np.ndarray, inherited: int, interval: int) -> np.ndarray:
     return np.array(sent, dtype="int64")
 
 
-def _fold_few(times: DataFrame, interval: int) -> DataFrame:
-    """Sent moments of entities with few of them: one fold over a short array."""
-    listed = times.groupBy("k").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    start = F.struct(F.lit(NEVER).alias("last"), F.array().cast("array<bigint>").alias("sent"))
-
-    def step(state: Column, t: Column) -> Column:
-        due = t - state["last"] > F.lit(interval)
-        return F.when(due, F.struct(t.alias("last"), F.array_append(state["sent"], t).alias("sent"))).otherwise(state)
-
-    return listed.select("k", F.explode(F.aggregate("t", start, step)["sent"]).alias("t"))
+def _apply(bounds: np.ndarray, exits: np.ndarray, inherited: int, interval: int) -> int:
+    """The last sent time after a chunk that inherits one."""
+    at = int(np.searchsorted(bounds, inherited + interval, side="right"))
+    return int(exits[at]) if at < len(bounds) else inherited
+
+
+def _composed(
+    first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray], interval: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of two chunks in a row."""
+    bounds, exits = first
+    through = np.array([_apply(*then, int(e), interval) for e in exits], dtype="int64")
+    # What passes the first chunk untouched meets the second alone.
+    rest = then[0] > (bounds[-1] if len(bounds) else NEVER)
+    bounds, exits = np.concatenate([bounds, then[0][rest]]), np.concatenate([through, then[1][rest]])
+    # What is inherited lies before the first moment, so one bound beyond an interval after it is enough.
+    reach = int(np.searchsorted(bounds, bounds[0] + interval, side="right")) + 1
+    bounds, exits = bounds[:reach], exits[:reach]
+    keep = np.append(exits[1:] != exits[:-1], True)
+    return bounds[keep], exits[keep]
 
 
-def _chain_many(times: DataFrame, interval: int, span: int) -> DataFrame:
-    """Sent moments of entities with many of them, chunk by chunk."""
+def _sent_moments(times: DataFrame, interval: int, span: int) -> DataFrame:
+    """(k, t) of the moments at which something is sent."""
     key_type = times.schema["k"].dataType
     field = lambda n, t=T.LongType(): T.StructField(n, t)
     chunked = times.withColumn("chunk", F.floor(F.col("t") / F.lit(span)).cast("long"))
@@ -94,24 +105,49 @@ def _chain_many(times: DataFrame, interval: int, span: int) -> DataFrame:
     def reduce_chunk(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
         moments = np.sort(pdf["t"].to_numpy())
         bounds, exits = _chunk_function(moments, int(key[1]) * span, interval)
-        return pd.DataFrame({"k": key[0], "chunk": key[1], "bound": bounds, "exit": exits})
+        return pd.DataFrame({"k": key[0], "node": key[1], "bound": bounds, "exit": exits})
 
     steps = chunked.groupBy("k", "chunk").applyInPandas(
         reduce_chunk, T.StructType([field("k", key_type), field("chunk"), field("bound"), field("exit")])
     )
 
-    def chain(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, state = [], NEVER
-        for chunk, part in pdf.sort_values(["chunk", "bound"]).groupby("chunk", sort=True):
-            rows.append((key[0], chunk, state))
-            at = int(np.searchsorted(part["bound"].to_numpy(), state + interval, side="right"))
-            if at < len(part):
-                state = int(part["exit"].iloc[at])
-        return pd.DataFrame(rows, columns=["k", "chunk", "inherited"])
-
-    entries = steps.groupBy("k").applyInPandas(
-        chain, T.StructType([field("k", key_type), field("chunk"), field("inherited")])
-    )
+    function = T.StructType([field("k", key_type), field("node"), field("bound"), field("exit")])
+    chunks = materialized(chunked.groupBy("k", "chunk").applyInPandas(reduce_chunk, function), "alert-steps")
+    low, high = chunks.agg(F.min("node"), F.max("node")).first()
+    if low is None:
+        return times
+    levels, width = [chunks.withColumn("node", F.col("node") - low)], high - low
+
+    def functions(pdf: pd.DataFrame):
+        for node, part in pdf.sort_values(["node", "bound"]).groupby("node", sort=True):
+            yield int(node), (part["bound"].to_numpy("int64"), part["exit"].to_numpy("int64"))
+
+    def compose(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = None
+        for _, one in functions(pdf):
+            whole = one if whole is None else _composed(whole, one, interval)
+        return pd.DataFrame({"k": key[0], "node": key[1], "bound": whole[0], "exit": whole[1]})
+
+    def hand_down(key: Any, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows, state = [], int(right["inherited"].iloc[0])
+        for node, one in functions(left):
+            rows.append((key[0], node, state))
+            state = _apply(*one, state, interval)
+        return pd.DataFrame(rows, columns=["k", "node", "inherited"])
+
+    above = F.floor(F.col("node") / F.lit(FAN)).cast("long")
+    while width > 0:
+        made = levels[-1].groupBy("k", above.alias("above")).applyInPandas(compose, function)
+        levels.append(materialized(made, "alert-steps"))
+        width //= FAN
+    entries = levels[-1].select("k", "node").distinct().withColumn("inherited", F.lit(NEVER))
+    for steps in reversed(levels[:-1]):
+        entries = (
+            steps.groupBy("k", above.alias("above"))
+            .cogroup(entries.groupBy("k", "node"))
+            .applyInPandas(hand_down, T.StructType([field("k", key_type), field("node"), field("inherited")]))
+        )
+    entries = entries.select("k", (F.col("node") + low).alias("chunk"), "inherited")
 
     def mark_chunk(key: Any, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -132,21 +168,13 @@ def mark_sent(
     ts: str,
     interval_seconds: int = INTERVAL_SECONDS,
     chunk_intervals: int = CHUNK_INTERVALS,
-    few: int = FEW,
 ) -> DataFrame:
-    """``alerts`` with a boolean ``sent``.
-
-    Entities with at most ``few`` moments take the fold, the others the chunks;
-    both give the same answer.
-    """
+    """``alerts`` with a boolean ``sent``; rows without an entity or a time are not sent."""
     interval = interval_seconds * 1_000_000
     stamped = alerts.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
     # Copies of a moment collapse before the shuffle.
-    times = stamped.select(F.col(entity).alias("k"), F.col("_t").alias("t")).distinct()
-    many = times.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select("k")
-    sent = _fold_few(times.join(many, "k", "left_anti"), interval).unionByName(
-        _chain_many(times.join(many, "k", "left_semi"), interval, interval * chunk_intervals)
-    )
+    times = stamped.select(F.col(entity).alias("k"), F.col("_t").alias("t")).dropna().distinct()
+    sent = _sent_moments(times, interval, interval * chunk_intervals)
     flags = sent.select(F.col("k").alias(entity), F.col("t").alias("_t"), F.lit(True).alias("_sent"))
     return (
         stamped.join(flags, [entity, "_t"], "left")

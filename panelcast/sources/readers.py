@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,26 +22,79 @@ def no_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(F.col(c)) for c in floats}) if floats else df
 
 
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line): the first line with any text of every file under ``path``."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("i"),
+    )
+    # A file is cut into blocks; within the first, ids follow the lines.
+    first = lines.where((F.col("start") == 0) & (F.trim("value") != "")).groupBy("file")
+    return first.agg(F.min_by("value", "i").alias("line"))
+
+
+def _value(name: str, kind: T.DataType) -> Column:
+    """Text as a value; whole numbers may be written with a decimal point. What doesn't parse is null."""
+    text = F.trim(F.col(f"`{name}`"))
+    if isinstance(kind, T.IntegralType):
+        real = text.try_cast("double")
+        return F.coalesce(text.try_cast(kind), F.when(real == F.floor(real), real.try_cast(kind)))
+    return text.try_cast(kind)
+
+
+def read_csv_by_name(
+    spark: SparkSession, path: str, schema: str, required: list[str]
+) -> DataFrame:
+    """CSV files with headers: the columns of ``schema``, found by name, and the ``file`` of each row.
+
+    The files may order their columns differently, leave out columns (null) and hold others (ignored). A header
+    without the ``required`` columns is an error. Files of one header are read together.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    headers = _first_lines(spark, path).groupBy("line").agg(F.collect_list("file").alias("files")).collect()
+    frames = []
+    for header in sorted(headers, key=lambda r: r["line"]):
+        names = [n.strip().lstrip("\ufeff") for n in next(csv.reader([header["line"]]))]
+        missing = [c for c in required if c not in names]
+        if missing:
+            raise ValueError(f"{header['files'][0]} lacks the columns {missing}")
+        # Positions of one header are safe; a name that comes twice counts where it is first.
+        columns = [f"_{i}" for i in range(len(names))]
+        raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", True).csv(header["files"])
+        at = {n: c for n, c in reversed(list(zip(names, columns)))}
+        made = [
+            (_value(at[f.name], f.dataType) if f.name in at else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in fields
+        ]
+        frames.append(raw.select(*made, F.col("_metadata.file_path").alias("file")))
+    if not frames:
+        return spark.createDataFrame([], f"{schema}, file string")
+    return reduce(DataFrame.unionAll, frames)
+
+
 def read_panel(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = schemas.PANEL) -> DataFrame:
-    reader = spark.read.schema(schema)
+    """The panel; CSV columns by name, those that are absent null, a file without the key an error."""
     if fmt == "csv":
-        reader = reader.option("header", True)
-    return no_nan(reader.format(fmt).load(path))
+        return no_nan(read_csv_by_name(spark, path, schema, ["province", "year", "week"]).drop("file"))
+    return no_nan(spark.read.schema(schema).format(fmt).load(path))
 
 
 def read_yearly_cases(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Weekly cases landed as one folder or file per year, tagged with the year.
 
-    The year comes from a ``year=`` folder, else from the first four-digit
+    The year is that of a ``year`` column in the file, else of a ``year=`` folder, else the first four-digit
     number in the file name.
     """
-    reader = spark.read.schema(schemas.CASES + ", year int")
+    schema = schemas.CASES + ", year int"
     if fmt == "csv":
-        # Without this a header that lacks the folder's column would not match.
-        reader = reader.option("header", True).option("enforceSchema", True)
-    raw = reader.format(fmt).load(path)
-    from_name = F.expr(r"try_cast(regexp_extract(_metadata.file_name, '((19|20)[0-9]{2})', 1) as int)")
-    return raw.withColumn("year", F.coalesce("year", from_name))
+        raw = read_csv_by_name(spark, path, schema, ["province", "week", "cases"])
+    else:
+        raw = spark.read.schema(schema).format(fmt).load(path).select("*", F.col("_metadata.file_path").alias("file"))
+    year = [
+        F.regexp_extract("file", pattern, 1).try_cast("int")
+        for pattern in (r"/year=([0-9]{4})/[^/]*$", r"((?:19|20)[0-9]{2})[^/]*$")
+    ]
+    return raw.withColumn("year", F.coalesce("year", *year)).drop("file")
 
 
 def read_climate(
@@ -114,9 +168,27 @@ def read_upload_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return no_nan(good), bad
 
 
-def read_upload_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of records, or one record per line."""
-    return no_nan(spark.read.schema(schemas.UPLOAD).option("multiLine", True).json(path))
+def read_upload_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(typed rows, records that don't parse, as they came).
+
+    Each file holds one JSON list of records, or one record per line; its first sign tells which. Files of lines
+    are split among tasks; a list is one JSON value and so is read as a whole.
+    """
+    listed = _first_lines(spark, path).where(F.ltrim("line").startswith("["))
+    lists = [r["file"] for r in listed.select("file").collect()]
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if lists:
+        lines = lines.where(~F.col("_metadata.file_path").isin(lists)).select("value")
+        whole = spark.read.text(lists, wholetext=True)
+        items = F.from_json("value", "array<string>")
+        # A list that doesn't parse is one broken record.
+        lines = lines.unionAll(whole.select(F.explode(F.coalesce(items, F.array("value"))).alias("value")))
+    kind = schemas.UPLOAD + ", _broken string"
+    parsed = F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = lines.select("value", parsed.alias("r"))
+    broken = F.col("r").isNull() | F.col("r._broken").isNotNull()
+    good = rows.where(~broken).select("r.*").drop("_broken")
+    return no_nan(good), rows.where(broken).select(F.col("value").alias("record"))
 
 
 def parse_json(column: Column, schema: str = schemas.UPLOAD) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -39,12 +39,18 @@ class LastSent(StatefulProcessor):
         pass
 
 
+def use_state_store(spark: SparkSession) -> None:
+    """Choose the state store that this needs; for a session to call before it starts the stream."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
 def due_alerts(
     alerts: DataFrame, entity: str, ts: str, interval_seconds: int = INTERVAL_SECONDS
 ) -> DataFrame:
-    """(entity, ts) of the alerts to send, from a stream of alerts in time order."""
-    spark = alerts.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """(entity, ts) of the alerts to send, from a stream of alerts in time order.
+
+    A task holds the moments that one entity has in one micro-batch: bound those by the source's
+    ``maxFilesPerTrigger``. The state is one number per entity."""
     slim = alerts.select(
         F.col(entity).alias("entity"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")
     )

@@ -2,8 +2,10 @@
 
 Each micro-batch appends what is valid to a log and the rest to a quarantine
 folder, under the batch's own number, so that a repeated batch replaces itself.
-The panel is the latest row per key of the log; ``compact`` folds the log.
-Nothing that is being read is ever overwritten.
+Every upload is stored, however late, and also where it takes a value back to
+an earlier one; only equal rows of one batch are stored once. The panel is the
+latest row per key of the log; ``compact`` folds the log. Nothing that is being
+read is ever overwritten, and the stream keeps no state.
 """
 
 from __future__ import annotations
@@ -16,23 +18,6 @@ from pyspark.sql.streaming import StreamingQuery
 from panelcast.operators.validate import split_valid, upload_rules
 from panelcast.spec import PanelSpec
 
-# Sources publish one to two weeks late; twice that is kept.
-LATENESS = "4 weeks"
-
-
-def without_redelivery(
-    stream: DataFrame, ts: str, spec: PanelSpec = PanelSpec(), lateness: str = LATENESS
-) -> DataFrame:
-    """Drop repeated deliveries of the same content; a correction passes."""
-    content = [c for c in stream.columns if c not in (ts, *spec.key)]
-    return (
-        stream.withColumn("_content", F.xxhash64(*content))
-        .withWatermark(ts, lateness)
-        .dropDuplicatesWithinWatermark([*spec.key, "_content"])
-        .drop("_content")
-    )
-
-
 def latest_per_key(df: DataFrame, order: list[str], spec: PanelSpec = PanelSpec()) -> DataFrame:
     """The newest row of each key, combined before the shuffle."""
     rest = [c for c in df.columns if c not in spec.key]
@@ -59,7 +44,6 @@ def check_batch(
 def start_ingestion(
     uploads: DataFrame,
     domain: DataFrame,
-    ts: str,
     target: str,
     checkpoint: str,
     spec: PanelSpec = PanelSpec(),
@@ -67,16 +51,15 @@ def start_ingestion(
     """Ingest everything that has landed, then stop."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        # Two writes, one run of the stateful part.
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        # Two writes, one read of the sources.
+        batch = batch.distinct().persist(StorageLevel.MEMORY_AND_DISK)
         good, bad = check_batch(batch, domain, spec)
         good.write.mode("overwrite").parquet(f"{target}/log/batch_id={batch_id}")
         bad.write.mode("overwrite").parquet(f"{target}/quarantine/batch_id={batch_id}")
         batch.unpersist()
 
     return (
-        without_redelivery(uploads, ts, spec)
-        .writeStream.foreachBatch(append)
+        uploads.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

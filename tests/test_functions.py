@@ -73,6 +73,11 @@ def test_forecast_date(spark):
 def test_rounding_and_limits(spark):
     assert one(spark, half_up(F.lit(1.005), 2))[0] == 1.01
     assert one(spark, half_up(F.lit(-2.5), 0))[0] == -2.0
+    assert one(spark, half_up(F.lit(1e12 + 0.25), 1), half_up(F.lit(1e16), 4), half_up(F.lit(-3e300), 2)) == (
+        1e12 + 0.3, 1e16, -3e300
+    )
+    nan, inf, null = one(spark, half_up(F.lit(float("nan")), 2), half_up(F.lit(float("inf")), 2), half_up(F.lit(None), 2))
+    assert nan != nan and inf == float("inf") and null is None
     assert one(spark, clamp(F.lit(None).cast("double"), 0.0, 1.0))[0] is None
     assert one(spark, clamp(F.lit(7.0), 0.0, 1.0))[0] == 1.0
     assert one(spark, nan_to_null(F.lit(float("nan"))))[0] is None

@@ -48,10 +48,10 @@ def test_clip_spares_the_centred_index(spark):
     assert C.clip_negative(df).schema == df.schema
 
 
-@pytest.mark.parametrize("small", [Q.SMALL, 10])
-def test_quantiles_equal_numpy(spark, monkeypatch, small):
-    """Also through the bracket that large frames take."""
-    monkeypatch.setattr(Q, "SMALL", small)
+@pytest.mark.parametrize("listed", [Q.LISTED, 40])
+def test_quantiles_equal_numpy(spark, monkeypatch, listed):
+    """Also through the rounds of narrowing that large frames take."""
+    monkeypatch.setattr(Q, "LISTED", listed)
     rng = random.Random(3)
     values = [round(rng.gauss(50, 20), 1) for _ in range(30000)] + [50.0] * 15000
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
@@ -228,20 +228,40 @@ def marked(spark, data, **kw):
 
 def test_suppression_is_strict_and_counts_from_the_sent(spark):
     data = [("a", 0), ("a", 10000), ("a", 21600), ("a", 21601), ("b", 5)]
-    assert marked(spark, data) == marked(spark, data, few=0) == {("a", 0), ("a", 21601), ("b", 5)}
+    assert marked(spark, data) == {("a", 0), ("a", 21601), ("b", 5)}
 
 
-@pytest.mark.parametrize("few", [0, 100, 5000])
+@pytest.mark.parametrize("fan", [2, 64])
 @pytest.mark.parametrize("chunk", [1, 28])
-def test_suppression_equals_brute_force(spark, chunk, few):
+def test_suppression_equals_brute_force(spark, monkeypatch, chunk, fan):
+    monkeypatch.setattr(S, "FAN", fan)
     rng = random.Random(chunk)
     data = [("hot", rng.randrange(0, 4_000_000)) for _ in range(3000)]
     data += [("dense", i * 60) for i in range(2000)]
-    data += [("rare", i * 700_000) for i in range(6)] + [("rare", 3)]
+    data += [("rare", i * 700_000) for i in range(6)] + [("rare", 3), ("rare", -50_000), ("rare", -3)]
     want = {
         (k, t) for k in ("hot", "dense", "rare") for t in brute_sent([s for n, s in data if n == k], 21600)
     }
-    assert marked(spark, data, chunk_intervals=chunk, few=few) == want
+    assert marked(spark, data, chunk_intervals=chunk) == want
+
+
+def test_seasonal_deviation_of_large_totals(spark):
+    data = [(f"{y}-01-05", 1e12 + d) for y, d in ((2020, 0.0), (2021, 1.0), (2022, 3.0))] + [("2021-02-01", 6.0)]
+    df = spark.createDataFrame(data, "day string, v double").selectExpr("date(day) as date", "v")
+    got = {r["month"]: (r["mean"], r["std"]) for r in P.seasonal_profile(df, "v").collect()}
+    assert got[1] == (pytest.approx(1e12 + 4 / 3, abs=1e-3), pytest.approx(np.std([0, 1, 3], ddof=1), rel=1e-3))
+    assert got[2] == (2.0, pytest.approx(np.std([0, 6, 0], ddof=1)))
+
+
+def test_correlation_is_pairwise_complete(spark):
+    rng = random.Random(8)
+    data = [(rng.gauss(1e6, 1), rng.gauss(0, 1) if rng.random() < 0.8 else None, 3.0) for _ in range(300)]
+    data = [(a, b if b is None else b + a - 1e6, c) for a, b, c in data]
+    df = spark.createDataFrame(data, "a double, b double, c double")
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in P.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    full = np.array([(a, b) for a, b, _ in data if b is not None])
+    assert got["a", "b"] == got["b", "a"] == pytest.approx(np.corrcoef(full.T)[0, 1], abs=1e-9)
+    assert got["a", "a"] == pytest.approx(1.0) and got["a", "c"] is None and got["c", "c"] is None
 
 
 def test_normalize_and_lookup(spark):

@@ -78,7 +78,40 @@ def test_upload_csv_refusals(spark, tmp_path):
 
 def test_upload_json_list(spark, tmp_path):
     path = put(tmp_path, "up.json", '[{"province":"Azua","year":2024,"week":1,"cases":5},\n{"province":"Duarte","year":2024,"week":1,"cases":6}]')
-    assert R.read_upload_json(spark, path).agg(F.sum("cases")).first()[0] == 11
+    good, bad = R.read_upload_json(spark, path)
+    assert good.agg(F.sum("cases")).first()[0] == 11 and bad.count() == 0
+
+
+def test_upload_json_of_lines_and_lists(spark, tmp_path):
+    lines = "".join(f'{{"province":"Azua","year":2024,"week":{w},"cases":{w}}}\n' for w in range(1, 6))
+    put(tmp_path / "j", "lines.json", lines + '{"province":"Azua","week":"many"}\nnot json\n\n')
+    put(tmp_path / "j", "list.json", ' \n[{"province":"Duarte","year":2024,"week":9,"cases":6},\n {"week":"x"}]')
+    put(tmp_path / "j", "cut.json", '[{"province":"Duarte"')
+    good, bad = R.read_upload_json(spark, str(tmp_path / "j"))
+    assert sorted((r["province"], r["week"], r["cases"]) for r in good.collect()) == [
+        ("Azua", w, w) for w in range(1, 6)
+    ] + [("Duarte", 9, 6)]
+    assert len(bad.collect()) == 4
+
+
+def test_panel_csv_by_name(spark, tmp_path):
+    put(tmp_path / "p", "a.csv", "cases,week,province,year,note\n7,1,Azua,2024,x\n8.0,2,Azua,2024,\n")
+    put(tmp_path / "p", "b.csv", "province,year,week,date,rainfall_mm\nDuarte,2024,1,2024-01-01,many\n")
+    got = R.read_panel(spark, str(tmp_path / "p"), "csv").select("province", "week", "cases", "rainfall_mm", "date")
+    rows = sorted((r["province"], r["week"], r["cases"], r["rainfall_mm"], str(r["date"])) for r in got.collect())
+    assert rows == [("Azua", 1, 7, None, "None"), ("Azua", 2, 8, None, "None"), ("Duarte", 1, None, None, "2024-01-01")]
+    put(tmp_path / "q", "c.csv", "province,week,cases\nAzua,1,7\n")
+    with pytest.raises(ValueError, match="year"):
+        R.read_panel(spark, str(tmp_path / "q"), "csv")
+
+
+def test_case_files_with_their_own_year(spark, tmp_path):
+    put(tmp_path / "c", "cases_2019.csv", "province,year,week,cases,deaths,severe_cases\nAzua,2018,5,9,1,2\n")
+    put(tmp_path / "c", "cases_2020.csv", "week,province,cases\n3,Azua,4\n")
+    got = R.read_yearly_cases(spark, str(tmp_path / "c")).orderBy("year").collect()
+    assert [tuple(r[c] for c in ("province", "year", "week", "cases", "severe_cases")) for r in got] == [
+        ("Azua", 2018, 5, 9, 2), ("Azua", 2020, 3, 4, None)
+    ]
 
 
 def test_nan_becomes_null(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.suppression import mark_sent
 from panelcast.streaming import uploads as S
-from panelcast.streaming.alerts import due_alerts
+from panelcast.streaming.alerts import due_alerts, use_state_store
 
 UPLOAD = "province string, year int, week int, cases long, ts timestamp"
 
@@ -16,7 +16,7 @@ def at(day, hour=0):
 
 def ingest(spark, folder, target, domain):
     stream = spark.readStream.schema(UPLOAD).parquet(folder)
-    S.start_ingestion(stream, domain, "ts", target, f"{target}/checkpoint").awaitTermination()
+    S.start_ingestion(stream, domain, target, f"{target}/checkpoint").awaitTermination()
 
 
 def test_uploads_equal_the_batch_form(spark, tmp_path):
@@ -36,8 +36,8 @@ def test_uploads_equal_the_batch_form(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [
         ("Azua", 1, 9), ("Duarte", 2, 8)
     ]
-    # The second delivery of the same content was dropped: the log has three rows.
-    assert spark.read.parquet(f"{target}/log").count() == 3
+    # Every valid upload is kept, also one that repeats an older content.
+    assert spark.read.parquet(f"{target}/log").count() == 5
     failed = {r["province"]: r["failed"] for r in S.quarantined(spark, target).collect()}
     assert failed == {"Duarte": ["cases_nonnegative"], "Atlantis": ["entity_domain"]}
     S.compact(spark, target, str(tmp_path / "small"), ["ts"])
@@ -45,7 +45,24 @@ def test_uploads_equal_the_batch_form(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_late_uploads_and_corrections_back_are_kept(spark, tmp_path):
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    domain = spark.createDataFrame([("Azua",)], "province string")
+    parts = [
+        [("Azua", 2024, 1, 10, at(20)), ("Azua", 2024, 1, 10, at(20))],
+        [("Azua", 2024, 1, 20, at(21))],
+        [("Azua", 2024, 1, 10, at(22)), ("Azua", 2023, 50, 7, dt.datetime(2023, 12, 20))],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, UPLOAD).coalesce(1).write.mode("append").parquet(folder)
+        ingest(spark, folder, target, domain)
+    got = S.current_panel(spark, target, ["ts"]).select("year", "week", "cases").collect()
+    assert sorted(map(tuple, got)) == [(2023, 50, 7), (2024, 1, 10)]
+    assert spark.read.parquet(f"{target}/log").count() == 4
+
+
 def test_alert_stream_equals_batch_over_two_runs(spark, tmp_path):
+    use_state_store(spark)
     rng = random.Random(1)
     data = [(k, rng.randrange(0, 400_000)) for k in ("a", "b", "c") for _ in range(60)]
     data += [("d", 0), ("d", 10000), ("d", 21600), ("d", 21601)]
