@@ -32,6 +32,8 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dd": ("dd dt", ("dl",)), "
           "tr": ("tr td th", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)),
           "option": ("option", ("select",))}
 DEEPEST = 120
+#: Neighbours of one shape that keep slots of their own.
+TWINS = 2
 #: A constant node is template if so many pages of the host have it.
 MIN_PAGES = 8
 SHAPES_PER_GROUP = 400
@@ -148,28 +150,25 @@ def parse(source: str | None) -> Node:
 def shape_of(root: Node) -> tuple[str, int]:
     """The shape of a tree and its number of text slots; sets the slot of every text node.
 
-    A shape writes labels with their children's shapes in brackets. Neighbours of the same shape are written
-    once and share their slots."""
+    A shape writes labels with their children's shapes in brackets. More than TWINS neighbours of the same shape
+    are written once, with a plus, and share their slots."""
     shapes: dict[int, str] = {}
 
-    def shape(node: Node) -> str:
-        if id(node) not in shapes:
-            inner: list[str] = []
-            for child in node.children:
-                own = shape(child)
-                if not inner or own != inner[-1]:
-                    inner.append(own)
-            shapes[id(node)] = node.label + ("(" + ",".join(inner) + ")" if inner else "")
-        return shapes[id(node)]
-
     def runs(node: Node) -> list[list[Node]]:
+        """The children, those that share slots together."""
         out: list[list[Node]] = []
         for child in node.children:
-            if out and shapes[id(out[-1][0])] == shapes[id(child)]:
+            if out and shape(out[-1][0]) == shape(child):
                 out[-1].append(child)
             else:
                 out.append([child])
-        return out
+        return [part for run in out for part in ([run] if len(run) > TWINS else [[x] for x in run])]
+
+    def shape(node: Node) -> str:
+        if id(node) not in shapes:
+            inner = [shape(run[0]) + "+" * (len(run) > 1) for run in runs(node)]
+            shapes[id(node)] = node.label + ("(" + ",".join(inner) + ")" if inner else "")
+        return shapes[id(node)]
 
     def number(nodes: list[Node], first: int) -> int:
         """Number all ``nodes``, of one shape, alike; returns the next free slot."""
@@ -196,7 +195,7 @@ class Wrapper:
 def read_shape(shape: str, stats: list[tuple[int, int, int]]) -> Wrapper:
     """The tree of a shape, its text slots filled with (pages, least hash, largest hash) in order."""
     root, stack, slot = None, [], 0
-    for m in re.finditer(r"([^(),]+)(\()?|\)", shape):
+    for m in re.finditer(r"([^(),+]+)(\()?|\)", shape):
         if m.group(1):
             node = Wrapper(m.group(1))
             if node.label in ("#text", "#link"):

@@ -128,11 +128,12 @@ class ToxicityModel:
         p = np.clip([self.vote(k, (i, y))[0] for k, y, _, i in rows], 1e-4, 1 - 1e-4)
         x, y, n = np.log(p / (1 - p)), np.array([r[1] for r in rows], "f8"), np.array([r[2] for r in rows], "f8")
         design, beta = np.column_stack([x, np.ones(len(x))]), np.array([1.0, 0.0])
-        for _ in range(30):
-            s = 1 / (1 + np.exp(-design @ beta))
-            slope = (design * (n * (s - y))[:, None]).sum(0) + 1e-3 * (beta - [1.0, 0.0])
-            curve = (design * (n * s * (1 - s))[:, None]).T @ design + 1e-3 * np.eye(2)
-            beta = beta - np.linalg.solve(curve, slope)
+        for _ in range(50):
+            s = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+            slope = (design * (n * (s - y))[:, None]).sum(0) + 0.1 * (beta - [1.0, 0.0])
+            curve = (design * (n * s * (1 - s))[:, None]).T @ design + 0.1 * np.eye(2)
+            step = np.linalg.solve(curve, slope)
+            beta = beta - step / max(1.0, 2 * np.abs(step).max())
         if np.isfinite(beta).all() and beta[0] > 0:
             self.slope, self.shift = map(float, beta)
 
@@ -160,8 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     chosen = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_examples rows of two numbers
-    sketches = F.pandas_udf(lambda x: pd.Series([sketch(t) for t in strings(x)]), "long", F.PandasUDFType.SCALAR)
-    examples = examples.withColumn("sketch", sketches("text")).groupBy("sketch", "label").agg(
+    def sketches(texts: pd.Series) -> pd.Series:
+        return pd.Series([sketch(t) for t in strings(texts)], dtype="i8")
+
+    examples = examples.withColumn("sketch", F.pandas_udf(sketches, "long")("text")).groupBy("sketch", "label").agg(
         F.min_by(F.struct("doc_id", "text"), "doc_id").alias("one"))
     examples = materialized(examples.select("one.*", "label"), "toxic-examples")
 
