@@ -58,9 +58,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids, decoded_ok of every document left; null and empty texts have no ids."""
-    out = pieces.encoded(docs.select("doc_id", "text"), pieces.load(), into=MARK)
-    return out.select("doc_id", F.size(F.col(MARK)["ids"]).cast("long").alias("n_ids"), F.col(MARK)["ids"].alias("ids"),
-                      F.col(MARK)["decoded_ok"].alias("decoded_ok"))
+    return pieces.encoded(docs, pieces.load())
 
 
 STAGES = [

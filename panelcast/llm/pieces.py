@@ -8,6 +8,7 @@ there after its predecessor. That makes the best path the same as merging would
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -18,9 +19,13 @@ from panelcast.llm.common import send_code, strings
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words and neighbour pairs that a task remembers; the memory is emptied beyond.
-REMEMBERED = 300_000
-ENCODED = "ids array<int>, decoded_ok boolean"
+#: Words, and neighbour pairs, that a Python worker remembers in each of two generations; the older one is
+#: forgotten when the younger is full.
+REMEMBERED = 500_000
+#: Documents encoded before their ids are handed over.
+AT_A_TIME = 500
+#: A score below all others.
+NEVER = float("-inf")
 #: Places after which a long run of text is tested for a boundary that all paths share.
 COMMIT_EVERY = 64
 
@@ -29,113 +34,164 @@ class Pieces:
     """Pieces with their ranks. ``pieces`` lists (piece, id, score); ``byte_ids`` the ids of the 256 bytes."""
 
     def __init__(self, pieces: list[tuple[str, int, float]], byte_ids: list[int]):
-        self.ids = {p: i for p, i, _ in pieces}
+        self.entries = pieces
         self.rank = {p: s for p, _, s in pieces}
         self.byte_ids = byte_ids
-        self.longest = max(map(len, self.ids), default=1)
-        # No piece crosses from another sign to a space mark, so encodings never do.
-        self.crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        size = max([*self.ids.values(), *byte_ids]) + 1
-        self.texts = [b""] * size
-        for p, i in self.ids.items():
+        self.longest = max(map(len, self.rank), default=1)
+        # Two signs that stand together in no piece are never merged: every path has a boundary between them.
+        self.beside = {p[i:i + 2] for p in self.rank for i in range(len(p) - 1)}
+        self.crossing = any(b[1] == SPACE != b[0] for b in self.beside)
+        self.size = max([*(i for _, i, _ in pieces), *byte_ids]) + 1
+        self.names = [""] * self.size
+        self.texts = [b""] * self.size
+        self.steps: list[list[tuple[float, str, str]]] = [[]] * self.size
+        self.trie: dict[str, list] = {}  # sign -> [id of the piece that ends here or -1, what follows]
+        for p, i, _ in pieces:
+            self.names[i] = p
             self.texts[i] = p.replace(SPACE, " ").encode()
+            parts, self.steps[i] = self.merged(p)
+            if parts == [p]:
+                node = self.trie
+                for sign in p[:-1]:
+                    node = node.setdefault(sign, [-1, {}])[1]
+                node.setdefault(p[-1], [-1, {}])[0] = i
         for value, i in enumerate(byte_ids):
             self.texts[i] = bytes([value])
-        self.words: dict[str, list[int]] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.whole = {p: self.merged(p) == [p] for p in self.ids}
-
-    def __getstate__(self):
-        return self.__dict__ | {"words": {}, "fits": {}}
-
-    def merged(self, text: str) -> list[str]:
-        """A short text merged pair by pair, best score first, leftmost on ties; tells whether pieces fit."""
-        parts = list(text)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+
+    def merged(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """A short text merged pair by pair, best score first, leftmost on ties: the parts left, and after each step
+        its score and the first and last part."""
+        parts, steps = list(text), []
         while len(parts) > 1:
-            scores = [self.rank.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-            best = max((s for s in scores if s is not None), default=None)
-            if best is None:
+            scores = [self.rank.get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+            best = max(scores)
+            if best == NEVER:
                 break
             at = scores.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def fit(self, one: str, other: str) -> bool:
-        """Whether ``other`` can follow ``one``. A sign without a piece never merges, so it fits everywhere."""
-        key = one, other
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > REMEMBERED:
-                self.fits.clear()
-            known = self.fits[key] = self.merged(one + other) == [one, other]
-        return known
-
-    def path(self, text: str):
-        """The pieces of ``text``, in order. Kept are the last pieces that end at each of the ``longest`` places
-        before the current one, and the part of the path not yet committed: everything before the last boundary
-        that all surviving paths share is handed out and forgotten."""
-        last = {0: ""}  # place -> the piece that ends there
-        done = 0
-        for end in range(1, len(text) + 1):
-            for start in range(max(done, end - self.longest), end):
-                piece = text[start:end]
-                if end - start > 1 and not self.whole.get(piece, False):
-                    continue
-                before = last[start]
-                if not before or self.fit(before, piece):
-                    last[end] = piece
+            steps.append((best, parts[0], parts[-1]))
+        return parts, steps
+
+    def fit(self, one: int, other: int) -> bool:
+        """Whether the piece ``other`` can follow the piece ``one``: merging both side by side, no step of the two
+        comes after a merge across the boundary between them. Remembered by the caller."""
+        if len(self.fits) > REMEMBERED:
+            self.fits.clear()
+        left, right, rank = self.steps[one], self.steps[other], self.rank
+        last, first = self.names[one][-1], self.names[other][0]
+        i = j = 0
+        while True:
+            a, b = left[i][0] if i < len(left) else NEVER, right[j][0] if j < len(right) else NEVER
+            across = rank.get(last + first, NEVER)
+            if across > a and across >= b:
+                return False
+            if a == NEVER and b == NEVER:
+                return True
+            if a >= b:
+                last = left[i][2]
+                i += 1
+            else:
+                first = right[j][1]
+                j += 1
+
+    def path(self, text: str) -> array:
+        """The ids of ``text``, a stretch of signs, by a Viterbi pass.
+
+        The lattice keeps, for each of the places that a piece from here can reach, the one piece that ends there
+        after its predecessor (-1: none yet, -2: a sign without a piece, which fits everywhere), and the part of
+        the path not yet committed: everything before the last boundary that all surviving paths share is
+        handed out and forgotten, so no more than a window is held of a text of any length."""
+        fits, trie, width, size = self.fits, self.trie, self.size, len(text)
+        out, done = array("i"), 0
+        window = min(size, COMMIT_EVERY + self.longest) + 1
+        last, length = [-2] + [-1] * (window - 1), [0] * window  # of the places from ``done`` on
+        for start in range(size):
+            here = start - done
+            before, node = last[here], trie
+            place = here
+            for sign in text[start:start + self.longest]:
+                found = node.get(sign)
+                if found is None:
                     break
-            if end % COMMIT_EVERY == 0:
-                shared = self._shared(last, end, done)
-                if shared > done:
-                    yield from self._trace(last, done, shared)
-                    last = {p: x for p, x in last.items() if p >= shared}
-                    done = shared
-        yield from self._trace(last, done, len(text))
-
-    def _shared(self, last: dict[int, str], end: int, done: int) -> int:
-        """The last boundary that the paths to all places of the window run through."""
-        live = set(range(max(done, end - self.longest + 1), end + 1))
+                place += 1
+                piece, node = found
+                if piece >= 0 and last[place] == -1:
+                    if before >= 0:
+                        key = before * width + piece
+                        fine = fits.get(key)
+                        if fine is None:
+                            fine = fits[key] = self.fit(before, piece)
+                        if not fine:
+                            continue
+                    last[place], length[place] = piece, place - here
+            if last[here + 1] == -1 and (place == here or trie[text[start]][0] < 0):
+                last[here + 1], length[here + 1] = -2, 1
+            if here + 1 >= COMMIT_EVERY and start + 1 < size:
+                shared = self._shared(last, length, here + 1)
+                if shared:
+                    self._commit(text, done, last, length, shared, out)
+                    del last[:shared], length[:shared]
+                    done += shared
+                more = min(size - done, here + 1 + COMMIT_EVERY + self.longest) + 1 - len(last)
+                last += [-1] * more
+                length += [0] * more
+        self._commit(text, done, last, length, size - done, out)
+        return out
+
+    @staticmethod
+    def _shared(last: list[int], length: list[int], now: int) -> int:
+        """The last boundary that the paths to this place and to all places reached beyond run through."""
+        live = {i for i in range(now, len(last)) if last[i] != -1}
         while len(live) > 1:
             far = max(live)
             live.discard(far)
-            live.add(max(done, far - len(last[far])) if far > done else done)
+            live.add(far - length[far])
         return live.pop()
 
-    @staticmethod
-    def _trace(last: dict[int, str], start: int, end: int) -> list[str]:
-        out = []
-        while end > start:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
-
-    def _ids(self, text: str) -> list[int]:
-        out = []
-        for piece in self.path(text):
-            known = self.ids.get(piece)
-            out += [known] if known is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "replace")]
-        return out
+    def _commit(self, text: str, done: int, last: list[int], length: list[int], end: int, out: array) -> None:
+        """Hand out the ids of the path to place ``end``."""
+        ids: list[int] = []
+        while end > 0:
+            if last[end] >= 0:
+                ids.append(last[end])
+            else:
+                ids += [self.byte_ids[b] for b in reversed(text[done + end - 1].encode("utf-8", "replace"))]
+            end -= length[end]
+        out.extend(ids[::-1])
+
+    def _remembered(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= 64:
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
+            self.known[text] = ids
+        return ids
+
+    def _part(self, text: str) -> bytes:
+        return self.known.get(text) or self._remembered(text, self.older.get(text) or self.path(text).tobytes())
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word, cut where two signs are never merged; its parts are remembered too."""
+        old = self.older.get(word)
+        if old is None:
+            cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.beside]
+            if not cuts:
+                return self._part(word)
+            parts = [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+            old = b"".join([self._part(p) for p in parts])
+        return self._remembered(word, old)
 
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text: spaces become space marks, one is put in front, and words, each with the marks
-        before it, are encoded by themselves and remembered while short. Null and empty texts have no ids."""
+        """The ids of a text: spaces become space marks and one is put in front. Null and empty texts have none."""
         if not text:
             return np.zeros(0, "i4")
         text = SPACE + text.replace(" ", SPACE)
-        if self.crossing:
-            return np.array(self._ids(text), "i4")
-        out: list[int] = []
-        for word in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self._ids(word)
-                if len(word) <= 64:
-                    if len(self.words) > REMEMBERED:
-                        self.words.clear()
-                    self.words[word] = ids
-            out += ids
-        return np.array(out, "i4")
+        # Cut before a space mark that no piece has after another sign; without such pieces, before all of them.
+        words = [text] if self.crossing else re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)
+        get, word = self.known.get, self._word
+        return np.frombuffer(b"".join([get(w) or word(w) for w in words]), "i4")
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids, without the space put in front; broken bytes become U+FFFD."""
@@ -154,20 +210,31 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(plain, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
 
-def encoded(docs: DataFrame, pieces: Pieces, text: str = "text", into: str = "pieces") -> DataFrame:
-    """``docs`` with a struct column ``into``: the ids of the whole text, and whether decoding them gives the
-    text back (with each space mark in it as a space, as the vocabulary can't tell them apart).
+def encoded(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` of every row of ``docs``, the ids of its whole text, and whether decoding them gives the text back
+    (with each space mark in it as a space, as the vocabulary can't tell them apart): key, n_ids, ids, decoded_ok.
 
-    Null and empty texts have no ids and decode to the empty text. Rows never meet one another."""
+    Null and empty texts have no ids and decode to the empty text. Rows never meet one another; few at a time
+    are held as ids, so that long texts need no more memory than they must."""
     send_code(__name__)
-
-    @F.pandas_udf(ENCODED)
-    def encode(texts: pd.Series) -> pd.DataFrame:
-        ids, same = [], []
-        for x in strings(texts):
-            found = pieces.encode(x)
-            ids.append(found)
-            same.append(pieces.decode(found.tolist()) == (x or "").replace(SPACE, " "))
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded_ok": same})
-
-    return docs.withColumn(into, encode(F.col(text)))
+    names = [key, "n_ids", "ids", "decoded_ok"]
+    # A vocabulary is small. A worker keeps what is broadcast from task to task, and so what it has remembered.
+    shared = docs.sparkSession.sparkContext.broadcast({"pieces": pieces.entries, "byte_ids": pieces.byte_ids})
+
+    def encode(frames):
+        held = shared.value
+        if "model" not in held:
+            held["model"] = Pieces(held["pieces"], held["byte_ids"])
+        model = held["model"]
+        for frame in frames:
+            for at in range(0, len(frame), AT_A_TIME):
+                part = frame.iloc[at:at + AT_A_TIME]
+                rows = []
+                for k, x in zip(part[key].to_numpy(object), strings(part[text]), strict=True):
+                    ids = model.encode(x)
+                    same = model.decode(ids.tolist()) == (x or "").replace(SPACE, " ")
+                    rows.append((None if k is None or k != k else k, len(ids), ids, same))
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInPandas(encode, f"`{key}` {kind}, n_ids long, ids array<int>, decoded_ok boolean")
