@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelcast.catalog import bindings as B
 from panelcast.catalog.registry import query
 from panelcast.operators.suppression import digest, mark_sent
-from panelcast.session import scratch_path
+from panelcast.session import materialized, scratch_path
 from panelcast.streaming.alerts import due_alerts, use_state_store
 
 ALERT = "event_type = 'error' and value >= 65"
@@ -53,7 +53,8 @@ def event_suppression(spark, sf):
     from a join chain c on c.user_id = a.user_id and c.ts = a.ts""",
 )
 def alert_digest(spark, sf):
-    sent = mark_sent(alerts(spark, sf), "user_id", "ts").where("sent")
+    # Marked once; the digest reads it for the counts and for the rows.
+    sent = materialized(mark_sent(alerts(spark, sf), "user_id", "ts").where("sent"), "sent")
     made = digest(sent, "ts", "value", 65.0, ["event_id", "user_id"])
     return made.withColumn("tick", F.date_format("tick", "yyyy-MM-dd HH:mm:ss")).orderBy(
         "tick", F.desc("value"), "event_id"

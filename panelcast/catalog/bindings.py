@@ -14,6 +14,7 @@ from panelcast.functions.numeric import half_up
 from panelcast.functions.risk import incidence
 from panelcast.functions.temporal import iso_week, iso_year, week_start
 from panelcast.operators.assemble import assemble_panel, derive_demographics
+from panelcast.session import materialized
 from panelcast.spec import PanelSpec
 
 SPEC = PanelSpec()
@@ -120,6 +121,11 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The master panel, assembled once and written, for queries that read it more than once."""
+    return materialized(panel(spark, sf), "panel")
+
+
 def entity_dim(spark: SparkSession, sf: str) -> DataFrame:
     """Nations with code and coordinates derived from the key."""
     key = F.col("n_nationkey")

@@ -25,6 +25,7 @@ from panelcast.operators.evaluate import (
 from panelcast.operators.split import fold_sizes, time_split
 from panelcast.operators.validate import forecast_rules, with_failures
 from panelcast.operators.windows import tail_rows, target_columns
+from panelcast.session import materialized
 
 text = lambda c: F.col(c).cast("string").alias(c)
 RISK = "outbreak_risk_index"
@@ -71,7 +72,7 @@ def members(panel):
 
 def combined(spark, sf, panel=None):
     """The second member is missing for the entities of one region."""
-    rf, mlp = members(B.panel(spark, sf) if panel is None else panel)
+    rf, mlp = members(B.stored_panel(spark, sf) if panel is None else panel)
     known = B.region_nations(spark, sf, F.col("r_name") != "AMERICA")
     return O.combine_members({"rf": rf, "mlp": mlp.join(known, "province", "left_semi")})
 
@@ -155,7 +156,7 @@ _SUMMARY = f"""select province_code, province, latitude, longitude, cast(d as va
 
 
 def summary(spark, sf, panel=None):
-    panel = B.panel(spark, sf) if panel is None else panel
+    panel = B.stored_panel(spark, sf) if panel is None else panel
     last = panel.groupBy("province").agg(F.max("date").cast("string").alias("last_data_date"))
     as_of = panel.agg(F.max("date").cast("string")).scalar()
     return O.summary_table(forecast(spark, sf, panel), B.entity_dim(spark, sf), last, as_of)
@@ -179,7 +180,7 @@ def forecast_summary(spark, sf):
     ),
 )
 def forecast_long(spark, sf):
-    panel = B.panel(spark, sf)
+    panel = B.stored_panel(spark, sf)
     as_of = panel.agg(F.max("date")).scalar()
     made = O.long_table(forecast(spark, sf, panel), B.entity_dim(spark, sf), as_of)
     return made.withColumn("forecast_date", F.col("forecast_date").cast("string"))
@@ -227,7 +228,8 @@ def forecast_series(spark, sf):
 def member_band(spark, sf):
     from panelcast.operators.reports import with_envelope
 
-    made = forecast(spark, sf)
+    # One row per entity, read for the axis and for the rows.
+    made = materialized(forecast(spark, sf), "forecast")
     axis = O.axis_range(made).select(*[half_up(c, 2).alias(c) for c in ("axis_min", "axis_max")])
     return with_envelope(O.member_band(made), axis)
 

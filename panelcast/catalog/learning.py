@@ -1,79 +1,137 @@
-"""Learned forecasts. Seeds are fixed; rows, ranges and schema can be checked.
+"""Learned forecasts, at the library's full size. Seeds are fixed; rows, ranges and sums have SQL twins.
 
-The forests here are smaller than the library's default, so that a check of all
-queries stays short; data and horizons are whole.
+Several queries read the same two fitted members, so a session fits them once for a folder of tables.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from panelcast.catalog import bindings as B
 from panelcast.catalog.registry import query
+from panelcast.catalog.sql import over_panel
 from panelcast.functions.numeric import half_up
 from panelcast.operators import forecast as O
 from panelcast.plans import prediction as P
 from panelcast.plans import training as T
-from panelcast.session import materialized
 
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 8}
-SMALL_BOOSTED = {"maxIter": 10, "maxDepth": 4}
+_HORIZONS = "(select cast(unnest(generate_series(1, 4)) as int) as horizon)"
+_prepared, _members = {}, {}
 
 
 def prepared(spark, sf):
-    return T.prepare(materialized(B.panel(spark, sf), "panel"))
+    """The feature table of a folder, once for a session."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _prepared:
+        _prepared[key] = T.prepare(B.stored_panel(spark, sf))
+    return _prepared[key]
+
+
+def members(spark, sf):
+    """Both fitted members and the seconds they took, once for a session."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _members:
+        data, start = prepared(spark, sf), time.perf_counter()
+        fitted = {"rf": T.train_forest(data), "mlp": T.train_boosted(data)}
+        _members[key] = fitted, time.perf_counter() - start
+    return _members[key]
 
 
 def rounded(df, columns, digits=4):
     return df.withColumns({c: half_up(c, digits) for c in columns})
 
 
+_EVERY_HORIZON = over_panel(
+    f"select province, horizon, true as in_range from (select distinct province from panel) cross join {_HORIZONS}"
+)
+
+
+def _in_range(made):
+    return made.select("province", "horizon", F.col("value").between(0, 100).alias("in_range"))
+
+
 @query("rf_forecast")
 def rf_forecast(spark, sf):
     """Four weeks ahead for every entity, from its latest row."""
-    data = prepared(spark, sf)
-    made = P.member_forecasts(data, {"rf": T.train_forest(data, **SMALL_FOREST)})["rf"]
+    made = P.member_forecasts(prepared(spark, sf), {"rf": members(spark, sf)[0]["rf"]})["rf"]
     return rounded(made, ["value"], 2)
 
 
+@query("rf_forecast_range", _EVERY_HORIZON)
+def rf_forecast_range(spark, sf):
+    """That the forest forecasts every entity and horizon, within 0-100."""
+    return _in_range(P.member_forecasts(prepared(spark, sf), {"rf": members(spark, sf)[0]["rf"]})["rf"])
+
+
 @query("sequence_forecast")
 def sequence_forecast(spark, sf):
     """Four weeks ahead for every entity, from its last twelve rows."""
-    data = prepared(spark, sf)
-    made = P.member_forecasts(data, {"mlp": T.train_boosted(data, **SMALL_BOOSTED)})["mlp"]
+    made = P.member_forecasts(prepared(spark, sf), {"mlp": members(spark, sf)[0]["mlp"]})["mlp"]
     return rounded(made, ["value"], 2)
 
 
+@query("sequence_forecast_range", _EVERY_HORIZON)
+def sequence_forecast_range(spark, sf):
+    """That the boosted member forecasts every entity and horizon, within 0-100."""
+    return _in_range(P.member_forecasts(prepared(spark, sf), {"mlp": members(spark, sf)[0]["mlp"]})["mlp"])
+
+
 @query("feature_importance")
 def feature_importance(spark, sf):
-    data = prepared(spark, sf)
-    return rounded(T.train_forest(data, **SMALL_FOREST).importance(spark, 20), ["importance"], 6)
+    return rounded(members(spark, sf)[0]["rf"].importance(spark, 20), ["importance"], 6)
+
+
+@query("feature_importance_sum", "select 1.0::double as total, true as none_negative")
+def feature_importance_sum(spark, sf):
+    """That the importances of all features are shares of one."""
+    model = members(spark, sf)[0]["rf"]
+    every = model.importance(spark, len(model.names))
+    return every.agg(half_up(F.sum("importance"), 6).alias("total"),
+                     F.bool_and(F.col("importance") >= 0).alias("none_negative"))
 
 
 @query("cv_metrics")
 def cv_metrics(spark, sf):
-    """Errors per fold and horizon on expanding windows."""
-    made = T.cross_validate(prepared(spark, sf), **(SMALL_FOREST | {"numTrees": 10}))
-    return rounded(made, ["mae", "rmse", "r2"])
+    """Errors of full forests per fold and horizon on expanding windows."""
+    return rounded(T.cross_validate(prepared(spark, sf)), ["mae", "rmse", "r2"])
 
 
 @query("training_report")
 def training_report(spark, sf):
-    """Both members, their combination and the last value, on held-out weeks."""
+    """Both members, their combination and the last value, on training and held-out weeks."""
     data = prepared(spark, sf)
-    members = {"rf": T.train_forest(data, **SMALL_FOREST), "mlp": T.train_boosted(data, **SMALL_BOOSTED)}
-    metrics = T.evaluate_members(data, members)
-    report = T.training_report(data, metrics)
+    fitted, seconds = members(spark, sf)
+    metrics = T.evaluate_members(data, fitted)
+    report = T.training_report(data, metrics, T.evaluate_members(data, fitted, "train"), seconds=seconds)
     return report.select(
-        "train_samples", "val_samples", "test_samples", "meets_threshold",
+        "train_samples", "val_samples", "test_samples", "meets_threshold", "seconds",
         half_up("ensemble_accuracy_pct", 4).alias("ensemble_accuracy_pct"),
         F.explode("members").alias("m"),
-    ).select("*", "m.member", *[half_up(f"m.{c}", 4).alias(c) for c in ("mae", "rmse", "r2")]).drop("m")
+    ).select(
+        "*", "m.member", *[half_up(f"m.{c}", 4).alias(c) for c in ("mae", "rmse", "r2", "train_mae", "train_rmse", "train_r2")]
+    ).drop("m")
+
+
+@query(
+    "training_samples",
+    over_panel(
+        """select count(*) filter (where target_date < c.val_start) as train_samples,
+        count(*) filter (where date >= c.val_start and target_date < c.test_start) as val_samples,
+        count(*) filter (where date >= c.test_start and target_date is not null) as test_samples
+        from (select date, lead(date, 4) over (partition by province order by date) as target_date from panel), c""",
+        """days as (select list(distinct date order by date) as d, count(distinct date) as n from panel),
+        c as (select d[n - 2 * floor(n * 0.15)::int + 1] as val_start, d[n - floor(n * 0.15)::int + 1] as test_start
+          from days)""",
+    ),
+)
+def training_samples(spark, sf):
+    """Rows of the three periods, as the report counts them."""
+    return T.sample_counts(prepared(spark, sf))
 
 
 @query("scored_entities")
 def scored_entities(spark, sf):
     """The forecast record of every entity from both learned members."""
-    data = prepared(spark, sf)
-    members = {"rf": T.train_forest(data, **SMALL_FOREST), "mlp": T.train_boosted(data, **SMALL_BOOSTED)}
-    return O.flatten_forecast(P.score(data, members))
+    return O.flatten_forecast(P.score(prepared(spark, sf), members(spark, sf)[0]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.catalog import bindings as B
+from panelcast.catalog.forecasts import FORECAST_SQL, forecast
 from panelcast.catalog.registry import query
 from panelcast.catalog.sql import over_panel, r, risk_class
 from panelcast.functions import labels as L
@@ -28,29 +29,31 @@ def over_latest(select: str, ctes: str = "") -> str:
     return over_panel(select, LATEST_SQL + (f",\n{ctes}" if ctes else ""))
 
 
-def latest(spark, sf):
+def latest(spark, sf, panel=None):
     """Last panel row of each entity with ``risk`` and ``risk_level``."""
-    last = latest_row(B.panel(spark, sf)).withColumn("risk", F.col(RISK))
+    last = latest_row(B.panel(spark, sf) if panel is None else panel).withColumn("risk", F.col(RISK))
     return P.with_class(last, "risk")
 
 
 @query(
     "overview",
     over_latest(
-        f"""select province, risk, risk_level, risk >= 65 as is_epidemic,
+        f"""select province, risk, risk_level, risk >= 65 as is_epidemic, trend,
         (select count(*) from latest) as total_entities,
         (select count(*) from latest where risk >= 65) as epidemic_count,
         (select count(*) from latest where risk >= 80) as alert_count,
         {r('(select avg(risk) from latest)', 2)} as average_risk,
         (select province from latest order by risk desc, province desc limit 1) as highest_risk_entity
-        from latest"""
+        from latest join (select province, trend from forecast) using (province)""",
+        FORECAST_SQL.strip(),
     ),
 )
 def overview(spark, sf):
     """Envelope values on every item row, items by falling risk."""
-    rows = latest(spark, sf)
+    panel = B.stored_panel(spark, sf)
+    rows = latest(spark, sf, panel).join(forecast(spark, sf, panel).select("province", "trend"), "province")
     kpis = P.overview(rows).withColumn("average_risk", half_up("average_risk", 2))
-    items = rows.select("province", "risk", "risk_level", (F.col("risk") >= 65).alias("is_epidemic"))
+    items = rows.select("province", "risk", "risk_level", (F.col("risk") >= 65).alias("is_epidemic"), "trend")
     return P.with_envelope(items, kpis).orderBy(F.desc("risk"), "province")
 
 
@@ -84,7 +87,7 @@ def kpi_row(spark, sf):
 )
 def epidemic_banner(spark, sf):
     """Names for the banner of each week, with that week's count."""
-    high = P.threshold_alerts(B.panel(spark, sf), RISK)
+    high = P.threshold_alerts(B.stored_panel(spark, sf), RISK)
     counts = high.groupBy("date").agg(F.count(F.lit(1)).alias("epidemic_count"))
     return high.join(counts, "date").select(
         text("date"), "province", F.col(RISK).alias("risk"), "epidemic_count"
@@ -124,7 +127,7 @@ def alerts_threshold(spark, sf):
     ),
 )
 def alerts_critical(spark, sf):
-    hits = P.threshold_alerts(B.panel(spark, sf), RISK, 80.0)
+    hits = P.threshold_alerts(B.stored_panel(spark, sf), RISK, 80.0)
     rows = hits.select("province", text("date"), F.col(RISK).alias("risk"))
     total = hits.agg(F.count(F.lit(1)).alias("total"))
     return P.with_envelope(rows, total).orderBy(F.desc("risk"), "province", "date")
@@ -177,17 +180,22 @@ def map_layer(spark, sf):
 @query(
     "complete_entities",
     over_latest(
-        """select n_name as province, coalesce(l.risk, 0.0) as risk, coalesce(l.risk_level, 'Sin datos') as risk_level,
-        coalesce(l.risk >= 65, false) as is_epidemic from nation left join
-        (select l.* from latest l join nation on n_name = province join region on n_regionkey = r_regionkey
-         where r_name <> 'AFRICA') l on l.province = n_name"""
+        f"""select n_name as province, coalesce(l.risk_index, 0.0) as risk_index,
+        coalesce(l.risk_level, 'Sin datos') as risk_level,
+        {', '.join(f'coalesce(l.w{h}, 0.0) as week_{h}' for h in range(1, 5))},
+        coalesce(l.peak_risk, 0.0) as peak_risk, coalesce(l.peak_week, 1) as peak_week,
+        coalesce(l.risk_index >= 65, false) as is_epidemic, coalesce(l.risk_index >= 80, false) as is_alert,
+        coalesce(l.trend, 'Sin datos') as trend from nation left join
+        (select l.* from forecast l join nation on n_name = province join region on n_regionkey = r_regionkey
+         where r_name <> 'AFRICA') l on l.province = n_name""",
+        FORECAST_SQL.strip(),
     ),
 )
 def complete_entities(spark, sf):
     """Predictions exist for the entities of all regions but one."""
     known = B.region_nations(spark, sf, F.col("r_name") != "AFRICA")
-    made = latest(spark, sf).join(known, "province", "left_semi").select(
-        "province", "risk", "risk_level", (F.col("risk") >= 65).alias("is_epidemic")
+    made = forecast(spark, sf).join(known, "province", "left_semi").select(
+        "province", "risk_index", "risk_level", "forecast.*", "peak_risk", "peak_week", "is_epidemic", "is_alert", "trend"
     )
     return A.complete_entities(B.entity_dim(spark, sf), made, A.EMPTY_RECORD)
 
@@ -303,7 +311,7 @@ DESCRIBED = ["rainfall_mm", "temp_avg_c", "humidity_pct", "cases", "enso_index",
     ),
 )
 def describe(spark, sf):
-    made = P.describe(B.panel(spark, sf), DESCRIBED)
+    made = P.describe(B.stored_panel(spark, sf), DESCRIBED)
     return made.select(
         "column", "count", *[half_up(c, 2).alias(c) for c in ("mean", "std")], "min",
         *[half_up(c, 2).alias(c) for c in ("q25", "q50", "q75")], "max",
@@ -395,7 +403,7 @@ q as (select phase, quantile_cont(outbreak_risk_index, 0.25) as q1, quantile_con
     ),
 )
 def phase_boxstats(spark, sf):
-    phased = B.panel(spark, sf).withColumn("phase", P.phase(F.col("enso_index")))
+    phased = B.stored_panel(spark, sf).withColumn("phase", P.phase(F.col("enso_index")))
     made = P.box_stats(phased, "phase", RISK)
     return made.select(
         "phase", *[half_up(c, 4).alias(c) for c in ("q1", "median", "q3")], "n",

@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 import argparse
+import time
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -54,6 +55,7 @@ def train(
 
     Metrics are appended with the run's day, so that ``check`` sees the latest.
     """
+    start = time.perf_counter()
     data = T.prepare(panel, spec, imputer)
     members = {"rf": T.train_forest(data, **(forest or {})), "mlp": T.train_boosted(data, spec, **(boosted or {}))}
     metrics = materialized(T.evaluate_members(data, members, spec=spec), "metrics")
@@ -63,10 +65,13 @@ def train(
         names = [(i, c) for i, c in enumerate(model.names)]
         spark.createDataFrame(names, "i int, name string").write.mode("overwrite").parquet(f"{models}/{name}_names")
     members["rf"].importance(spark, 30).write.mode("overwrite").option("header", True).csv(f"{models}/importance")
-    W.write_report(T.training_report(data, metrics), f"{models}/report")
+    fitted_on = materialized(T.evaluate_members(data, members, "train", spec), "metrics")
+    per_fold = None
     if folds:
-        cv = fold_summary(T.cross_validate(data, folds, spec, **(forest or {})), ["horizon"])
-        cv.write.mode("overwrite").parquet(f"{models}/cross_validation")
+        per_fold = materialized(T.cross_validate(data, folds, spec, **(forest or {})), "folds")
+        fold_summary(per_fold, ["horizon"]).write.mode("overwrite").parquet(f"{models}/cross_validation")
+    seconds = time.perf_counter() - start
+    W.write_report(T.training_report(data, metrics, fitted_on, per_fold, seconds), f"{models}/report")
     run = horizon_mean(metrics, ["member"]).withColumns(
         {"accuracy": accuracy_from_mae(F.col("mae")) / 100, "run": F.current_timestamp()}
     )
@@ -75,9 +80,9 @@ def train(
 
 
 def load(spark: SparkSession, panel: DataFrame, models: str, spec: PanelSpec = PanelSpec()):
-    """(feature table of ``panel`` under the stored state, fitted members)."""
+    """(feature table of the rows of ``panel`` that a forecast needs, under the stored state; fitted members)."""
     pipeline = FeaturePipelineModel.load(spark, f"{models}/pipeline", spec)
-    table = materialized(pipeline.transform(panel), "features")
+    table = materialized(pipeline.transform(P.scoring_rows(panel, spec)), "features")
     names = {}
     members = {}
     for kind, features in KINDS.items():

@@ -109,7 +109,11 @@ def complete_entities(
     return joined.select(*[filled.get(c, F.col(c)) for c in joined.columns])
 
 
-EMPTY_RECORD = {"risk": 0.0, "risk_level": NO_DATA, "is_epidemic": False}
+# The record of an entity without a forecast.
+EMPTY_RECORD = {
+    "risk_index": 0.0, "risk_level": NO_DATA, "week_1": 0.0, "week_2": 0.0, "week_3": 0.0, "week_4": 0.0,
+    "peak_risk": 0.0, "peak_week": 1, "is_epidemic": False, "is_alert": False, "trend": NO_DATA,
+}
 
 
 def normalize_entity(df: DataFrame, dim: DataFrame, raw: str, spec: PanelSpec = PanelSpec()) -> DataFrame:

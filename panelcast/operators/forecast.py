@@ -46,26 +46,16 @@ def combine_members(
 ) -> DataFrame:
     """Weighted mean over the members present for an (entity, horizon).
 
-    Members are stacked and aggregated once, which is a full outer join of any
-    number of them with one shuffle. Output: horizon, one column per member,
-    ``ensemble`` limited to 0-100.
+    Full outer joins of the members; an aggregate over their union would be
+    shorter, but the engine then may take the union as already grouped.
+    Output: horizon, one column per member, ``ensemble`` limited to 0-100.
     """
     check_weights(weights)
-    stacked = None
+    key, combined = [spec.entity, "horizon"], None
     for name, df in members.items():
-        part = df.select(
-            spec.entity,
-            "horizon",
-            F.lit(name).alias("member"),
-            F.col("value").cast("double").alias("value"),
-            F.lit(float(weights[name])).alias("weight"),
-        )
-        stacked = part if stacked is None else stacked.unionByName(part)
-    known = stacked.where(F.col("value").isNotNull())
-    each = [
-        F.max(F.when(F.col("member") == name, F.col("value"))).alias(name) for name in members
-    ]
-    combined = known.groupBy(spec.entity, "horizon").agg(*each)
+        value = F.col("value").cast("double")
+        one = df.where(value.isNotNull()).groupBy(*key).agg(F.max(value).alias(name))
+        combined = one if combined is None else combined.join(one, key, "full")
     weighted = [F.coalesce(F.col(n) * F.lit(float(weights[n])), F.lit(0.0)) for n in members]
     present = [F.when(F.col(n).isNotNull(), F.lit(float(weights[n]))).otherwise(F.lit(0.0)) for n in members]
     mean = F.try_divide(sum(weighted[1:], weighted[0]), sum(present[1:], present[0]))

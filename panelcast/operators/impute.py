@@ -15,7 +15,6 @@ from dataclasses import dataclass, field
 from functools import reduce
 from math import prod
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -203,12 +202,8 @@ class KnnImputer:
         spark.createDataFrame([row], PARAMETERS).write.mode("overwrite").parquet(f"{path}/parameters")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> KnnImputer | None:
-        """The saved imputer; None where none was saved."""
-        try:
-            row = spark.read.schema(PARAMETERS).parquet(f"{path}/parameters").first()
-        except AnalysisException:
-            return None
+    def load(spark: SparkSession, path: str) -> KnnImputer:
+        row = spark.read.schema(PARAMETERS).parquet(f"{path}/parameters").first()
         return KnnImputer(
             list(row["columns"]), list(row["pivots"]), row["k"],
             spark.read.parquet(f"{path}/donors"), dict(row["means"]), row["widest"], row["first_width"],

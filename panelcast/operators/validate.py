@@ -88,10 +88,12 @@ def split_domain(
 def check_domain(
     df: DataFrame, domain: DataFrame, mode: str = "reject", spec: PanelSpec = PanelSpec()
 ) -> DataFrame:
-    """Known rows only; with ``reject`` one unknown entity refuses the whole upload."""
+    """Known rows only; with ``reject`` one unknown entity refuses the whole upload, and all are named.
+
+    ``unknown_entities`` gives them as a table, for uploads that may hold very many."""
     if mode == "reject":
-        first = unknown_entities(df, domain, spec).limit(5).collect()
-        if first:
-            raise ValueError(f"unknown entities: {sorted(str(r[0]) for r in first)}")
+        names = unknown_entities(df, domain, spec).select(spec.entity).collect()
+        if names:
+            raise ValueError(f"unknown entities: {sorted(str(r[0]) for r in names)}")
         return df
     return split_domain(df, domain, spec)[0]

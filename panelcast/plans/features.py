@@ -6,6 +6,7 @@ applies it and refits nothing. All window columns share one shuffle.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,19 +74,24 @@ class FeaturePipelineModel:
     def feature_columns(self) -> list[str]:
         return list(self.ranges)
 
-    def state(self, spark: SparkSession) -> DataFrame:
-        """The fitted numbers as a small table (kind, column, a, b)."""
-        rows = [("cap", c, float(v), None) for c, v in self.caps.items()]
+    def state(self, spark: SparkSession, imputer: str = "mean") -> DataFrame:
+        """The fitted numbers as a small table (kind, column, a, b); its row ``imputer`` names the imputer."""
+        rows = [("imputer", imputer, None, None)]
+        rows += [("cap", c, float(v), None) for c, v in self.caps.items()]
         rows += [("mean", c, float(v), None) for c, v in self.imputer.means.items()]
         rows += [("range", c, float(a), float(b)) for c, (a, b) in self.ranges.items()]
         rows += [("target", self.spec.target, *map(float, self.target_range))]
         return spark.createDataFrame(rows, "kind string, column string, a double, b double")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """State as Parquet; the donors of the neighbour imputer beside it."""
-        self.state(spark).write.mode("overwrite").parquet(f"{path}/state")
+        """State as Parquet; the donors of a neighbour imputer beside it, in a folder of this save.
+
+        The state is written last and names that folder, so a reader never meets parts of two saves."""
+        name = "mean"
         if isinstance(self.imputer, KnnImputer):
-            self.imputer.save(spark, f"{path}/imputer")
+            name = f"knn-{uuid.uuid4().hex[:12]}"
+            self.imputer.save(spark, f"{path}/{name}")
+        self.state(spark, name).write.mode("overwrite").parquet(f"{path}/state")
 
     @staticmethod
     def load(spark: SparkSession, path: str, spec: PanelSpec = PanelSpec()) -> FeaturePipelineModel:
@@ -93,7 +99,9 @@ class FeaturePipelineModel:
         of = lambda kind: [r for r in rows if r["kind"] == kind]
         means = {r["column"]: r["a"] for r in of("mean")}
         target = of("target")[0]
-        imputer = KnnImputer.load(spark, f"{path}/imputer") or MeanImputer(list(means), means)
+        name = of("imputer")[0]["column"]
+        # An imputer that is named but can't be read is an error, never another imputer.
+        imputer = MeanImputer(list(means), means) if name == "mean" else KnnImputer.load(spark, f"{path}/{name}")
         return FeaturePipelineModel(
             spec,
             {r["column"]: r["a"] for r in of("cap")},

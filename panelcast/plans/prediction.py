@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators import forecast as O
 from panelcast.operators.reports import risk_bands
-from panelcast.operators.windows import latest_row
+from panelcast.operators.cleaning import dedup_first, ensure_date
+from panelcast.operators.windows import LAGS, ROLLING_WINDOWS, SEQUENCE_LENGTH, latest_row, tail_rows, tail_sequence
 from panelcast.plans.features import history_export
-from panelcast.plans.training import HorizonModels, Prepared, tabular, with_sequences
+from panelcast.plans.training import HorizonModels, Prepared, tabular
 from panelcast.spec import PanelSpec
 
 
+# Rows that lags and rolling lengths reach back from the first row of a sequence.
+REACH = max(*LAGS, *ROLLING_WINDOWS)
+
+
+def scoring_rows(panel: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """The rows that a forecast depends on: of each entity the last sequence and what its features reach back to.
+
+    Copies of a key count once; the series is limited per entity before the shuffle."""
+    rest = [c for c in panel.columns if c not in spec.key]
+    once = dedup_first(ensure_date(panel, spec), spec.key, rest)
+    return tail_rows(once, SEQUENCE_LENGTH + REACH, spec).drop("_back")
+
+
 def member_forecasts(
     data: Prepared, members: dict[str, HorizonModels], spec: PanelSpec = PanelSpec()
 ) -> dict[str, DataFrame]:
-    """Forecasts from the latest row, or latest twelve rows, of each entity."""
+    """Forecasts from the latest row, or latest twelve rows, of each entity; a series that is shorter is filled up
+    in front with its earliest row, so every entity gets a forecast from every member."""
     out = {}
     for name, model in members.items():
         if model.features == "features":
             rows = tabular(latest_row(data.table, spec), data.tabular_names)
         else:
-            last = data.table.groupBy(spec.entity).agg(F.max(spec.date).alias(spec.date))
-            rows = with_sequences(data, spec).join(last, [spec.entity, spec.date], "left_semi")
+            tail = tail_sequence(data.table, data.sequence_names, spec, pad="edge")
+            rows = tail.withColumn("sequence", array_to_vector(F.flatten("sequence")))
         out[name] = model.predict(rows, [spec.entity])
     return out
 

@@ -258,7 +258,11 @@ def evaluate_members(
 
 
 def cross_validate(data: Prepared, folds: int = 5, spec: PanelSpec = PanelSpec(), **params) -> DataFrame:
-    """(fold, horizon, n, mae, rmse, r2) of the forest on expanding windows of the training period."""
+    """(fold, horizon, n, mae, rmse, r2) of the forest on expanding windows of the training period.
+
+    The forests see only weeks before their fold. The pipeline's caps, ranges and means are those of the whole
+    training period, so a fold's own weeks take part in these few numbers per column.
+    """
     bounds = expanding_folds(data.train, spec, folds).collect()
     keep = [spec.entity, spec.date]
     out = None
@@ -273,24 +277,46 @@ def cross_validate(data: Prepared, folds: int = 5, spec: PanelSpec = PanelSpec()
     return E.regression_metrics(out, ["fold", "horizon"])
 
 
-def training_report(data: Prepared, metrics: DataFrame, threshold: float = E.RETRAIN_THRESHOLD) -> DataFrame:
-    """One nested row: sizes, metrics per member, measured ensemble accuracy."""
-    sizes = data.table.agg(
+def sample_counts(data: Prepared) -> DataFrame:
+    """Rows of the training, validation and test periods."""
+    return data.table.agg(
         F.count_if(F.col("target_date") < F.lit(data.val_start)).alias("train_samples"),
         F.count_if(
             (F.col("date") >= F.lit(data.val_start)) & (F.col("target_date") < F.lit(data.test_start))
         ).alias("val_samples"),
         F.count_if((F.col("date") >= F.lit(data.test_start)) & F.col("target_date").isNotNull()).alias("test_samples"),
     )
+
+
+def training_report(
+    data: Prepared, metrics: DataFrame, train_metrics: DataFrame | None = None, folds: DataFrame | None = None,
+    seconds: float | None = None, threshold: float = E.RETRAIN_THRESHOLD,
+) -> DataFrame:
+    """One nested row: sizes, metrics per member on held-out rows and, if given, on training rows, mean and
+    deviation over the folds of a cross-validation, the seconds taken, measured ensemble accuracy."""
+    sizes = sample_counts(data).withColumn("seconds", F.lit(seconds).cast("double"))
     per_member = E.horizon_mean(metrics, ["member"]).withColumn("accuracy", E.accuracy_from_mae(F.col("mae")))
+    names = ("mae", "rmse", "r2")
+    if train_metrics is None:
+        per_member = per_member.withColumns({f"train_{c}": F.lit(None).cast("double") for c in names})
+    else:
+        own = E.horizon_mean(train_metrics, ["member"]).select("member", *[F.col(c).alias(f"train_{c}") for c in names])
+        per_member = per_member.join(own, "member", "left")
+    if folds is None:
+        cv = sizes.select(F.lit(None).cast("double").alias("cv_mae"), F.lit(None).cast("double").alias("cv_mae_std"))
+    else:
+        by_fold = folds.groupBy("fold").agg(F.avg("mae").alias("mae"))
+        cv = by_fold.agg(F.avg("mae").alias("cv_mae"), F.stddev_pop("mae").alias("cv_mae_std"))
     # A handful of members.
     listed = per_member.agg(
-        F.sort_array(F.collect_list(F.struct("member", "mae", "rmse", "r2", "accuracy"))).alias("members"),
+        F.sort_array(
+            F.collect_list(F.struct("member", "mae", "rmse", "r2", "accuracy", "train_mae", "train_rmse", "train_r2"))
+        ).alias("members"),
         F.max(F.when(F.col("member") == "ensemble", F.col("accuracy"))).alias("ensemble_accuracy_pct"),
     )
     return sizes.select(
-        "*", listed.select(F.struct("*")).scalar().alias("r")
+        "*", listed.select(F.struct("*")).scalar().alias("r"), cv.select(F.struct("*")).scalar().alias("cv")
     ).select(
-        "train_samples", "val_samples", "test_samples", "r.members", "r.ensemble_accuracy_pct",
+        "train_samples", "val_samples", "test_samples", "seconds", "r.members", "cv.*", "r.ensemble_accuracy_pct",
         (F.col("r.ensemble_accuracy_pct") >= threshold * 100).alias("meets_threshold"),
     )

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -203,7 +204,8 @@ def test_imputers_keep_known_values_and_save(spark, tmp_path):
     fitted.save(spark, str(tmp_path / "knn"))
     loaded = KnnImputer.load(spark, str(tmp_path / "knn"))
     assert rows(loaded.transform(df, ["id"]), "id") == [(1, 1.0, 4.0), (2, 2.0, 4.0), (3, 3.0, 6.0)]
-    assert KnnImputer.load(spark, str(tmp_path / "none")) is None
+    with pytest.raises(AnalysisException):
+        KnnImputer.load(spark, str(tmp_path / "none"))
 
 
 def test_knn_needs_a_complete_pivot(spark):
