@@ -6,7 +6,7 @@ from importlib import import_module
 
 from panelcast.catalog.registry import ORACLES, QUERIES
 
-MODULES = ("panel", "io", "cleaning", "windows", "reports", "forecasts", "uploads", "alerts", "landing", "learning")
+MODULES = ("panel", "io", "cleaning", "windows", "reports", "forecasts", "uploads", "alerts", "landing", "growing", "learning")
 
 for _name in MODULES:
     import_module(f"panelcast.catalog.{_name}")
