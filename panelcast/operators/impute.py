@@ -26,7 +26,7 @@ CELL_ROWS = 256
 
 PARAMETERS = (
     "columns array<string>, pivots array<string>, k int, widest double, "
-    "first_width double, means map<string,double>"
+    "first_width double, means map<string,double>, block array<string>"
 )
 
 
@@ -53,11 +53,18 @@ class MeanImputer:
 
 @dataclass
 class KnnImputer:
-    """Mean of the ``k`` nearest fitted rows that know the value."""
+    """Mean of the ``k`` nearest fitted rows that know the value.
+
+    With many columns neighbours are far, cells grow wide and a search comes
+    close to all pairs. ``block`` names columns, such as the season or a group
+    of entities, that a donor must share with the row: the search is then exact
+    within the block, and a value no donor of the block knows gets the mean.
+    """
 
     columns: list[str]
     pivots: list[str] | None = None
     k: int = 5
+    block: list[str] = field(default_factory=list)
     donors: DataFrame | None = None
     means: dict[str, float] = field(default_factory=dict)
     widest: float = 0.0
@@ -86,7 +93,9 @@ class KnnImputer:
         self.means = {c: s["mean"] for c, s in stats.items() if s["mean"] is not None}
         ranges = [max(stats[c]["range"] or 0.0, 1e-9) for c in pivots]
         self.widest = max(ranges)
-        donors = values.groupBy(*self.columns).agg(F.count(F.lit(1)).alias("copies"))
+        blocks = [F.col(c).alias(f"block_{c}") for c in self.block]
+        named = df.select(*blocks, *[F.col(c).cast("double").alias(c) for c in self.columns])
+        donors = named.groupBy(*self._blocks, *self.columns).agg(F.count(F.lit(1)).alias("copies"))
         # Every round of the search reads them.
         self.donors = materialized(donors, "donors")
         # Cells that would hold about k donors each if these spread evenly.
@@ -99,7 +108,7 @@ class KnnImputer:
         data crowds; starting narrow costs a few more rounds, not more pairs."""
         for _ in range(12):
             fullest = (
-                self.donors.groupBy(*[self._cell(F.col(p), width) for p in self.pivots])
+                self.donors.groupBy(*self._blocks, *[self._cell(F.col(p), width) for p in self.pivots])
                 .agg(F.count(F.lit(1)).alias("n"))
                 .agg(F.max("n"))
                 .first()[0]
@@ -117,7 +126,8 @@ class KnnImputer:
         )
         queries = (
             typed.select(
-                *key, *[F.col(c).alias(f"q_{c}") for c in self.columns], F.explode(wanted).alias("target")
+                *key, *[F.col(c).alias(f"block_{c}") for c in self.block],
+                *[F.col(c).alias(f"q_{c}") for c in self.columns], F.explode(wanted).alias("target")
             )
         )
         found = self._search(checkpointed(queries), key)
@@ -155,6 +165,10 @@ class KnnImputer:
             width *= 2
         return reduce(DataFrame.unionByName, done)
 
+    @property
+    def _blocks(self) -> list[str]:
+        return [f"block_{c}" for c in self.block]
+
     def _cell(self, x: Column, width: float) -> Column:
         return F.floor(x / F.lit(width))
 
@@ -175,7 +189,7 @@ class KnnImputer:
         known = [g.isNotNull().cast("int") for g in gaps]
         share = F.lit(float(len(self.columns))) / sum(known[1:], known[0])
         pairs = (
-            around.join(donors, cells)
+            around.join(donors, [*self._blocks, *cells])
             .withColumn("v", value)
             .where(F.col("v").isNotNull())
             .withColumn("distance", F.sqrt(share * sum(squares[1:], squares[0])))
@@ -198,13 +212,13 @@ class KnnImputer:
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.donors.write.mode("overwrite").parquet(f"{path}/donors")
-        row = (self.columns, self.pivots, self.k, self.widest, self.first_width, self.means)
+        row = (self.columns, self.pivots, self.k, self.widest, self.first_width, self.means, self.block)
         spark.createDataFrame([row], PARAMETERS).write.mode("overwrite").parquet(f"{path}/parameters")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> KnnImputer:
         row = spark.read.schema(PARAMETERS).parquet(f"{path}/parameters").first()
         return KnnImputer(
-            list(row["columns"]), list(row["pivots"]), row["k"],
+            list(row["columns"]), list(row["pivots"]), row["k"], list(row["block"]),
             spark.read.parquet(f"{path}/donors"), dict(row["means"]), row["widest"], row["first_width"],
         )

@@ -113,11 +113,13 @@ class FeaturePipelineModel:
 
 @dataclass
 class FeaturePipeline:
-    """``imputer`` is ``mean`` or ``knn``; the target itself is never imputed."""
+    """``imputer`` is ``mean`` or ``knn``; the target itself is never imputed. ``block``: columns that a
+    neighbour must share, such as the week of the year."""
 
     spec: PanelSpec = field(default_factory=PanelSpec)
     imputer: str = "mean"
     neighbours: int = 5
+    block: tuple[str, ...] = ()
 
     def fit(self, df: DataFrame) -> FeaturePipelineModel:
         spec = self.spec
@@ -131,7 +133,7 @@ class FeaturePipeline:
         ranges = {c: (x.low, x.high) for c, x in stats.items()}
         target = ranges.pop(spec.target, (0.0, 1.0))
         if self.imputer == "knn":
-            fitted = KnnImputer(list(ranges), k=self.neighbours).fit(features)
+            fitted = KnnImputer(list(ranges), k=self.neighbours, block=list(self.block)).fit(features)
         else:
             fitted = MeanImputer(list(ranges), {c: stats[c].mean for c in ranges})
         return FeaturePipelineModel(spec, caps, fitted, ranges, target)

@@ -197,6 +197,19 @@ def test_knn_equals_brute_force(spark):
     assert np.allclose(got, brute_knn(x, 5))
 
 
+def test_knn_within_blocks_equals_brute_force_of_each(spark):
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(0, 30, 120), rng.normal(0, 10, 120), rng.normal(0, 5, 120)])
+    x[rng.random(120) < 0.2, 2] = np.nan
+    group = np.arange(120) % 3
+    data = [(i, int(g), *[None if np.isnan(v) else float(v) for v in row]) for i, (g, row) in enumerate(zip(group, x))]
+    df = spark.createDataFrame(data, "id int, g int, p double, q double, r double")
+    imputer = KnnImputer(["p", "q", "r"], block=["g"]).fit(df)
+    got = np.array([r[2:] for r in rows(imputer.transform(df, ["id"]), "id")])
+    for g in range(3):
+        assert np.allclose(got[group == g], brute_knn(x[group == g], 5))
+
+
 def test_imputers_keep_known_values_and_save(spark, tmp_path):
     df = spark.createDataFrame([(1, 1.0, None), (2, 2.0, 4.0), (3, 3.0, 6.0)], "id int, a double, b double")
     assert rows(MeanImputer(["b"]).fit(df).transform(df), "id") == [(1, 1.0, 5.0), (2, 2.0, 4.0), (3, 3.0, 6.0)]

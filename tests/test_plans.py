@@ -110,3 +110,27 @@ def test_risk_is_in_range(panel):
 def test_overview_counts(panel):
     last = latest_row(panel).withColumnRenamed("outbreak_risk_index", "risk")
     assert overview(last).first()["total_entities"] == 25
+
+
+def test_the_last_save_decides_the_imputer(spark, panel, tmp_path):
+    path = str(tmp_path / "state")
+    small = panel.where("province in ('NATION_1', 'NATION_2') and year = 1995")
+    for kind, name in (("knn", "KnnImputer"), ("mean", "MeanImputer"), ("knn", "KnnImputer")):
+        FeaturePipeline(B.SPEC, kind).fit(small).save(spark, path)
+        assert type(FeaturePipelineModel.load(spark, path, B.SPEC).imputer).__name__ == name
+
+
+def test_scoring_reads_the_tail_and_serves_short_series(spark, panel):
+    from panelcast.plans.prediction import REACH, scoring_rows
+    from panelcast.operators.windows import tail_sequence
+
+    tail = scoring_rows(panel, B.SPEC)
+    assert tail.groupBy("province").count().agg({"count": "max"}).first()[0] == 12 + REACH
+    assert "WindowGroupLimit" in plan(tail)
+    short = panel.where("province = 'NATION_3'").limit(5)
+    assert tail_sequence(short, ["cases"], B.SPEC).selectExpr("size(sequence)").first()[0] == 12
+
+
+@pytest.mark.parametrize("name", ["overview", "forecast_summary", "forecast_long", "describe", "phase_boxstats"])
+def test_the_panel_is_assembled_once(spark, sf, name):
+    assert "l_shipdate" not in plan(QUERIES[name](spark, sf))
