@@ -1,6 +1,7 @@
-"""The runs a user starts: assemble, train, predict, check.
+"""The runs a user starts: assemble, ingest, train, predict, check.
 
     spark-submit panelcast/jobs.py assemble --climate DIR --cases DIR --out DIR
+    spark-submit panelcast/jobs.py ingest --panel DIR --uploads FILE.csv --out DIR --models DIR
     spark-submit panelcast/jobs.py train --panel DIR --models DIR
     spark-submit panelcast/jobs.py predict --panel DIR --models DIR --out DIR
     spark-submit panelcast/jobs.py check --panel DIR --models DIR
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators.assemble import assemble_panel
+from panelcast.operators.cleaning import ensure_date
+from panelcast.operators.validate import check_domain
+from panelcast.streaming.uploads import check_batch, latest_per_key
 from panelcast.operators.evaluate import RETRAIN_THRESHOLD, accuracy_from_mae, fold_summary, horizon_mean, retrain_gate
 from panelcast.plans import prediction as P
 from panelcast.plans import training as T
 from panelcast.plans.features import FeaturePipelineModel
-from panelcast.session import materialized
+from panelcast.session import clear_scratch, materialized
 from panelcast.sources import readers as R
 from panelcast.sources import writers as W
 from panelcast.sources.reference_data import entity_dimension
@@ -124,10 +128,34 @@ def check(spark: SparkSession, panel: DataFrame, models: str, threshold: float =
     return due
 
 
+def ingest(
+    spark: SparkSession, panel: DataFrame, uploads: str, out: str, models: str,
+    threshold: float = RETRAIN_THRESHOLD, spec: PanelSpec = PanelSpec(), **kw,
+) -> bool:
+    """An uploaded CSV file into the panel, then the check whether the models need training; tells whether they
+    were trained.
+
+    What a valid row says replaces what the panel holds for its key; columns it lacks or leaves empty stay. Broken
+    rows, and ones with values of the wrong type, are written as JSON to ``out``/broken, the new panel to
+    ``out``/panel, which must not be where ``panel`` is read from."""
+    typed, unreadable = R.read_upload_csv(spark, uploads)
+    domain = panel.select(spec.entity).distinct()
+    check_domain(typed, domain, "reject", spec)
+    good, bad = check_batch(typed, domain, spec)
+    rest = [c for c in good.columns if c not in spec.key and c in panel.columns]
+    # A file has no times: of several rows of a key the last in value order counts, whatever the file's order.
+    new = latest_per_key(good.select(*spec.key, *rest), rest, spec).withColumnsRenamed({c: f"_{c}" for c in rest})
+    merged = panel.join(new, spec.key, "full").withColumns(
+        {c: F.coalesce(F.col(f"_{c}").cast(panel.schema[c].dataType), F.col(c)) for c in rest})
+    W.write_panel(ensure_date(merged.select(*panel.columns), spec), f"{out}/panel", spec.year)
+    bad.select(F.to_json(F.struct("*")).alias("record")).unionAll(unreadable).write.mode("overwrite").text(f"{out}/broken")
+    return check(spark, spark.read.parquet(f"{out}/panel"), models, threshold, spec=spec, **kw)
+
+
 def main() -> None:
     args = argparse.ArgumentParser(description=__doc__)
-    args.add_argument("job", choices=("assemble", "train", "predict", "check"))
-    for name in ("climate", "cases", "demographics", "monthly", "panel", "models", "out", "as-of"):
+    args.add_argument("job", choices=("assemble", "ingest", "train", "predict", "check"))
+    for name in ("climate", "cases", "demographics", "monthly", "panel", "models", "out", "as-of", "uploads"):
         args.add_argument(f"--{name}")
     args.add_argument("--format", default="parquet", choices=("parquet", "csv"))
     args.add_argument("--imputer", default="mean", choices=("mean", "knn"))
@@ -137,12 +165,15 @@ def main() -> None:
         assemble(spark, opt.climate, opt.cases, opt.out, opt.demographics, opt.monthly)
         return
     panel = R.read_panel(spark, opt.panel, opt.format)
-    if opt.job == "train":
+    if opt.job == "ingest":
+        ingest(spark, panel, opt.uploads, opt.out, opt.models)
+    elif opt.job == "train":
         train(spark, panel, opt.models, opt.imputer)
     elif opt.job == "predict":
         predict(spark, panel, opt.models, opt.out, opt.as_of)
     else:
         check(spark, panel, opt.models)
+    clear_scratch(spark)
 
 
 if __name__ == "__main__":

@@ -61,9 +61,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _made[context.applicationId]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder, under the shared one, that holds all scratch tables of this application."""
+    return f"{shared_dir(spark)}/panelcast-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the application's scratch folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete the application's scratch tables; for the end of a run, when no frame that reads them is used any
+    more. Tells whether there was anything. Results that are to stay belong in paths of the caller's own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df, eager: bool = True):

@@ -49,3 +49,31 @@ def test_train_check_predict(spark, sf, tmp_path):
     assert {r[0] for r in weekly.select("forecast_date").distinct().collect()} == {
         "2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29"
     }
+
+
+def test_ingest_then_check(spark, sf, tmp_path):
+    # The rules take years from 2000 on.
+    later = B.panel(spark, sf).where("province in ('NATION_1', 'NATION_2')").selectExpr("* except (year)", "year + 10 as year")
+    panel = materialized(later, "panel")
+    row = panel.where("province = 'NATION_1'").orderBy("date").first()
+    other = panel.where("province = 'NATION_2'").orderBy("date").first()
+    lines = [
+        "week,province,year,cases,rainfall_mm", f"{row['week']},NATION_1,{row['year']},777,",
+        f"{other['week']},NATION_2,{other['year']},-4,1", "9,NATION_2,2031,many,1",
+    ]
+    (tmp_path / "up.csv").write_text("\n".join(lines) + "\n")
+    args = (panel, str(tmp_path / "up.csv"), str(tmp_path / "out"), str(tmp_path / "models"))
+    assert jobs.ingest(spark, *args, **SMALL)
+    made = spark.read.parquet(str(tmp_path / "out" / "panel"))
+    assert made.count() == panel.count()
+    now = made.where("province = 'NATION_1'").orderBy("date").first()
+    assert (now["cases"], now["rainfall_mm"]) == (777, row["rainfall_mm"])
+    assert spark.read.text(str(tmp_path / "out" / "broken")).count() == 2
+
+
+def test_scratch_is_cleared(spark):
+    from panelcast.session import clear_scratch, run_dir
+
+    path = materialized(spark.range(3), "gone").inputFiles()[0]
+    assert run_dir(spark) in path
+    assert clear_scratch(spark) and not clear_scratch(spark)
