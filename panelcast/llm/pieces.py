@@ -24,6 +24,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED = 500_000
 #: Documents encoded before their ids are handed over.
 AT_A_TIME = 500
+#: Signs that are looked up at once.
+HEAD = 4
 #: A score below all others.
 NEVER = float("-inf")
 #: Places after which a long run of text is tested for a boundary that all paths share.
@@ -59,7 +61,9 @@ class Pieces:
             self.texts[i] = bytes([value])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.fits: dict[int, bool] = {}
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.rows = 0
+        self.heads: dict[str, tuple] = {}
 
     def merged(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """A short text merged pair by pair, best score first, leftmost on ties: the parts left, and after each step
@@ -75,11 +79,33 @@ class Pieces:
             steps.append((best, parts[0], parts[-1]))
         return parts, steps
 
+    def _head(self, text: str) -> tuple:
+        """The pieces at the start of a few signs, as (length, id), and where the trie goes on; remembered."""
+        if len(self.heads) > REMEMBERED:
+            self.heads.clear()
+        out, node = [], self.trie
+        for place, sign in enumerate(text, 1):
+            found = node.get(sign)
+            if found is None:
+                node = None
+                break
+            piece, node = found
+            if piece >= 0:
+                out.append((place, piece))
+        self.heads[text] = made = tuple(out), node if node and len(text) == HEAD else None
+        return made
+
+    def _row(self, one: int) -> dict[int, bool]:
+        """What is remembered of pieces after ``one``; all is forgotten when it grows too large."""
+        if self.rows > REMEMBERED:
+            self.fits.clear()
+            self.rows = 0
+        return self.fits.setdefault(one, {})
+
     def fit(self, one: int, other: int) -> bool:
         """Whether the piece ``other`` can follow the piece ``one``: merging both side by side, no step of the two
-        comes after a merge across the boundary between them. Remembered by the caller."""
-        if len(self.fits) > REMEMBERED:
-            self.fits.clear()
+        comes after a merge across the boundary between them."""
+        self.rows += 1
         left, right, rank = self.steps[one], self.steps[other], self.rank
         last, first = self.names[one][-1], self.names[other][0]
         i = j = 0
@@ -104,30 +130,36 @@ class Pieces:
         after its predecessor (-1: none yet, -2: a sign without a piece, which fits everywhere), and the part of
         the path not yet committed: everything before the last boundary that all surviving paths share is
         handed out and forgotten, so no more than a window is held of a text of any length."""
-        fits, trie, width, size = self.fits, self.trie, self.size, len(text)
+        fits, heads, width, size = self.fits, self.heads, self.size, len(text)
         out, done = array("i"), 0
         window = min(size, COMMIT_EVERY + self.longest) + 1
         last, length = [-2] + [-1] * (window - 1), [0] * window  # of the places from ``done`` on
         for start in range(size):
             here = start - done
-            before, node = last[here], trie
-            place = here
-            for sign in text[start:start + self.longest]:
-                found = node.get(sign)
-                if found is None:
-                    break
-                place += 1
-                piece, node = found
-                if piece >= 0 and last[place] == -1:
-                    if before >= 0:
-                        key = before * width + piece
-                        fine = fits.get(key)
-                        if fine is None:
-                            fine = fits[key] = self.fit(before, piece)
-                        if not fine:
-                            continue
-                    last[place], length[place] = piece, place - here
-            if last[here + 1] == -1 and (place == here or trie[text[start]][0] < 0):
+            before, head = last[here], text[start:start + HEAD]
+            found = heads.get(head)
+            if found is None:
+                found = self._head(head)
+            pieces, node = found
+            row = fits[before] if before in fits else self._row(before)
+            for place, piece in pieces:
+                if last[here + place] == -1:
+                    fine = row.get(piece)
+                    if fine is None:
+                        fine = row[piece] = before < 0 or self.fit(before, piece)
+                    if fine:
+                        last[here + place], length[here + place] = piece, place
+            if node is not None:
+                place = HEAD
+                for sign in text[start + HEAD:start + self.longest]:
+                    found = node.get(sign)
+                    if found is None:
+                        break
+                    place += 1
+                    piece, node = found
+                    if piece >= 0 and last[here + place] == -1 and (before < 0 or self.fit(before, piece)):
+                        last[here + place], length[here + place] = piece, place
+            if last[here + 1] == -1 and not (pieces and pieces[0][0] == 1):
                 last[here + 1], length[here + 1] = -2, 1
             if here + 1 >= COMMIT_EVERY and start + 1 < size:
                 shared = self._shared(last, length, here + 1)
