@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -17,35 +19,73 @@ SIMILARITY = 75
 #: Shingles that a task sees in several documents are counted; the most frequent ones, so many, come last in the
 #: order of shingles. The list bounds what is broadcast; it moves work, never results.
 FREQUENT, LEAST_COUNT = 200_000, 8
+#: So many of the most frequent words are told from rare ones, of those met so often among BATCH words.
+FREQUENT_WORDS, LEAST_WORDS = 50_000, 8
 #: Shingles counted at a time.
-BATCH = 4_000_000
-#: Entries of a shingle above which they are dealt into several buckets.
-BUCKET = 2_000
-#: Rounds of comparing each bucket with one of its members, before what is left is compared in pairs.
-ROUNDS = 4
-#: Sets of one side are broadcast up to so many shingles in all (32 MB).
-BROADCAST_SHINGLES = 4_000_000
+BATCH = 1_000_000
+#: Documents handed over at a time.
+AT_A_TIME = 500
+#: Shingles with more entries than FEW are compared by hubs first; those with more than BUCKET in several buckets.
+FEW, BUCKET = 16, 2_000
+#: At most so many rounds compare the sets of a bucket with its hub, while a round links a tenth of what the first
+#: did. What is left is compared in pairs.
+ROUNDS, WORTH = 8, 0.1
+#: Sets of one side are broadcast in slices of about so many shingles (32 MB), if so many slices are enough.
+BROADCAST_SHINGLES, SLICES = 4_000_000, 8
 
 FEATURES = "doc_id long, n long, f1 long, f2 long, g1 long, g2 long, common int, prefix array<bigint>"
 SETS = "doc_id long, f1 long, f2 long, tokens array<bigint>"
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The distinct 64-bit hashes of the five-word shingles of a text, ascending.
-
-    A-Z are lowered; words are separated by space and the signs 9 to 13. Of fewer words, the whole sequence is
-    one shingle; without words, or for null, the set is empty."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z lowered; words are separated by space and the signs 9 to 13."""
     found = (text or "").encode("utf-8", "replace").lower().split()
-    if not found:
-        return np.zeros(0, "u8")
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(map(digest, found), "u8", len(found))
-    size = min(WORDS, len(hashes))
-    mixed = np.full(len(hashes) - size + 1, size, "u8")
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), "u8", len(found))
+
+
+def mixed_shingles(words: np.ndarray) -> np.ndarray:
+    """The hash of each five words in a row; of fewer words, the one hash of all; of none, none."""
+    size = min(WORDS, len(words))
+    if not size:
+        return words
+    mixed = np.full(len(words) - size + 1, size, "u8")
     for i in range(size):
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[i:len(hashes) - size + 1 + i]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[i:len(words) - size + 1 + i]
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(mixed ^ (mixed >> np.uint64(32)))
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct shingles of a text, ascending; without words, or for null, there are none."""
+    return np.unique(mixed_shingles(word_hashes(text)))
+
+
+def _levels(values: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The level of each value that is listed, else 0."""
+    listed, level = known
+    if not len(listed):
+        return np.zeros(len(values), "u1")
+    place = np.searchsorted(listed, values)
+    place[place == len(listed)] = 0
+    return np.where(listed[place] == values, level[place], 0).astype("u1")
+
+
+def ordered_shingles(text: str | None, frequent: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles ascending, their order from rare to frequent, and which are listed as frequent.
+
+    First come those that are not listed, before them those with a rare word: the level of a shingle's rarest
+    word tells how likely other texts hold it by chance. Then the hash decides."""
+    words = word_hashes(text)
+    own, at = np.unique(mixed_shingles(words), return_index=True)
+    if not len(own):
+        return own, at, at.astype(bool)
+    rarity = _levels(words, frequent["words"])
+    size = min(WORDS, len(words))
+    lowest = rarity[:len(words) - size + 1].copy()
+    for i in range(1, size):
+        np.minimum(lowest, rarity[i:len(words) - size + 1 + i], out=lowest)
+    listed = _levels(own, frequent["shingles"])
+    return own, np.lexsort((own, lowest[at], listed)), listed > 0
 
 
 def prefix_length(n: int) -> int:
@@ -53,85 +93,113 @@ def prefix_length(n: int) -> int:
     return n - -(-SIMILARITY * n // 100) + 1
 
 
+def _parts(frames):
+    """The frames in parts of few documents, so that what is made of them stays small."""
+    for frame in frames:
+        for at in range(0, len(frame), AT_A_TIME):
+            yield frame.iloc[at:at + AT_A_TIME]
+
+
 def _two(data: bytes) -> tuple[int, int]:
     raw = np.frombuffer(xxhash.xxh3_128_digest(data), "i8")
     return int(raw[0]), int(raw[1])
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles ascending, level): those met most often, of at most FREQUENT, with the logarithm of their count.
+def frequent_items(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Shingles and words met most often, at most FREQUENT and FREQUENT_WORDS: (hash ascending, level), the level
+    being one and the logarithm of the count.
 
-    Every task reads all its documents, of equal sets one, and counts shingles that several of them hold; Spark
-    adds the counts. A shingle of d documents over t tasks is met twice somewhere once d is a few times the root
-    of t, so what stays uncounted is rare. Only this bounded list reaches the driver."""
+    Every task reads all its documents, of equal sets one, and counts words, and shingles that several of them
+    hold; Spark adds the counts. A shingle of d documents over t tasks is met twice somewhere once d is a few
+    times the root of t, so what stays uncounted is rare. Only these bounded lists reach the driver."""
 
     def counted(frames):
         seen, parts, held = set(), [], 0
 
         def flush():
-            token, count = np.unique(np.concatenate(parts), return_counts=True)
-            again = count > 1
-            return pd.DataFrame({"token": token[again].view("i8"), "n": count[again]})
-
-        for frame in frames:
-            for text in strings(frame["text"]):
-                own = shingles(text)
+            out = []
+            for kind, which, least in (("shingles", 0, 2), ("words", 1, LEAST_WORDS)):
+                token, count = np.unique(np.concatenate([p[which] for p in parts]), return_counts=True)
+                often = count >= least
+                out.append(pd.DataFrame({"kind": kind, "token": token[often].view("i8"), "n": count[often]}))
+            return pd.concat(out)
+
+        for part in _parts(frames):
+            for text in strings(part["text"]):
+                words = word_hashes(text)
+                own = np.unique(mixed_shingles(words))
                 mark = xxhash.xxh3_64_intdigest(own.tobytes())
                 if mark in seen:
                     continue
                 seen.add(mark)
-                parts.append(own)
-                held += len(own)
+                parts.append((own, words))
+                held += len(words)
                 if held >= BATCH:
                     yield flush()
                     seen, parts, held = set(), [], 0
         if parts:
             yield flush()
 
-    tokens = docs.select("text").mapInPandas(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    best = tokens.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    token, count = best["token"].to_numpy().astype("i8").view("u8"), best["n"].to_numpy()
-    order = np.argsort(token)
-    return token[order], np.floor(np.log2(count[order])).astype("u1")
+    counts = docs.select("text").mapInPandas(counted, "kind string, token long, n long")
+    counts = materialized(counts.groupBy("kind", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT),
+                          "frequent")
+    out = {}
+    for kind, most in (("shingles", FREQUENT), ("words", FREQUENT_WORDS)):
+        best = counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(most).toArrow()
+        token, count = best["token"].to_numpy().astype("i8").view("u8"), best["n"].to_numpy()
+        order = np.argsort(token)
+        out[kind] = token[order], (1 + np.floor(np.log2(count[order]))).astype("u1")
+    return out
 
 
-def features(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def features(docs: DataFrame, frequent: dict) -> DataFrame:
     """Of every document: the size of its set, fingerprints of set (f1, f2) and prefix (g1, g2), and the prefix.
 
-    Members are ordered by level, rare first, then by hash; the first ``common`` members of the prefix are in no
-    list of frequent shingles."""
+    The first ``common`` members of the prefix are not listed as frequent."""
 
     def described(frames):
-        known, level = frequent
-        for frame in frames:
+        for part in _parts(frames):
             rows = []
-            for doc, text in zip(frame["doc_id"], strings(frame["text"]), strict=True):
-                own = shingles(text)
+            for doc, text in zip(part["doc_id"], strings(part["text"]), strict=True):
+                own, order, listed = ordered_shingles(text, frequent)
                 n = len(own)
-                place = np.searchsorted(known, own)
-                place[place == len(known)] = 0
-                high = np.where(known[place] == own, level[place] + 1, 0) if len(known) else np.zeros(n, "u1")
-                order = np.lexsort((own, high))[:prefix_length(n)] if n else np.zeros(0, "i8")
+                order = order[:prefix_length(n)] if n else order
                 prefix = own[order].view("i8")
                 rows.append((None if pd.isna(doc) else int(doc), n, *_two(own.tobytes()), *_two(prefix.tobytes()),
-                             int((high[order] == 0).sum()), prefix))
+                             int((~listed[order]).sum()), prefix))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")], dtype=object)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(described, FEATURES)
 
 
-def _may_link(a: str, b: str) -> Column:
-    """Whether sizes, and the places of a shared shingle in both orders, leave room for enough overlap."""
-    na, nb, pa, pb = (F.col(c) for c in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
-    most = F.least(pa, pb) + 1 + F.least(na - pa, nb - pb) - 1
-    return (100 * F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)) & (
-        (100 + SIMILARITY) * most >= SIMILARITY * (na + nb))
+def _bounds(na: str, nb: str) -> tuple[str, str]:
+    """SQL of the least overlap of two linking sets of these sizes, and of the members they then share among their
+    first ones: with ``most`` and ``least`` from here, sets that link share at least ``least`` members among their
+    first n - most + least, whatever their order."""
+    most = f"((({na}) + ({nb})) * {SIMILARITY} + {99 + SIMILARITY}) div {100 + SIMILARITY}"
+    prefix = [f"({n}) - (({n}) * {SIMILARITY} + 99) div 100 + 1" for n in (na, nb)]
+    least = f"least({prefix[0]} - ({na}) + {most}, {prefix[1]} - ({nb}) + {most})"
+    return most, least
+
+
+def _sized(na: str, nb: str) -> str:
+    return f"100 * least({na}, {nb}) >= {SIMILARITY} * greatest({na}, {nb})"
+
 
+def _shared_early(a: str, b: str, first: bool = False) -> str:
+    """SQL: whether a shared shingle is among the first members, of both sets, that must share some (with ``first``,
+    among those that must share one), and both have so many entries that they can share enough."""
+    most, least = _bounds(f"{a}n", f"{b}n")
+    some = 1 if first else least
+    early = f"{a}pos < {a}n - {most} + {some} and {b}pos < {b}n - {most} + {some}"
+    return f"({a}w > 1 or ({early} and least({a}all, {b}all) >= {least}))"
 
-def _entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vertices, entries). Vertices are the distinct sets: v, doc, n, f1, f2 and their group. Entries are
-    (token, v, n, pos) of all shingles in the prefixes of two or more groups; of groups with several members, one
-    more shingle stands for the whole prefix.
+
+def _entries(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, entries, large). Vertices are the distinct sets: v, doc, n, f1, f2 and their group. Entries are
+    (token, v, n, pos, w, all) of all shingles in the prefixes of two or more groups, each of weight 1; of groups
+    with several members, one more shingle stands for the whole prefix and has its weight. ``all`` is the weight of
+    all entries of a set. Of shingles with more than FEW entries, ``large`` tells into how many buckets they go.
 
     The prefix of a group is dealt out once, however many documents share it. Frequent shingles need no count;
     the rare ones are counted by a window, whose partitions they keep small."""
@@ -145,60 +213,100 @@ def _entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rare = dealt.where("pos < common").withColumn("groups", F.count("*").over(Window.partitionBy("token")))
     shared = rare.where("groups > 1").drop("groups").unionAll(dealt.where("pos >= common")).drop("common")
     shared = materialized(shared, "shared")
-    many = groups.where("members > 1").select(F.col("g1").alias("token"), "g", "n", F.lit(0).alias("pos"))
+    # Two members of a group share all of the prefix; nothing more need be known of them.
+    many = groups.where("members > 1").select(
+        F.col("g1").alias("token"), "g", "n", F.lit(0).alias("pos"), (F.col("n") + 1).alias("w"))
     members = groups.select("n", "g1", "g2", "g").join(vertices, ["n", "g1", "g2"]).select("g", "v")
-    entries = shared.select("token", "g", "n", "pos").unionAll(many).join(members, "g").select("token", "v", "n", "pos")
-    return vertices, materialized(entries, "entries")
+    entries = shared.select("token", "g", "n", "pos", F.lit(1).cast("long").alias("w")).unionAll(many)
+    entries = materialized(entries.join(members, "g").select("token", "v", "n", "pos", "w"), "dealt")
+    weights = materialized(entries.groupBy("v").agg(F.sum("w").alias("all")), "weights")
+    entries = materialized(entries.join(small(weights), "v"), "entries")
+    large = entries.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > FEW)
+    return vertices, entries, materialized(large.select("token", F.ceil(F.col("rows") / BUCKET).alias("buckets")), "large")
 
 
 def _star_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """(a, b): for each set b that shares a bucket with a set of another component, the hub a it shares most
-    shingles with. Each bucket has one hub, chosen by a hash of the turn; entries of a frequent shingle are dealt
-    into several buckets, whose hubs are compared in turn with one of them."""
-    sizes = entries.groupBy("token").agg(F.count("*").alias("rows"), F.min("c").alias("low"), F.max("c").alias("high"))
-    sizes = sizes.where("low < high").select("token", F.ceil(F.col("rows") / BUCKET).alias("buckets"))
-    open_ = entries.join(sizes, "token").withColumn("bucket", F.pmod(F.xxhash64("v", F.lit(turn)), "buckets"))
-    order = F.xxhash64("v", F.lit(turn)).alias("o")
-    hub = F.min(F.struct(order, "v", "n", "pos", "c"))
+    """(a, b): pairs of a set b with a hub a, of another component, of one of b's large buckets, if their prefixes
+    share enough to link. The hub of a bucket is, by a hash of the turn, one of those with the most entries in
+    large buckets for their size, as texts have that differ least from their copies; entries of a frequent shingle
+    are dealt into several buckets, whose hubs are compared in turn with one of them. A set has no more hubs than
+    its prefix has members, mostly a few."""
+    open_ = entries.withColumn("bucket", F.pmod(F.xxhash64("v", F.lit(turn)), "buckets"))
+    hub = F.min(F.struct(F.col("edge"), F.xxhash64("v", F.lit(turn)).alias("o"), "v", "n", "c"))
     open_ = open_.withColumn("h", hub.over(Window.partitionBy("token", "bucket")))
     tops = open_.where("buckets > 1 and v = h.v").withColumn("h", hub.over(Window.partitionBy("token")))
-    pairs = open_.unionAll(tops).select(
-        F.col("h.v").alias("a"), F.col("h.n").alias("an"), F.col("h.pos").alias("apos"), F.col("h.c").alias("ac"),
-        F.col("v").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("c").alias("bc"))
-    pairs = pairs.where("ac != bc").where(_may_link("a", "b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-
-
-def _rest_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b): all pairs in a bucket that are in different components and may link. The members of a bucket's
-    largest component are not compared with one another; Spark splits the join where a bucket is large."""
-    counts = entries.groupBy("token", "c").agg(F.count("*").alias("rows"))
+    pairs = open_.unionAll(tops).where("h.c != c").where(_sized("n", "h.n")).groupBy(
+        F.col("h.v").alias("a"), F.col("v").alias("b")).agg(F.max("w").alias("w"))
+    # At most a prefix of tokens each.
+    own = entries.groupBy("v").agg(F.first("n").alias("n"), F.first("all").alias("all"), F.collect_list("token").alias("t"))
+    for end in "ab":
+        pairs = pairs.join(own.toDF(end, f"{end}n", f"{end}all", f"{end}t"), end)
+    # Entries outside of large buckets may be shared too; the rest of each is room for that.
+    shared = "size(array_intersect(at, bt)) + least(aall - size(at), ball - size(bt))"
+    return pairs.where(f"w > 1 or {shared} >= {_bounds('an', 'bn')[1]}").select("a", "b")
+
+
+def _rest_pairs(few: DataFrame, many: DataFrame) -> DataFrame:
+    """(a, b): all pairs in different components whose prefixes share enough to link.
+
+    Of shingles with few entries, all pairs of a list; of the others, the members of the largest component are not
+    compared with one another, and Spark splits the join where a bucket is large."""
+    item = F.struct("v", "n", "pos", "w", "c", "all")
+    lists = few.groupBy("token").agg(F.array_sort(F.collect_list(item)).alias("s")).where("size(s) > 1")
+    inner = (f"transform(filter(s, y -> y.v > x.v and y.c != x.c and {_sized('x.n', 'y.n')} and "
+             f"{_shared_early('x.', 'y.')}), y -> struct(x.v as a, y.v as b, x.n as an, y.n as bn, x.w as w))")
+    listed = lists.select(F.explode(F.expr(f"flatten(transform(s, x -> {inner}))")).alias("p")).select("p.*")
+    counts = many.groupBy("token", "c").agg(F.count("*").alias("rows"))
     most = counts.groupBy("token").agg(F.max_by("c", F.struct("rows", "c")).alias("most"), F.count("*").alias("parts"))
-    open_ = entries.join(most.where("parts > 1").drop("parts"), "token")
-    few = open_.where("c != most").select("token", *[F.col(x).alias("a" + x) for x in ("v", "n", "pos", "c")])
-    all_ = open_.select("token", *[F.col(x).alias("b" + x) for x in ("v", "n", "pos", "c")])
-    pairs = few.join(all_, "token").where("ac != bc").where(_may_link("a", "b"))
-    return pairs.select(F.least("av", "bv").alias("a"), F.greatest("av", "bv").alias("b")).distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, shingles_of_a: int) -> DataFrame:
-    """The pairs whose sets overlap enough, by their exact intersection."""
-    hubs = sets.join(small(pairs.select(F.col("a").alias("v")).distinct()), "v", "left_semi")
-    hubs = hubs.select(F.col("v").alias("a"), F.col("tokens").alias("a_tokens"))
-    hubs = F.broadcast(hubs) if shingles_of_a <= BROADCAST_SHINGLES else hubs
-    both = sets.select(F.col("v").alias("b"), F.col("tokens").alias("b_tokens")).join(small(pairs), "b").join(hubs, "a")
+    open_ = many.join(small(materialized(most.where("parts > 1").drop("parts"), "most")), "token")
+    names = ("v", "n", "pos", "w", "c", "all")
+    minor = open_.where("c != most").select("token", *[F.col(x).alias("a" + x) for x in names])
+    every = open_.select("token", (F.col("most") == F.col("c")).alias("major"), *[F.col(x).alias("b" + x) for x in names])
+    # Linking sets share one of their very first members; two minor members meet from both sides, one counts.
+    met = minor.join(every, (minor["token"] == every["token"]) & F.expr(
+        "ac != bc and (major or av < bv) and " + _sized("an", "bn") + " and " + _shared_early("a", "b", first=True)))
+    low = "av < bv"
+    met = met.selectExpr("least(av, bv) as a", "greatest(av, bv) as b", f"if({low}, an, bn) as an", f"if({low}, bn, an) as bn",
+                         "if(aw > 1, aw, 0) as w").distinct()
+    # The members shared in large buckets are counted from the lists of both sets.
+    own = materialized(many.groupBy("v").agg(F.collect_list("token").alias("t")), "lists")
+    held = own.agg(F.sum(F.size("t"))).first()[0] or 0
+    pairs = listed.unionAll(met).groupBy("a", "b", "an", "bn").agg(F.sum("w").alias("shared"))
+    for end in "ab":
+        lists = own.toDF(end, f"{end}t")
+        pairs = pairs.join(F.broadcast(lists) if held <= BROADCAST_SHINGLES else lists, end, "left")
+    shared = "shared + if(at is null or bt is null, 0, size(array_intersect(at, bt)))"
+    return pairs.where(f"{shared} >= {_bounds('an', 'bn')[1]}").select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The pairs whose sets overlap enough, by their exact intersection. The sets of these pairs alone are read
+    again from their texts; those of the hubs are broadcast, in slices, if their counted shingles are few."""
+    ids = pairs.select(F.col("a").alias("v")).unionAll(pairs.select("b")).distinct()
+    wanted = materialized(vertices.join(small(materialized(ids, "ids")), "v", "left_semi"), "wanted")
+    sets = materialized(_sets(docs, wanted), "tokens")
+    hubs = materialized(pairs.select(F.col("a").alias("v")).distinct().join(wanted.select("v", "n"), "v"), "hubs")
+    held = hubs.agg(F.sum("n")).first()[0] or 0
+    ends = sets.join(small(hubs.select("v")), "v", "left_semi").select(F.col("v").alias("a"), F.col("tokens").alias("a_tokens"))
+    both = sets.select(F.col("v").alias("b"), F.col("tokens").alias("b_tokens")).join(small(pairs), "b")
+    slices = -(-held // BROADCAST_SHINGLES)
+    if slices <= SLICES:
+        place = F.pmod(F.xxhash64("a"), F.lit(max(1, slices)))
+        met = [both.where(place == i).join(F.broadcast(ends.where(place == i)), "a") for i in range(max(1, slices))]
+    else:
+        met = [both.join(ends, "a")]
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     size = F.size("a_tokens") + F.size("b_tokens")
-    return both.where(100 * common >= SIMILARITY * (size - common)).select("a", "b")
+    return reduce(DataFrame.unionAll, met).where(100 * common >= SIMILARITY * (size - common)).select("a", "b")
 
 
 def _sets(docs: DataFrame, vertices: DataFrame) -> DataFrame:
     """(v, tokens) of the given vertices, read again from their texts."""
 
     def again(frames):
-        for frame in frames:
+        for part in _parts(frames):
             rows = []
-            for doc, text in zip(frame["doc_id"], strings(frame["text"]), strict=True):
+            for doc, text in zip(part["doc_id"], strings(part["text"]), strict=True):
                 own = shingles(text)
                 rows.append((None if pd.isna(doc) else int(doc), *_two(own.tobytes()), own.view("i8")))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SETS.split(", ")], dtype=object)
@@ -216,30 +324,44 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Exact: two sets of enough overlap share a shingle of their prefixes, so they meet in a bucket. There each
     set is first compared with the bucket's hub, some rounds long; sets found linked need no more comparing.
-    At last all pairs of a bucket that are still in different components, and that sizes and places allow, are
-    compared. So copies and near copies cost about one comparison each, and no link between components is lost.
+    At last all pairs of a bucket that are still in different components, and whose sizes and shared prefix allow
+    a link, are compared. So copies and near copies cost about one comparison each, and no link between
+    components is lost.
     """
     send_code(__name__)
-    rows = materialized(features(docs, frequent_shingles(docs)).withColumn("row", F.monotonically_increasing_id()),
+    rows = materialized(features(docs, frequent_items(docs)).withColumn("row", F.monotonically_increasing_id()),
                         "shingled")
-    vertices, entries = _entries(rows)
-    wanted = materialized(entries.select("v").distinct().join(vertices, "v"), "wanted")
-    sets = materialized(_sets(docs, wanted), "tokens")
-    links, labels = None, None
-    for turn in range(ROUNDS + 1):
-        now = entries.withColumn("c", F.col("v")) if labels is None else entries.join(
-            labels, entries["v"] == labels["id"], "left").select(
-            "token", "v", "n", "pos", F.coalesce("component", "v").alias("c"))
-        found = _star_pairs(now, turn) if turn < ROUNDS else _rest_pairs(now)
+    vertices, entries, large = _entries(rows)
+    held = small(large)
+    many = materialized(entries.join(held, "token"), "many")
+    # In tenths of its prefix, how much of a set is in no large bucket.
+    inner = many.groupBy("v", "n").agg(F.count("*").alias("here")).select(
+        "v", F.floor(10 - 10 * F.col("here") * 100 / ((100 - SIMILARITY) * F.col("n") + 100)).alias("edge"))
+    many = materialized(many.join(small(materialized(inner, "edges")), "v"), "many")
+    few = entries.join(held, "token", "left_anti")
+    links, labels, first, turn = None, None, None, 0 if not many.isEmpty() else ROUNDS
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("c", F.col("v"))
+        known = small(labels.select(F.col("id").alias("v"), "component"))
+        return rows.join(known, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
+
+    while True:
+        last = turn >= ROUNDS
+        found = _rest_pairs(labelled(few), labelled(many)) if last else _star_pairs(labelled(many), turn)
         found = materialized(found.select("a", "b"), "pairs")
-        if found.isEmpty():
-            if turn >= ROUNDS:
-                break
-            continue
-        size = found.select(F.col("a").alias("v")).distinct().join(wanted, "v").agg(F.sum("n")).first()[0] or 0
-        new = _verified(found, sets, size)
-        links = materialized(new if links is None else links.unionAll(new), "links")
-        labels = materialized(components(links), "labels")
+        made = 0
+        if not found.isEmpty():
+            new = materialized(_verified(found, docs, vertices), "links")
+            made = new.count()
+        if made:
+            links = new if links is None else links.unionAll(new)
+            labels = materialized(components(links), "labels")
+        if last:
+            break
+        first = made if first is None else first
+        turn = turn + 1 if made > 0 and made >= WORTH * first else ROUNDS
     linked = vertices.select("v", "f1", "f2")
     if labels is None:
         return rows, linked.withColumn("c", F.col("v"))

@@ -78,6 +78,7 @@ def test_prefix_join_with_frequent_shingles_and_many_rounds(spark, monkeypatch):
     monkeypatch.setattr(prefix_join, "BUCKET", 3)
     monkeypatch.setattr(prefix_join, "LEAST_COUNT", 2)
     monkeypatch.setattr(prefix_join, "ROUNDS", 1)
+    monkeypatch.setattr(prefix_join, "FEW", 2)
     rows = corpus(2, 6, 25, words=30, edits=2)
     assert joined(spark, rows) == similar(rows)
 
