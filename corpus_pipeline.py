@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import decontaminate, pieces, prefix_join, secret_ledger, toxicity
-from panelcast.llm.common import materialized, small, table
+from panelcast.llm.common import materialized, small, table, text_batches
 
 #: From this score on a document is rejected as toxic.
 TOXIC = 0.5
@@ -17,7 +17,7 @@ MARK = "_panelcast_mark"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; the columns stay. Null and empty texts score like texts without any of the
     terms that tell labels apart, so they stay. Rows never meet: repeated rows share their fate."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, table(text_batches(spark), sf_dir, "labels"))
     return toxicity.scored(docs, model, into=MARK).where(F.col(MARK)["score"] < TOXIC).drop(MARK)
 
 
@@ -27,6 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows of one id are one document: it stays if any of its texts is its group's smallest, then with one row for
     each different text. Rows without an id count as one document too, which stays if a group has no other id.
     Empty texts are in no group and stay."""
+    text_batches(spark)
     placed = prefix_join.near_duplicates(docs)
     ids = placed.groupBy("doc_id").agg(
         F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count("*").alias("rows"))
@@ -41,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go. Null and empty texts hold none. Repeated rows share their fate."""
-    found = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), into=MARK)
+    found = decontaminate.with_leaks(docs, table(text_batches(spark), sf_dir, "benchmark"), into=MARK)
     return found.where(F.size(MARK) == 0).drop(MARK)
 
 
@@ -58,6 +59,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids, decoded_ok of every document left; null and empty texts have no ids."""
+    text_batches(spark)
     return pieces.encoded(docs, pieces.load())
 
 

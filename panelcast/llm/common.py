@@ -13,6 +13,8 @@ from panelcast.session import materialized
 FOLDS = 5
 #: A side of a join is broadcast only when its counted rows stay under this; rows here are at most a few longs.
 BROADCAST_ROWS = 400_000
+#: Rows with a text that a Python worker is handed at a time.
+TEXT_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,13 @@ def send_code(*modules: str) -> None:
         session.send_code(module)
 
 
+def text_batches(spark: SparkSession) -> SparkSession:
+    """Let this session hand rows to Python TEXT_ROWS at a time; for callers, before they run operators on long texts.
+    The usual ten thousand rows of text, held on both sides, fill hundreds of MB of an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    return spark
+
+
 def strings(values: pd.Series) -> list[str | None]:
     """A column of text as a list, nulls as None."""
     return [x if isinstance(x, str) else None for x in values.to_numpy(object)]
@@ -42,4 +51,4 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-__all__ = ["BROADCAST_ROWS", "FOLDS", "held_out", "materialized", "send_code", "small", "strings", "table"]
+__all__ = ["BROADCAST_ROWS", "FOLDS", "held_out", "materialized", "send_code", "small", "strings", "table", "text_batches"]

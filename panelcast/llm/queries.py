@@ -8,7 +8,7 @@ import corpus_pipeline
 from panelcast.llm import (
     decontaminate, html_wrapper, pieces, prefix_join, quality, secret_ledger, toxicity, url_filter, vector_index, warc,
 )
-from panelcast.llm.common import held_out, table
+from panelcast.llm.common import held_out, table, text_batches
 from panelcast.session import scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -30,7 +30,7 @@ def query(name, sql=None):
 @query("op1_html_wrapper")
 def op1_html_wrapper(spark, sf):
     """The main text of every page."""
-    return html_wrapper.main_text(table(spark, sf, "pages"))
+    return html_wrapper.main_text(table(text_batches(spark), sf, "pages"))
 
 
 _SETS = r"""
@@ -50,7 +50,7 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.y) as component_i
 from documents d join r on r.x = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id, n.n""")
 def op2_prefix_join(spark, sf):
     """Set size and component of every document."""
-    return prefix_join.near_duplicates(table(spark, sf, "documents"))
+    return prefix_join.near_duplicates(table(text_batches(spark), sf, "documents"))
 
 
 @query("op3_secret_ledger")
@@ -104,7 +104,7 @@ def op6_warc(spark, sf):
 @query("op5_toxicity")
 def op5_toxicity(spark, sf):
     """Every document scored by its nearest labelled examples."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(text_batches(spark), sf, "documents").select("doc_id", "text")
     scored = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf, "labels")))
     return scored.select(
         "doc_id", held_out().alias("held_out"), F.col("toxicity.score").alias("score"),
@@ -128,19 +128,19 @@ def op7_vector_index(spark, sf):
 @query("op8_decontaminate")
 def op8_decontaminate(spark, sf):
     """Every leaked test item of every document."""
-    return decontaminate.leaked_pairs(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return decontaminate.leaked_pairs(table(text_batches(spark), sf, "documents"), table(spark, sf, "benchmark"))
 
 
 @query("op9_pieces")
 def op9_pieces(spark, sf):
     """The ids of every whole text, and the test that they decode to it."""
-    return pieces.encoded(table(spark, sf, "documents"), pieces.load())
+    return pieces.encoded(table(text_batches(spark), sf, "documents"), pieces.load())
 
 
 @query("op10_quality")
 def op10_quality(spark, sf):
     """Every document scored by the network over its word vectors."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(text_batches(spark), sf, "documents").select("doc_id", "text")
     scored = quality.scored(docs, quality.fit(docs, table(spark, sf, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"),
                          (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
