@@ -30,8 +30,9 @@ FEW, BUCKET = 16, 2_000
 #: At most so many rounds compare the sets of a bucket with its hub, while a round links a tenth of what the first
 #: did. What is left is compared in pairs.
 ROUNDS, WORTH = 8, 0.1
-#: Sets of one side are broadcast in slices of about so many shingles (32 MB), if so many slices are enough.
-BROADCAST_SHINGLES, SLICES = 4_000_000, 8
+#: Sets of one side are broadcast, one after the other, in slices of about so many shingles (12 MB), if so many slices
+#: are enough; else both sides are shuffled.
+BROADCAST_SHINGLES, SLICES = 1_500_000, 16
 
 FEATURES = "doc_id long, n long, f1 long, f2 long, g1 long, g2 long, common int, prefix array<bigint>"
 SETS = "doc_id long, f1 long, f2 long, tokens array<bigint>"
@@ -289,15 +290,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, vertices: DataFrame) -> DataFra
     held = hubs.agg(F.sum("n")).first()[0] or 0
     ends = sets.join(small(hubs.select("v")), "v", "left_semi").select(F.col("v").alias("a"), F.col("tokens").alias("a_tokens"))
     both = sets.select(F.col("v").alias("b"), F.col("tokens").alias("b_tokens")).join(small(pairs), "b")
-    slices = -(-held // BROADCAST_SHINGLES)
-    if slices <= SLICES:
-        place = F.pmod(F.xxhash64("a"), F.lit(max(1, slices)))
-        met = [both.where(place == i).join(F.broadcast(ends.where(place == i)), "a") for i in range(max(1, slices))]
-    else:
-        met = [both.join(ends, "a")]
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     size = F.size("a_tokens") + F.size("b_tokens")
-    return reduce(DataFrame.unionAll, met).where(100 * common >= SIMILARITY * (size - common)).select("a", "b")
+    enough = 100 * common >= SIMILARITY * (size - common)
+    slices = max(1, -(-held // BROADCAST_SHINGLES))
+    if slices > SLICES:
+        return both.join(ends, "a").where(enough).select("a", "b")
+    place, met = F.pmod(F.xxhash64("a"), F.lit(slices)), []
+    for i in range(slices):
+        part = both.where(place == i).join(F.broadcast(ends.where(place == i)), "a").where(enough).select("a", "b")
+        # One slice at a time is held.
+        met.append(part if slices == 1 else materialized(part, "verified"))
+    return reduce(DataFrame.unionAll, met)
 
 
 def _sets(docs: DataFrame, vertices: DataFrame) -> DataFrame:
