@@ -13,7 +13,6 @@ from array import array
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from panelcast.llm.common import send_code, strings
 
