@@ -14,7 +14,7 @@ FOLDS = 5
 #: A side of a join is broadcast only when its counted rows stay under this; rows here are at most a few longs.
 BROADCAST_ROWS = 400_000
 #: Rows with a text that a Python worker is handed at a time.
-TEXT_ROWS = 1_000
+TEXT_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words, and neighbour pairs, that a Python worker remembers in each of two generations; the older one is
 #: forgotten when the younger is full.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 #: Documents encoded before their ids are handed over.
 AT_A_TIME = 500
 #: Signs that are looked up at once.
