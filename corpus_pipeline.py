@@ -60,7 +60,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids, decoded_ok of every document left; null and empty texts have no ids."""
     text_batches(spark)
-    return pieces.encoded(docs, pieces.load())
+    # Workers that have run the stages before hold memory of theirs.
+    return pieces.encoded(docs, pieces.load(), remembered=250_000)
 
 
 STAGES = [

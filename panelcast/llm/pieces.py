@@ -20,7 +20,7 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words, and neighbour pairs, that a Python worker remembers in each of two generations; the older one is
 #: forgotten when the younger is full.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Documents encoded before their ids are handed over.
 AT_A_TIME = 500
 #: Signs that are looked up at once.
@@ -58,6 +58,7 @@ class Pieces:
                 node.setdefault(p[-1], [-1, {}])[0] = i
         for value, i in enumerate(byte_ids):
             self.texts[i] = bytes([value])
+        self.remembered = REMEMBERED
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.fits: dict[int, dict[int, bool]] = {}
@@ -195,7 +196,7 @@ class Pieces:
 
     def _remembered(self, text: str, ids: bytes) -> bytes:
         if len(text) <= 64:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= self.remembered:
                 self.older, self.known = self.known, {}
             self.known[text] = ids
         return ids
@@ -241,7 +242,9 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(plain, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
 
-def encoded(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded(
+    docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", remembered: int = REMEMBERED
+) -> DataFrame:
     """``key`` of every row of ``docs``, the ids of its whole text, and whether decoding them gives the text back
     (with each space mark in it as a space, as the vocabulary can't tell them apart): key, n_ids, ids, decoded_ok.
 
@@ -256,6 +259,7 @@ def encoded(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "t
         held = shared.value
         if "model" not in held:
             held["model"] = Pieces(held["pieces"], held["byte_ids"])
+            held["model"].remembered = remembered
         model = held["model"]
         for frame in frames:
             for at in range(0, len(frame), AT_A_TIME):
