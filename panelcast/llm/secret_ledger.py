@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import materialized
 
+#: A private key: from BEGIN to the END line with no five dashes between; where that is missing, BEGIN, header lines
+#: and the base64 lines that follow, of which the last may be short. Line ends may be written as backslash and n.
+#: Loops are possessive, so that a text of any length takes no stack and is passed once.
+_KEY, _GAP, _LONG = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", r"""(?:\s|\\[nrt]|[>"'#*])""", r"[A-Za-z0-9+/]{24,}+={0,2}+"
+PEM = (rf"-----BEGIN {_KEY}(?:(?:[^-]|-(?!----))*+-----END {_KEY}"
+       rf"|(?:{_GAP}*+[A-Z][A-Za-z-]*+:[^\r\n\\]*+)*+(?:{_GAP}*+{_LONG})++"
+       rf"(?:{_GAP}*+(?<=[\nnr])[A-Za-z0-9+/]++={{0,2}}+(?=[ \t]*+(?:[\r\n\\\"']|\Z)))?)?")
 #: Fixed values: (kind, version, pattern, group that is measured, least length of it). The first three are the
 #: base kinds, in their order; a changed pattern takes a new version, which scans all blobs again for it.
 RULES = (
@@ -18,7 +25,7 @@ RULES = (
     ("hex", 1, r"[0-9a-f]+", 0, 16),
     ("github", 1, r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     ("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    ("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("pem", 2, PEM, 0, 1),
 )
 BASE = ("assign", "access", "hex")
 #: A single character class is matched with its least length at once: the maximal runs are the same.
@@ -27,7 +34,7 @@ SPANS = "array<struct<start:bigint,end:bigint>>"
 #: Spans of all blobs together are broadcast up to this number.
 BROADCAST_SPANS = 200_000
 #: Names that no table should have.
-BLOB, FOUND = "_panelcast_blob", "_panelcast_found"
+BLOB, FOUND, KNOWN = "_panelcast_blob", "_panelcast_found", "_panelcast_known"
 LEDGER = f"blob binary, kind string, version int, spans {SPANS}"
 
 
@@ -42,11 +49,12 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     Spans are those of the leftmost non-overlapping matches in the whole text, in code points, end exclusive;
     matches whose measured group is too short are dropped. A text is cut at the matches; the running lengths
     of the pieces give the places, by a window over the matches of one blob and kind. Only blobs that match
-    are cut, and only their cuts are shuffled.
+    are cut, and only their cuts are shuffled. A column KNOWN of ``blobs`` has a bit for each rule, in their order,
+    that is not to be scanned for.
     """
     text, none = F.col("text"), F.array().cast("array<struct<piece:int,match:int,group:int>>")
     found = []
-    for kind, version, pattern, group, least in rules:
+    for i, (kind, version, pattern, group, least) in enumerate(rules):
         p = F.lit(FAST.get(kind, pattern))
         whole = F.regexp_extract_all(text, p, F.lit(0))
         parts = F.transform(
@@ -55,9 +63,11 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
             lambda x: F.struct(F.length(x["p"]).alias("piece"), F.length(x["m"]).alias("match"),
                                F.length(x["g"]).alias("group")))
         cut = F.when(text.rlike(FAST.get(kind, pattern)), parts).otherwise(none)
-        found.append(F.struct(F.lit(kind).alias("kind"), F.lit(version).alias("version"), F.lit(least).alias("least"),
-                              cut.alias("parts")))
-    cuts = materialized(blobs.select("blob", F.array(*found).alias("found")), "secret-cuts")
+        entry = F.struct(F.lit(kind).alias("kind"), F.lit(version).alias("version"), F.lit(least).alias("least"),
+                         cut.alias("parts"))
+        found.append(F.when(F.col(KNOWN).bitwiseAND(1 << i) == 0, entry) if KNOWN in blobs.columns else entry)
+    found = F.filter(F.array(*found), lambda x: x.isNotNull())
+    cuts = materialized(blobs.select("blob", found.alias("found")), "secret-cuts")
     cuts = cuts.select("blob", F.explode("found").alias("f")).select("blob", "f.*")
     clean = cuts.where(F.size("parts") == 0).select("blob", "kind", "version", F.array().cast(SPANS).alias("spans"))
     rows = cuts.selectExpr("blob", "kind", "version", "least", "posexplode(parts) as (i, part)")
@@ -81,11 +91,16 @@ def update_ledger(texts: DataFrame, ledger: DataFrame | None = None, rules=RULES
     blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is None:
         return scan(blobs, rules)
-    fresh = []
-    for rule in rules:
-        known = ledger.where((F.col("kind") == rule[0]) & (F.col("version") == rule[1])).select("blob")
-        fresh.append(scan(blobs.join(known, "blob", "left_anti"), (rule,)))
-    return reduce(DataFrame.unionAll, fresh)
+    bits = reduce(lambda other, i: F.when(_present(rules[i:i + 1]), F.lit(1 << i)).otherwise(other), range(len(rules)), F.lit(0))
+    known = ledger.where(_present(rules)).groupBy("blob").agg(F.bit_or(bits).alias(KNOWN))
+    known = known.withColumnRenamed("blob", BLOB)
+    rest = blobs.join(known, F.col("blob") == F.col(BLOB), "left").select("blob", "text", F.coalesce(KNOWN, F.lit(0)).alias(KNOWN))
+    return scan(rest.where(F.col(KNOWN) != (1 << len(rules)) - 1), rules)
+
+
+def _present(rules) -> Column:
+    """Whether a row of a ledger is of one of the rules in its present version."""
+    return reduce(or_, [(F.col("kind") == r[0]) & (F.col("version") == r[1]) for r in rules])
 
 
 def spans_by_blob(ledger: DataFrame, rules=RULES) -> DataFrame:
@@ -93,8 +108,7 @@ def spans_by_blob(ledger: DataFrame, rules=RULES) -> DataFrame:
     (start, place, kind, end), by start, then by the place of the rule. Written, as two joins may read it, and
     marked for broadcast while its blobs and spans, counted first, are few."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r[0], i)])
-    now = reduce(or_, [(F.col("kind") == r[0]) & (F.col("version") == r[1]) for r in rules])
-    spans = ledger.where(now & (F.size("spans") > 0)).select("blob", "kind", F.explode("spans").alias("s"))
+    spans = ledger.where(_present(rules) & (F.size("spans") > 0)).select("blob", "kind", F.explode("spans").alias("s"))
     spans = spans.select("blob", F.struct(F.col("s.start").alias("start"), order[F.col("kind")].alias("place"), "kind",
                                           F.col("s.end").alias("end")).alias("s"))
     held = materialized(spans.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("s")), "secret-spans")
@@ -140,6 +154,8 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 
 
 def scanned(texts: DataFrame, rules=RULES) -> DataFrame:
-    """``findings`` of ``texts`` (doc_id, text) from a ledger built for them and written to the shared folder."""
-    ledger = materialized(update_ledger(texts, None, rules), "secret-ledger")
+    """``findings`` of ``texts`` (doc_id, text) from a ledger built for them and written to the shared folder in two
+    steps, as two deliveries would: rows of even doc_id first, then of all rows the blobs that the written ledger lacks."""
+    first = materialized(update_ledger(texts.where("doc_id % 2 = 0"), None, rules), "secret-ledger")
+    ledger = first.unionByName(materialized(update_ledger(texts, first, rules), "secret-ledger"))
     return findings(texts, ledger, rules)

@@ -68,6 +68,26 @@ def test_redaction(spark):
     assert got[7] == "[secret]' [secret]" and all(not base_spans(t) for t in got.values())
 
 
+def test_private_keys_go_whole(spark):
+    rnd = random.Random(2)
+    lines = ["".join(rnd.choice("ABCXYZabcxyz0189+/") for _ in range(64)) for _ in range(25)] + ["Qx7+aZ=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n"
+    body, many = "\n".join(lines), "\n".join(lines[:25] * 2_000)
+    texts = {
+        f"a\n{begin}\n{body}\n{end}\nb": "a\n[secret]\nb", f"a {begin} {' '.join(lines)} {end} b": "a [secret] b",
+        f"a\n{begin}\n{head}{body}\n{end}\nb": "a\n[secret]\nb", f"é😀\n{begin}\r\n{body}\nThe end of it": "é😀\n[secret]\nThe end of it",
+        f'k="{begin}\\n' + "\\n".join(lines) + f'\\n{end}\\n"; x': 'k="[secret]\\n"; x', f"{begin}\n{head}{body}": "[secret]",
+        f"{begin}\n{body}\n{begin}\n{body}\n{end}": "[secret]\n[secret]", f"{begin}\n{many}\n{end} b": "[secret] b",
+        f"{begin}\n{many}\nplain words": "[secret]\nplain words", f"the line {begin} starts a key": "the line [secret] starts a key",
+        f"{begin} {'-' * 9} no key": f"[secret] {'-' * 9} no key", f"-----BEGIN PUBLIC KEY-----\nshort\n{end}": None,
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_ledger.redacted(rows, secret_ledger.update_ledger(rows)).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert got[i] == (text if want is None else want), text[:200]
+
+
 def items():
     rnd = random.Random(4)
     return [(i, " ".join(f"t{rnd.randrange(300)}" for _ in range(20)) + ". " + " ".join(f"a{rnd.randrange(300)}" for _ in range(6)) + ".")
