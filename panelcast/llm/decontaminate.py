@@ -21,19 +21,25 @@ ITEMS_PER_INDEX = 500
 CHUNK = 64
 #: BM25 of a passage over BM25 of the item itself, from which on an item is retrieved.
 MIN_SCORE = 0.5
-#: Share of the item's shingles found in the passage, from which on it counts as leaked.
+#: Share of the item's or its question's shingles found in the passage, from which on it counts as leaked.
 MIN_OVERLAP = 0.5
 K1, B = 1.2, 0.75
 #: Items in a block of the index.
 BLOCK = 4
 FOUND = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double,overlap:double>>"
 
-_WORD = re.compile(r"\w+")
-_END = re.compile(r"(?<=[.?!])\s+")
+#: Letters of scripts that put no spaces between words: Thai to Myanmar, Khmer, kana, Han. Each is a word here.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"(?=\w)[{_ALONE}]|(?:(?![{_ALONE}])\w)+")
+_SPACED = re.compile(r"\w+")
+_LONE = re.compile(f"[{_ALONE}]")
+_END = re.compile(r"(?<=[.?!])\s+|(?<=[。？！｡])\s*")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters in lower case; a letter of a script without spaces stands alone."""
+    text = (text or "").lower()
+    return (_WORD if _LONE.search(text) else _SPACED).findall(text)
 
 
 def shingles(tokens: list[str]) -> set[tuple[str, ...]]:
@@ -53,7 +59,8 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
 
 
 class LeakIndex:
-    """Items as BM25 impacts divided by the item's own score, so that an exact copy scores 1 for each item."""
+    """Items as BM25 impacts divided by the item's own score, so that an exact copy scores 1 for each item. The
+    questions are entries of their own beside the whole items, so that one is retrieved however long its answer is."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float):
         # Items that share frequent words, such as those of one language, stand together: their blocks bound well.
@@ -65,18 +72,20 @@ class LeakIndex:
         self.sets = [(shingles(q), shingles(a), shingles(w)) for (q, a), w in zip(parts, tokens, strict=True)]
         self.terms = {t: i for i, t in enumerate(sorted({t for w in tokens for t in w}))}
         terms, owners, weights = [], [], []
-        for k, w in enumerate(tokens):
+        entries = [(k, w) for k, (q, _) in enumerate(parts) for w in (tokens[k], q) if w is not q or len(q) >= SHINGLE]
+        self.owner = np.array([k for k, _ in entries], "i8")
+        for k, (_, w) in enumerate(entries):
             tf = Counter(w)
             impact = [math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1)
                       / (n + K1 * (1 - B + B * len(w) / mean_words)) for t, n in tf.items()]
             terms += [self.terms[t] for t in tf]
             owners += [k] * len(tf)
             weights += [x / sum(impact) for x in impact]
-        self.index = blockmax.BlockMaxIndex(terms, owners, weights, max(1, len(self.terms)), len(items), BLOCK)
+        self.index = blockmax.BlockMaxIndex(terms, owners, weights, max(1, len(self.terms)), len(entries), BLOCK)
 
     def retrieve(self, tokens: list[str]) -> dict[int, dict[int, float]]:
-        """Passage number -> {item: score} for all scores of MIN_SCORE or more. A block of items is scored only
-        where the sum of its largest impacts over the passage reaches that."""
+        """Passage number -> {item: score} for all scores of MIN_SCORE or more, the larger one of an item and its
+        question. A block of entries is scored only where the sum of its largest impacts over the passage reaches that."""
         get = self.terms.get
         at = np.fromiter((get(w, -1) for w in tokens), "i8", len(tokens))
         place = np.flatnonzero(at >= 0)
@@ -95,7 +104,8 @@ class LeakIndex:
             asked = term[first[row]:last[row]]
             scores = self.index.scores(block, asked, np.ones(len(asked)))
             for k in np.flatnonzero(scores >= MIN_SCORE):
-                found.setdefault(int(passage[first[row]]), {})[int(block) * self.index.block + int(k)] = float(scores[k])
+                items, item = found.setdefault(int(passage[first[row]]), {}), int(self.owner[block * self.index.block + k])
+                items[item] = max(items.get(item, 0.0), float(scores[k]))
         return found
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
@@ -105,7 +115,7 @@ class LeakIndex:
             have = shingles(tokens[passage * self.chunk:(passage + 2) * self.chunk])
             for k, score in items.items():
                 q, a, whole = (len(s & have) / len(s) if s else 0.0 for s in self.sets[k])
-                if whole >= MIN_OVERLAP:
+                if max(whole, q) >= MIN_OVERLAP:
                     best[k] = max(best.get(k, (0.0,)), (whole, score, q, a))
         return [(self.ids[k], s, q, a, whole) for k, (whole, s, q, a) in sorted(best.items())]
 
@@ -113,8 +123,8 @@ class LeakIndex:
 def indexes(benchmark: DataFrame, items_per_index: int = ITEMS_PER_INDEX):
     """The indexes over ``benchmark`` (item_id, text), one after the other, each of a bounded number of items.
 
-    Document frequencies are those of the whole benchmark. Items of fewer than five words are no evidence and
-    are left out; repeated rows count once. An empty benchmark gives no index."""
+    Document frequencies are those of the whole benchmark. Items of fewer than five words, letters in scripts
+    without spaces, are no evidence and are left out; repeated rows count once. An empty benchmark gives no index."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
 
     def cut(texts: pd.Series) -> pd.Series:

@@ -119,6 +119,20 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontaminate.leaked_pairs(docs.limit(0), bench).count() == 0
 
 
+def test_a_question_alone_is_a_leak(spark):
+    """A full question before an answer that is longer, and items of scripts without spaces."""
+    rnd = random.Random(3)
+    question, answer = (" ".join(f"{c}{rnd.randrange(10 ** 6)}" for _ in range(n)) for c, n in (("q", 10), ("a", 40)))
+    chinese = "水的沸点在标准大气压下是多少度？一百摄氏度。"
+    bench = spark.createDataFrame([(1, f"{question}? {answer}."), (2, chinese), (3, "ประเทศไทยมีกี่จังหวัด"), (4, "天地")], "item_id long, text string")
+    fill = " ".join(f"f{rnd.randrange(10 ** 6)}" for _ in range(200))
+    docs = [(10, f"{fill} {question} {fill}"), (11, f"{fill} {question[:30]} {fill}"), (12, f"前文。{chinese}后文"), (13, "水是生命之源。"),
+            (14, f"{fill} ประเทศไทยมีกี่จังหวัด"), (15, "天地"), (16, "水的沸点在标准大气压下是多少度"), (17, fill)]
+    got = decontaminate.leaked_pairs(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(10, 1), (12, 2), (14, 3), (16, 2)]
+    assert next(r for r in got if r["doc_id"] == 10)["question_overlap"] == 1.0
+
+
 def test_block_bounds_hold():
     tests = [x for x in items() if x[1] and len(x[1]) > 20]
     df = {}
