@@ -19,9 +19,11 @@ from panelcast.llm.common import held_out, materialized, send_code, strings
 MAX_EXAMPLES = 20_000
 #: Terms the vectors are made of: those that tell the labels apart best.
 MAX_TERMS = 2_000
+#: A term of so many texts counts where its chi-square statistic is far beyond chance, over all the terms there are.
 MIN_DOCS = 8
-#: A term counts where its chi-square statistic is far beyond chance, over all the terms there are.
 MIN_CHI2 = 40.0
+#: A rarer or weaker term of toxic texts counts where chance explains at most this share of the terms like it.
+MAX_CHANCE = 0.5
 #: Starts of words that are terms too, so that inflected forms share one.
 STARTS = (4, 5, 6)
 #: The entry that every text has.
@@ -149,13 +151,35 @@ class ToxicityModel:
         return score, [d for i in items[:3] for d in self.ids[i]][:3], [self.names[t] for t, _ in key]
 
 
+def beyond_chance(cells: list[tuple[int, int, int]], share: float) -> list[tuple[int, int]]:
+    """(n, ones) of terms that stand in n examples, ones of them toxic, more often than chance makes them.
+
+    ``cells``: (n, ones, number of terms). For each n the terms with as many toxic examples or more are counted
+    and compared with what a binomial draw would give of all terms of that n. It draws at the toxic share, or
+    that of all places of rare terms if larger, as toxic texts may be longer. No count is fixed, so a few
+    examples do where the terms are few, and more are asked where there are many."""
+    rare = [(n, k, c) for n, k, c in cells if n < MIN_DOCS]
+    share = max(share, sum(k * c for _, k, c in rare) / max(1, sum(n * c for n, _, c in rare)))
+    by_n: dict[int, dict[int, int]] = {}
+    for n, k, c in cells:
+        by_n.setdefault(n, {})[k] = c
+    out, odds = [], (math.log(share), math.log1p(-share)) if 0 < share < 1 else None
+    for n, k, _ in cells if odds else ():
+        if k / n >= (1 + share) / 2:
+            tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * odds[0] + (n - i) * odds[1])
+                       for i in range(k, n + 1))
+            if tail * sum(by_n[n].values()) <= MAX_CHANCE * sum(c for i, c in by_n[n].items() if i >= k):
+                out.append((n, k))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> ToxicityModel:
     """Learn from labelled rows that are not held out; at most ``max_examples``, a documented bound, chosen by a
     hash of the id; of those that are near copies by their sketch, one is kept, so that a copied text doesn't
     vote many times. Several labels of one id count as their largest; null labels and ids are left out.
 
-    Terms are kept where their texts' share of toxic ones is far from the overall one, halfway to all or to none.
-    They and their document frequencies are counted in Spark; only the chosen terms and the examples' counts
+    Terms are kept where their texts' share of toxic ones is far from the overall one, halfway to all or to none,
+    and by chi-square or, for toxic ones however rare, by ``beyond_chance``. They and their document frequencies are counted in Spark; only the chosen terms and the examples' counts
     of them, both bounded, reach the driver. Without examples every text scores the same 0.5 or so."""
     send_code(__name__, blockmax.__name__)
     chosen = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(
@@ -182,9 +206,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     share = positive / total if total else 0.0
     spread = max(share * (1 - share), 1e-9)
     chi2 = (F.col("ones") - F.col("n") * share) ** 2 / (F.col("n") * spread) / (1 - F.col("n") / (total + 1))
-    terms = examples.select("text", "label").mapInPandas(counted, "term string, n long, ones long").groupBy("term").agg(
-        F.sum("n").alias("n"), F.sum("ones").alias("ones")).where(F.col("n") >= MIN_DOCS).where(chi2 >= MIN_CHI2).where(
-        (F.col("ones") / F.col("n") >= (1 + share) / 2) | (F.col("ones") / F.col("n") <= share / 2))
+    terms = materialized(examples.select("text", "label").mapInPandas(counted, "term string, n long, ones long").groupBy("term").agg(
+        F.sum("n").alias("n"), F.sum("ones").alias("ones")), "toxic-terms")
+    strong = (F.col("n") >= MIN_DOCS) & (chi2 >= MIN_CHI2)
+    far = (F.col("ones") / F.col("n") >= (1 + share) / 2) | (F.col("ones") / F.col("n") <= share / 2)
+    weak = terms.where(~strong).groupBy("n", "ones").count().collect()
+    more = [n * (total + 1) + k for n, k in beyond_chance([tuple(r) for r in weak], share)]
+    terms = terms.where(far & (strong | (F.col("n") * (total + 1) + F.col("ones")).isin(more)))
     best = terms.orderBy(F.desc(chi2), "term").limit(max_terms).collect()
     names = sorted(r["term"] for r in best)
     at, seen = {t: i for i, t in enumerate(names)}, {r["term"]: r["n"] for r in best}

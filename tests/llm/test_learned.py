@@ -47,6 +47,20 @@ def test_toxicity_on_held_out_rows(tables):
     assert all(r["score"] < 0.5 for r in got if r["doc_id"] is None or r["doc_id"] >= 1000)
 
 
+def test_few_toxic_examples_teach_rare_words(spark):
+    """At the least size the toxicity stage drops the documents that hold insults, and no other."""
+    at = "/root/testdata/sf0.001"
+    docs = table(spark, at, "documents")
+    left = {r[0] for r in corpus_pipeline.drop_toxic(spark, docs, at).select("doc_id").collect()}
+    assert {r[0] for r in docs.select("doc_id").collect()} - left == {21, 33, 35, 81, 129, 169, 171, 186}
+
+
+def test_chance_is_that_of_all_terms_alike():
+    assert toxicity.beyond_chance([(3, 3, 4), (3, 1, 300), (3, 0, 700), (1, 1, 150), (1, 0, 850)], 0.1) == [(3, 3)]
+    assert toxicity.beyond_chance([(3, 3, 2), (3, 1, 30_000), (3, 0, 70_000)], 0.1) == []
+    assert toxicity.beyond_chance([], 0.1) == toxicity.beyond_chance([(1, 1, 5)], 1.0) == []
+
+
 def test_neighbours_are_the_nearest(tables):
     """Cosines of the index against all examples compared one by one."""
     docs, labels, _ = tables
