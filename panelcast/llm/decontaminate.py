@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import blockmax
-from panelcast.llm.common import materialized, send_code, strings
+from panelcast.llm.common import materialized, send_code, small, strings
 
 SHINGLE = 5
 #: Items of one index; more items are searched index after index.
@@ -26,6 +27,8 @@ MIN_OVERLAP = 0.5
 K1, B = 1.2, 0.75
 #: Items in a block of the index.
 BLOCK = 4
+#: Names that no table should have.
+TEXT, FOUND_HERE = "_panelcast_text", "_panelcast_leaks"
 FOUND = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double,overlap:double>>"
 
 #: Letters of scripts that put no spaces between words: Thai to Myanmar, Khmer, kana, Han. Each is a word here.
@@ -121,7 +124,8 @@ class LeakIndex:
 
 
 def indexes(benchmark: DataFrame, items_per_index: int = ITEMS_PER_INDEX):
-    """The indexes over ``benchmark`` (item_id, text), one after the other, each of a bounded number of items.
+    """The number of indexes over ``benchmark`` (item_id, text), each of a bounded number of items, and the function
+    that builds one of them by its number, so that the caller holds no more than it uses.
 
     Document frequencies are those of the whole benchmark. Items of fewer than five words, letters in scripts
     without spaces, are no evidence and are left out; repeated rows count once. An empty benchmark gives no index."""
@@ -136,11 +140,14 @@ def indexes(benchmark: DataFrame, items_per_index: int = ITEMS_PER_INDEX):
     df = items.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").count()
     shards = -(-n_items // items_per_index)
     items = items.withColumn("shard", F.pmod(F.xxhash64("text", "item_id"), F.lit(max(1, shards))))
-    for shard in range(shards):
+
+    def build(shard: int) -> LeakIndex:
         own = items.where(F.col("shard") == shard)
         terms = own.select(F.explode("words").alias("term")).distinct().join(df, "term").collect()
         rows = own.select("item_id", "text").collect()
-        yield LeakIndex([tuple(r) for r in rows], {r["term"]: r["count"] for r in terms}, n_items, mean_words)
+        return LeakIndex([tuple(r) for r in rows], {r["term"]: r["count"] for r in terms}, n_items, mean_words)
+
+    return shards, build
 
 
 def _leaks_of(index: LeakIndex):
@@ -160,11 +167,21 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, items_per_index: int = ITE
     shares of question, answer and whole item found in one passage.
 
     Every passage of two chunks is a query, and each item lies wholly inside one; all items above MIN_SCORE are
-    verified. Null and empty texts, and an empty benchmark, give an empty array. Rows never meet one another."""
+    verified. Null and empty texts, and an empty benchmark, give an empty array. With one index rows never meet one
+    another. More are built, searched and let go one after the other, each in a pass that writes what it found by
+    the text's hash; the driver and a worker hold one."""
     send_code(__name__, blockmax.__name__)
-    columns = [_leaks_of(index)("text") for index in indexes(benchmark, items_per_index)]
-    found = F.concat(*columns) if columns else F.array().cast(FOUND)
-    return docs.withColumn(into, found)
+    shards, build = indexes(benchmark, items_per_index)
+    none = F.array().cast(FOUND)
+    if shards <= 1:
+        return docs.withColumn(into, _leaks_of(build(0))("text") if shards else none)
+    passes = []
+    for shard in range(shards):
+        one = docs.select(F.sha2("text", 256).alias(TEXT), _leaks_of(build(shard))("text").alias(into))
+        passes.append(materialized(one.where(F.size(into) > 0).select(TEXT, F.explode(into).alias("leak")), "leaks"))
+    held = reduce(DataFrame.unionByName, passes).distinct().groupBy(TEXT).agg(F.array_sort(F.collect_list("leak")).alias(FOUND_HERE))
+    rows = docs.withColumn(TEXT, F.sha2("text", 256)).join(small(materialized(held, "leaks")), TEXT, "left")
+    return rows.withColumn(into, F.coalesce(FOUND_HERE, none)).drop(TEXT, FOUND_HERE)
 
 
 def leaked_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

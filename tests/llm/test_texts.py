@@ -1,9 +1,11 @@
 """Secrets, leaks, pieces, archives and pages: against brute force, and odd rows."""
 
 import base64
+import gc
 import hashlib
 import random
 import re
+import weakref
 
 import pytest
 
@@ -133,6 +135,23 @@ def test_a_question_alone_is_a_leak(spark):
     assert next(r for r in got if r["doc_id"] == 10)["question_overlap"] == 1.0
 
 
+def test_one_index_is_held_at_a_time(spark, monkeypatch):
+    made, alive, make = [], [], decontaminate._leaks_of
+
+    def counted(index):
+        made.append(weakref.ref(index))
+        gc.collect()
+        alive.append(sum(r() is not None for r in made))
+        return make(index)
+
+    monkeypatch.setattr(decontaminate, "_leaks_of", counted)
+    bench = spark.createDataFrame(items(), "item_id long, text string")
+    docs = spark.createDataFrame([(1, items()[3][1]), (1, items()[3][1]), (2, None)], "doc_id long, text string")
+    got = decontaminate.with_leaks(docs, bench, items_per_index=7, into="found").collect()
+    assert sorted((r["doc_id"], [f["item_id"] for f in r["found"]]) for r in got) == [(1, [3]), (1, [3]), (2, [])]
+    assert len(alive) > 3 and max(alive) == 1
+
+
 def test_block_bounds_hold():
     tests = [x for x in items() if x[1] and len(x[1]) > 20]
     df = {}
