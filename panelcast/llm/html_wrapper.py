@@ -27,6 +27,12 @@ OUTSIDE_WORDS = frozenset(
     "copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination "
     "popup promo promoted related respond search share sharing sidebar signup social sponsor sponsored subscribe "
     "toolbar topbar widget".split())
+#: Words that may stand beside one of those in a name. With any other word, as in has-sidebar, a name says nothing.
+PLACE_WORDS = frozenset(
+    "area bar block bottom box cell col container content global group inner item left link links list main middle outer page panel "
+    "primary right secondary section site slot sub top unit wrap wrapper zone".split())
+#: Elements that hold the article or are it, whatever they are called.
+HOLDERS = frozenset("html body main article".split())
 #: Which open elements a start tag closes, up to which.
 CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)),
           "tr": ("tr td th", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)),
@@ -53,9 +59,15 @@ class Node:
         self.label, self.children, self.text, self.outside, self.slot = label, [], text, outside, -1
 
 
+def _names_outside(name: str) -> bool:
+    """Whether a class, id or role names something outside of articles: all its words do, but for those of place."""
+    parts = {w for w in re.split(r"[^a-z]+", name) if w}
+    return not OUTSIDE_WORDS.isdisjoint(parts) and parts <= OUTSIDE_WORDS | PLACE_WORDS
+
+
 def _label(tag: str, attributes: str) -> tuple[str, bool]:
     """The label of an element, tag and class with digits as 0, and whether it is outside of any article."""
-    outside, name = tag in OUTSIDE, ""
+    outside, name, holder = tag in OUTSIDE, "", tag in HOLDERS
     if attributes.strip():
         for key, value in _ATTR.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
@@ -64,7 +76,7 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
             elif key == "style":
                 outside |= bool(re.search(r"display\s*:\s*none", value))
             else:
-                outside |= not OUTSIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
+                outside |= not holder and any(map(_names_outside, value.split()))
                 if key == "class" and value:
                     name = "." + re.sub(r"[^a-z0-9_-]", "", re.sub(r"\d+", "0", value.split()[0]))
     return tag + ("!" if outside else "") + name, outside
@@ -280,27 +292,41 @@ def write_wrapper(wrapper: Wrapper) -> tuple[str, list[tuple[int, int, int]]]:
 
 def kept_slots(wrapper: Wrapper, tree: Wrapper, slots: int) -> list[bool]:
     """Which text slots of a shape are content: inside the article (or main) if there is one, not in an element
-    outside of articles, not a constant of the host's pages; without an article, runs of links go too."""
-    known, rows = {}, []
+    outside of articles, not a constant of the host's pages; without an article, runs of links go too.
+
+    Where all that varies would go as outside, and it is more than what stays, elements that hold most of it, such
+    as a form around the page, count as inside; marked elements in them stay outside."""
+    known = {}
 
-    def walk(a: Wrapper | None, b: Wrapper, outside: bool, inside: bool):
-        tag = re.split(r"[.!]", b.label)[0]
-        outside |= "!" in b.label
+    def walk(a: Wrapper | None, b: Wrapper, outside: bool, inside: bool) -> int:
+        tag, marked, varying = re.split(r"[.!]", b.label)[0], "!" in b.label, 0
+        outside |= marked and id(b) not in opened
         inside |= tag in ("article", "main")
         if b.slot >= 0:
             constant = a is not None and a.low == a.high and a.pages >= MIN_PAGES
             rows.append((b.slot, outside, inside, constant, b.label == "#link"))
+            varying += not constant
         matched = pairs(a, b, known) if a is not None else [(None, c) for c in b.children]
-        for x, y in matched:
-            if y is not None:
-                walk(x, y, outside, inside)
+        varying += sum(walk(x, y, outside, inside) for x, y in matched if y is not None)
+        if marked:
+            marks[id(b)] = varying
+        return varying
 
-    walk(wrapper, tree, False, False)
-    article = any(r[2] and not r[1] for r in rows)
-    varies = any(not r[1] and not r[3] for r in rows)
+    opened, kept = set(), []
+    while True:
+        rows, marks = [], {}
+        total = walk(wrapper, tree, False, False)
+        article = any(r[2] and not r[1] for r in rows)
+        varies = any(not r[1] and not r[3] for r in rows)
+        kept = [slot for slot, outside, inside, constant, link in rows
+                if not outside and not (constant and varies) and (inside if article else not link)]
+        most = {k for k, n in marks.items() if 2 * n > total and n > len(kept)}
+        if opened or varies or not most:
+            break
+        opened = most
     keep = [False] * slots
-    for slot, outside, inside, constant, link in rows:
-        keep[slot] = not outside and not (constant and varies) and (inside if article else not link)
+    for slot in kept:
+        keep[slot] = True
     return keep
 
 

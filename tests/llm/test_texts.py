@@ -261,6 +261,18 @@ def test_constants_of_a_host_are_template(spark):
     assert got[99] == "Welcome to the site\n\nstory 99 begins\n\nand ends 99\n\nImprint"
 
 
+@pytest.mark.parametrize("start, end", [
+    ('<body class="single has-sidebar"><article>', "</article></body>"), ('<article class="post comments-open">', "</article>"),
+    ('<body><div id="page" class="no-sidebar">', "</div></body>"), ('<div class="share-enabled">', "</div>"),
+    ('<body class="sidebar"><main class="search">', "</main></body>"), ("<body><form action=x>", "</form></body>"),
+    ('<p>Site</p><div class="widget">', "</div>")])
+def test_names_never_cost_the_whole_page(spark, start, end):
+    rows = [(i, f"http://h.tld/{i}", f"{start}<h1>title {i}</h1><p>story {i}</p><div class='site-footer'>foot {i}</div>"
+             f"<div class='ad'>buy {i}</div><ul class=main-nav><li>at {i}</ul>{end}") for i in range(9)]
+    got = html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"title {r['page_id']}\n\nstory {r['page_id']}" for r in got)
+
+
 def test_tree_matching_aligns_what_it_can():
     one = html_wrapper.read_shape("#root(div(#text),p(#text),ul(li(#link)))", [(1, 5, 5), (1, 6, 6), (1, 7, 7)])
     other = html_wrapper.read_shape("#root(h1(#text),div(#text),ul(li(#link)))", [(1, 1, 1), (1, 5, 5), (1, 8, 8)])
