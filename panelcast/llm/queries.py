@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelcast.llm import (
-    decontaminate, html_wrapper, pieces, prefix_join, quality, secret_ledger, toxicity, url_filter, vector_index, warc,
+    chat_format, decontaminate, html_wrapper, pieces, prefix_join, ptolemaic, quality, resampling, secret_ledger,
+    toxicity, url_filter, vector_index, warc,
 )
 from panelcast.llm.common import held_out, table, text_batches
 from panelcast.session import scratch_path
@@ -146,6 +149,61 @@ def op10_quality(spark, sf):
                          (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
+_CONTROLS = "|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in chat_format.CONTROLS)
+
+
+@query("op11_chat_parts", rf"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(text) + len(regexp_extract_all(text, '{_CONTROLS}')) as chars from c)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text))
+    as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum({len(chat_format.TURN + chat_format.END) + 2} + length(role) + chars)::bigint as formatted_chars
+from e group by conv_id""")
+def op11_chat_parts(spark, sf):
+    """Every conversation formatted and read back, with one that is made of control strings."""
+    rows = table(text_batches(spark), sf, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.formatted(rows.unionByName(own)))
+
+
+@query("op12_resample")
+def op12_resample(spark, sf):
+    """Every document weighted towards the benchmark's texts, a twentieth drawn and ranked."""
+    return resampling.resampled(table(text_batches(spark), sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def _clusters_sql(k=ptolemaic.CENTROIDS, rounds=ptolemaic.ROUNDS):
+    """The rounds written out one after the other."""
+    size, scale = ptolemaic.SIZE, ptolemaic.SCALE
+    steps = [f"""v as materialized (select vec_id, list_transform(embedding::double[], lambda x: floor({scale} * x)::bigint) as v
+        from embeddings where len(embedding) = {size}
+        and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {size})""",
+        f"""c0 as materialized (select (row_number() over (order by h) - 1)::int as c, v from
+        (select sha256('{ptolemaic.SEED}:' || vec_id) as h, v from v order by h limit {k}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (select vec_id, any_value(v) as v, min(struct_pack(d := d, c := c)) as m from
+            (select vec_id, v.v as v, c, list_sum(list_transform(list_zip(v.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint
+             as d from v, c{i}) group by vec_id)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} as materialized (select c{i}.c, coalesce(n.v, c{i}.v) as v from c{i} left join
+                (select c, list(floor(s / n)::bigint order by p) as v from (select m.c as c, p, sum(v[p])::double as s, count(*) as n
+                 from a{i}, range(1, {size + 1}) as r(p) group by 1, 2) group by c) n on n.c = c{i}.c)""")
+    return f"""with {", ".join(steps)}
+select vec_id, m.c as cluster, m.d as distance, (sum(m.d) over (partition by m.c))::bigint as cluster_inertia,
+  (sum(m.d) over ())::bigint as inertia, sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on c{rounds}.c = m.c"""
+
+
+@query("op13_ptolemaic", _clusters_sql())
+def op13_ptolemaic(spark, sf):
+    """Every vector with its cluster after five rounds."""
+    return ptolemaic.clustered(table(spark, sf, "embeddings")).drop("centroid")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     """All stages over all documents."""
