@@ -1,12 +1,10 @@
-"""Learned forecasts, at the library's full size. Seeds are fixed; rows, ranges and sums have SQL twins.
+"""Learned forecasts, at the library's full size. Seeds are fixed; counts, ranges and errors have SQL twins.
 
-Several queries read the same two fitted members, so a session fits them once for a folder of tables.
+Fitted parts come from the content-addressed store: a query fits only what it reads and no session has fitted yet.
 """
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import functions as F
 
 from panelcast.catalog import bindings as B
@@ -18,25 +16,15 @@ from panelcast.plans import prediction as P
 from panelcast.plans import training as T
 
 _HORIZONS = "(select cast(unnest(generate_series(1, 4)) as int) as horizon)"
-_prepared, _members = {}, {}
 
 
-def prepared(spark, sf):
-    """The feature table of a folder, once for a session."""
-    key = spark.sparkContext.applicationId, sf
-    if key not in _prepared:
-        _prepared[key] = T.prepare(B.stored_panel(spark, sf))
-    return _prepared[key]
+def learned(spark, sf) -> T.Learned:
+    return T.Learned(B.stored_panel(spark, sf))
 
 
-def members(spark, sf):
-    """Both fitted members and the seconds they took, once for a session."""
-    key = spark.sparkContext.applicationId, sf
-    if key not in _members:
-        data, start = prepared(spark, sf), time.perf_counter()
-        fitted = {"rf": T.train_forest(data), "mlp": T.train_boosted(data)}
-        _members[key] = fitted, time.perf_counter() - start
-    return _members[key]
+def forecasts(models: T.Learned, **members):
+    """The members' forecasts for every entity, from the tail of its series."""
+    return P.member_forecasts(P.scoring_table(models.panel, models.pipeline), members)
 
 
 def rounded(df, columns, digits=4):
@@ -55,38 +43,40 @@ def _in_range(made):
 @query("rf_forecast")
 def rf_forecast(spark, sf):
     """Four weeks ahead for every entity, from its latest row."""
-    made = P.member_forecasts(prepared(spark, sf), {"rf": members(spark, sf)[0]["rf"]})["rf"]
-    return rounded(made, ["value"], 2)
+    models = learned(spark, sf)
+    return rounded(forecasts(models, rf=models.forest())["rf"], ["value"], 2)
 
 
 @query("rf_forecast_range", _EVERY_HORIZON)
 def rf_forecast_range(spark, sf):
     """That the forest forecasts every entity and horizon, within 0-100."""
-    return _in_range(P.member_forecasts(prepared(spark, sf), {"rf": members(spark, sf)[0]["rf"]})["rf"])
+    models = learned(spark, sf)
+    return _in_range(forecasts(models, rf=models.forest())["rf"])
 
 
 @query("sequence_forecast")
 def sequence_forecast(spark, sf):
     """Four weeks ahead for every entity, from its last twelve rows."""
-    made = P.member_forecasts(prepared(spark, sf), {"mlp": members(spark, sf)[0]["mlp"]})["mlp"]
-    return rounded(made, ["value"], 2)
+    models = learned(spark, sf)
+    return rounded(forecasts(models, mlp=models.network())["mlp"], ["value"], 2)
 
 
 @query("sequence_forecast_range", _EVERY_HORIZON)
 def sequence_forecast_range(spark, sf):
-    """That the boosted member forecasts every entity and horizon, within 0-100."""
-    return _in_range(P.member_forecasts(prepared(spark, sf), {"mlp": members(spark, sf)[0]["mlp"]})["mlp"])
+    """That the network forecasts every entity and horizon, within 0-100."""
+    models = learned(spark, sf)
+    return _in_range(forecasts(models, mlp=models.network())["mlp"])
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    return rounded(members(spark, sf)[0]["rf"].importance(spark, 20), ["importance"], 6)
+    return rounded(learned(spark, sf).forest().importance(spark, 20), ["importance"], 6)
 
 
 @query("feature_importance_sum", "select 1.0::double as total, true as none_negative")
 def feature_importance_sum(spark, sf):
     """That the importances of all features are shares of one."""
-    model = members(spark, sf)[0]["rf"]
+    model = learned(spark, sf).forest()
     every = model.importance(spark, len(model.names))
     return every.agg(half_up(F.sum("importance"), 6).alias("total"),
                      F.bool_and(F.col("importance") >= 0).alias("none_negative"))
@@ -95,18 +85,19 @@ def feature_importance_sum(spark, sf):
 @query("cv_metrics")
 def cv_metrics(spark, sf):
     """Errors of full forests per fold and horizon on expanding windows."""
-    return rounded(T.cross_validate(prepared(spark, sf)), ["mae", "rmse", "r2"])
+    return rounded(learned(spark, sf).folds(), ["mae", "rmse", "r2"])
 
 
 @query("training_report")
 def training_report(spark, sf):
     """Both members, their combination and the last value, on training and held-out weeks."""
-    data = prepared(spark, sf)
-    fitted, seconds = members(spark, sf)
+    models = learned(spark, sf)
+    data, fitted = models.data, {"rf": models.forest(), "mlp": models.network()}
     metrics = T.evaluate_members(data, fitted)
-    report = T.training_report(data, metrics, T.evaluate_members(data, fitted, "train"), seconds=seconds)
+    report = T.training_report(data, metrics, T.evaluate_members(data, fitted, "train"), models.folds(),
+                               sum(m.seconds for m in fitted.values()))
     return report.select(
-        "train_samples", "val_samples", "test_samples", "meets_threshold", "seconds",
+        "train_samples", "val_samples", "test_samples", "meets_threshold", "seconds", "cv_mae", "cv_mae_std",
         half_up("ensemble_accuracy_pct", 4).alias("ensemble_accuracy_pct"),
         F.explode("members").alias("m"),
     ).select(
@@ -128,10 +119,12 @@ def training_report(spark, sf):
 )
 def training_samples(spark, sf):
     """Rows of the three periods, as the report counts them."""
-    return T.sample_counts(prepared(spark, sf))
+    return T.sample_counts(learned(spark, sf).data)
 
 
 @query("scored_entities")
 def scored_entities(spark, sf):
     """The forecast record of every entity from both learned members."""
-    return O.flatten_forecast(P.score(prepared(spark, sf), members(spark, sf)[0]))
+    models = learned(spark, sf)
+    table = P.scoring_table(models.panel, models.pipeline)
+    return O.flatten_forecast(P.score(table, {"rf": models.forest(), "mlp": models.network()}))

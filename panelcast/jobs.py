@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import argparse
 import time
-from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,9 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.assemble import assemble_panel
 from panelcast.operators.cleaning import ensure_date
+from panelcast.operators.forecast import WEIGHTS
+from panelcast.operators.forest import ForestSize
+from panelcast.operators.network import NetworkSize
 from panelcast.operators.validate import check_domain
 from panelcast.streaming.uploads import check_batch, latest_per_key
 from panelcast.operators.evaluate import RETRAIN_THRESHOLD, accuracy_from_mae, fold_summary, horizon_mean, retrain_gate
@@ -31,8 +33,6 @@ from panelcast.sources import writers as W
 from panelcast.sources.reference_data import entity_dimension
 from panelcast.spec import PanelSpec
 
-KINDS = {"rf": "features", "mlp": "sequence"}
-
 
 def assemble(
     spark: SparkSession, climate: str, cases: str, out: str,
@@ -53,7 +53,7 @@ def assemble(
 
 def train(
     spark: SparkSession, panel: DataFrame, models: str, imputer: str = "mean", folds: int = 5,
-    forest: dict | None = None, boosted: dict | None = None, spec: PanelSpec = PanelSpec(),
+    forest: ForestSize = ForestSize(), network: NetworkSize = NetworkSize(), spec: PanelSpec = PanelSpec(),
 ) -> DataFrame:
     """Fit, evaluate on held-out weeks, save everything; returns the metrics.
 
@@ -61,18 +61,16 @@ def train(
     """
     start = time.perf_counter()
     data = T.prepare(panel, spec, imputer)
-    members = {"rf": T.train_forest(data, **(forest or {})), "mlp": T.train_boosted(data, spec, **(boosted or {}))}
+    members = {"rf": T.train_forest(data, size=forest), "mlp": T.train_network(data, spec, network)}
     metrics = materialized(T.evaluate_members(data, members, spec=spec), "metrics")
     data.pipeline.save(spark, f"{models}/pipeline")
     for name, model in members.items():
-        model.save(f"{models}/{name}")
-        names = [(i, c) for i, c in enumerate(model.names)]
-        spark.createDataFrame(names, "i int, name string").write.mode("overwrite").parquet(f"{models}/{name}_names")
+        model.save(spark, f"{models}/{name}")
     members["rf"].importance(spark, 30).write.mode("overwrite").option("header", True).csv(f"{models}/importance")
     fitted_on = materialized(T.evaluate_members(data, members, "train", spec), "metrics")
     per_fold = None
     if folds:
-        per_fold = materialized(T.cross_validate(data, folds, spec, **(forest or {})), "folds")
+        per_fold = materialized(T.cross_validate(data, folds, spec, forest), "folds")
         fold_summary(per_fold, ["horizon"]).write.mode("overwrite").parquet(f"{models}/cross_validation")
     seconds = time.perf_counter() - start
     W.write_report(T.training_report(data, metrics, fitted_on, per_fold, seconds), f"{models}/report")
@@ -86,17 +84,8 @@ def train(
 def load(spark: SparkSession, panel: DataFrame, models: str, spec: PanelSpec = PanelSpec()):
     """(feature table of the rows of ``panel`` that a forecast needs, under the stored state; fitted members)."""
     pipeline = FeaturePipelineModel.load(spark, f"{models}/pipeline", spec)
-    table = materialized(pipeline.transform(P.scoring_rows(panel, spec)), "features")
-    names = {}
-    members = {}
-    for kind, features in KINDS.items():
-        rows = spark.read.parquet(f"{models}/{kind}_names").orderBy("i").collect()
-        names[kind] = [r["name"] for r in rows]
-        members[kind] = T.HorizonModels.load(
-            f"{models}/{kind}", kind, features, pipeline.inverse_target, names[kind]
-        )
-    ends = date.max
-    return T.Prepared(pipeline, table, names["rf"], pipeline.feature_columns(), ends, ends), members
+    members = {name: T.Member.load(spark, f"{models}/{name}", pipeline.inverse_target) for name in WEIGHTS}
+    return P.scoring_table(panel, pipeline, spec), members
 
 
 def predict(

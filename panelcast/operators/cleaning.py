@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.sqltext import quoted, with_sql
 from panelcast.functions.temporal import week_to_date
 from panelcast.operators.quantiles import exact_quantiles
 from panelcast.spec import PanelSpec, numeric_columns, present
@@ -24,7 +25,7 @@ def dedup_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> Da
     kept = df.groupBy(*keys).agg(
         F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
     )
-    return kept.select(*[c if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    return kept.selectExpr(*[quoted(c) if c in keys else f"_row.{quoted(c)} as {quoted(c)}" for c in df.columns])
 
 
 def dedup_summary(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,9 +43,8 @@ def clip_negative(
 ) -> DataFrame:
     """Negative numbers to 0. An index centred on 0 is excluded by default."""
     names = numeric_columns(df, exclude) if columns is None else present(df, columns)
-    return df.withColumns(
-        {c: F.when(F.col(c) < 0, F.lit(0).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in names}
-    )
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return with_sql(df, {c: f"if({quoted(c)} < 0, cast(0 as {kinds[c]}), {quoted(c)})" for c in names})
 
 
 def fit_caps(

@@ -18,6 +18,7 @@ from math import prod
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelcast.functions.sqltext import number, quoted, with_sql
 from panelcast.operators.scaling import column_stats
 from panelcast.session import checkpointed, materialized
 
@@ -46,9 +47,7 @@ class MeanImputer:
         return self
 
     def transform(self, df: DataFrame, key: list[str] | None = None) -> DataFrame:
-        return df.withColumns(
-            {c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in self.means.items()}
-        )
+        return with_sql(df, {c: f"coalesce(cast({quoted(c)} as double), {number(m)})" for c, m in self.means.items()})
 
 
 @dataclass

@@ -1,10 +1,9 @@
-"""Exact interpolated quantiles that no single task has to hold.
+"""Exact interpolated quantiles by radix selection.
 
-The built-in exact ``percentile`` merges every distinct value into one buffer.
-Here a mergeable sketch first brackets each wanted rank, about 6 in 10,000
-rows. Brackets that still hold many rows are narrowed by further sketches of
-what lies inside; then the distinct values inside are listed with their counts
-and the exact order statistic is read off. All inputs go the same way.
+The built-in exact ``percentile`` merges every distinct value into one buffer. Here a double becomes a whole number of
+64 bits in the same order. One pass counts the values by its 16 leading bits, the next passes those that share the
+leading bits of a wanted rank by the 16 bits behind, so that at most four passes find any order statistic of any
+data, ties and heavy tails included. Counts are pre-aggregated in the map tasks; one task sees at most 65,536 counts.
 """
 
 from __future__ import annotations
@@ -12,64 +11,88 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10000
-MARGIN = 3.0 / ACCURACY
-# A bracket is narrowed until about so many rows can be inside: one task lists them.
-LISTED = 100_000
-# Cut points of a narrowing sketch.
-GRID = 1000
+BITS = 16
+PASSES = 64 // BITS
+
+
+def ordered_key(v: Column) -> Column:
+    """A double as a bigint in the same order: exponent and fraction as IEEE 754 places them, with the sign of
+    the number; both zeros are 0. NaN has none."""
+    size = F.abs(v)
+    # A rounded logarithm may miss the exponent by one; powers of two are exact.
+    guess = F.floor(F.log2(size))
+    exponent = guess + F.when(F.pow(F.lit(2.0), guess) > size, -1).when(F.pow(F.lit(2.0), guess + 1) <= size, 1).otherwise(0)
+    fraction = (size * F.pow(F.lit(2.0), -exponent) - 1) * float(2**52)
+    normal = (exponent + 1023) * F.lit(2**52) + fraction.cast("long")
+    tiny = (size * float(2.0**537) * float(2.0**537)).cast("long")
+    key = (
+        F.when(size == 0, F.lit(0).cast("long")).when(size < 2.0**-1022, tiny)
+        .when(size == float("inf"), F.lit(2047 * 2**52)).otherwise(normal)
+    )
+    return F.when(v < 0, -key).otherwise(key)
 
 
-@dataclass
-class Bracket:
-    """Of one wanted rank: its group and column, its position among n values, and what encloses it."""
+@dataclass(frozen=True)
+class Wanted:
+    """An order statistic: its group and column, its place among the values that share ``prefix``."""
 
     by: tuple
-    prob: float
-    n: int
-    low: float
+    rank: int  # among all values of the group and column
+    within: int  # among those with the prefix
+    prefix: int
+    low: float  # the least and the greatest value with the prefix
     high: float
-    rows: float
-
-    @property
-    def position(self) -> float:
-        return self.prob * (self.n - 1)
 
 
 def _long(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
     wide = df.select(*group, *[F.col(c).cast("double").alias(c) for c in columns])
     long = wide.unpivot(group, columns, "column", "v")
-    return long.where(F.col("v").isNotNull() & ~F.isnan("v"))
-
-
-def _table(spark: SparkSession, brackets: list[Bracket], long: DataFrame, by: list[str]) -> DataFrame:
-    """Brackets as a table of literals: one row per wanted rank, so small by construction."""
-    kinds = ", ".join(f"`{c}` {long.schema[c].dataType.simpleString()}" for c in by)
-    rows = [(*b.by, b.prob, b.n, b.low, b.high) for b in brackets]
-    return F.broadcast(spark.createDataFrame(rows, f"{kinds}, prob double, n bigint, lo double, hi double"))
-
-
-def _narrowed(spark: SparkSession, long: DataFrame, by: list[str], brackets: list[Bracket]) -> list[Bracket]:
-    """Each bracket cut down to the cut points, of a sketch of what lies inside, that enclose its rank."""
-    cuts = [i / GRID for i in range(GRID + 1)]
-    inside = F.col("v").between(F.col("lo"), F.col("hi"))
-    found = long.join(_table(spark, brackets, long, by), by).where("v <= hi").groupBy(*by, "prob").agg(
-        F.count_if(F.col("v") < F.col("lo")).alias("below"), F.count_if(inside).alias("m"),
-        F.percentile_approx(F.when(inside, F.col("v")), cuts, ACCURACY).alias("q"),
-    ).collect()
-    seen = {(tuple(r[c] for c in by), r["prob"]): r for r in found}
-    out = []
-    for b in brackets:
-        r = seen[b.by, b.prob]
-        share = [(rank - r["below"]) / max(r["m"], 1) for rank in (math.floor(b.position), math.ceil(b.position) + 1)]
-        low = max(0, math.floor((share[0] - MARGIN) * GRID))
-        high = min(GRID, math.ceil((share[1] + MARGIN) * GRID))
-        left = r["m"] * ((high - low) / GRID + 2 * MARGIN)
-        out.append(Bracket(b.by, b.prob, b.n, r["q"][low], r["q"][high], left))
-    return out
+    return long.where(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("v", F.col("v") + 0.0)
+
+
+def _counted(keyed: DataFrame, by: list[str], level: int) -> DataFrame:
+    """The number, least and greatest value of each prefix of ``level``, and how many values of the group come
+    up to it. ``by`` ends with the prefix before, if there is one."""
+    prefix = F.shiftright("key", 64 - BITS * (level + 1)).alias("next")
+    counts = keyed.groupBy(*by, prefix).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("next"))
+    return counts.withColumn("before", upto - F.col("n"))
+
+
+def _first_pass(keyed: DataFrame, by: list[str], probs: list[float]) -> dict[tuple, tuple[int, list[Wanted]]]:
+    """The number of values of each group and column, and the ranks that ``probs`` ask for with their prefixes."""
+    total = F.sum("n").over(Window.partitionBy(*by))
+    place = F.col("prob") * (F.col("total") - 1)
+    rows = (
+        _counted(keyed, by, 0).withColumn("total", total)
+        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))))
+        .where("rank >= before and rank < before + n").collect()
+    )
+    out = {}
+    for r in rows:
+        key = tuple(r[c] for c in by)
+        out.setdefault(key, (r["total"], {}))[1][r["rank"]] = Wanted(
+            key, r["rank"], r["rank"] - r["before"], r["next"], r["low"], r["high"])
+    return {key: (n, list(ranks.values())) for key, (n, ranks) in out.items()}
+
+
+def _next_pass(spark: SparkSession, keyed: DataFrame, by: list[str], open_: list[Wanted], level: int) -> list[Wanted]:
+    """The same order statistics with prefixes that are longer by BITS."""
+    kinds = ", ".join(f"`{c}` {keyed.schema[c].dataType.simpleString()}" for c in by)
+    prefixes = sorted({(*w.by, w.prefix) for w in open_}, key=str)
+    # One row per wanted rank at most.
+    asked = F.broadcast(spark.createDataFrame(prefixes, f"{kinds}, prefix bigint"))
+    inside = keyed.withColumn("prefix", F.shiftright("key", 64 - BITS * level)).join(asked, [*by, "prefix"])
+    wanted = F.broadcast(spark.createDataFrame(
+        [(*w.by, w.prefix, w.rank, w.within) for w in open_], f"{kinds}, prefix bigint, rank bigint, within bigint"))
+    found = _counted(inside, [*by, "prefix"], level).join(wanted, [*by, "prefix"]).where(
+        "within >= before and within < before + n").collect()
+    return [Wanted(tuple(r[c] for c in by), r["rank"], r["within"] - r["before"], r["next"], r["low"], r["high"])
+            for r in found]
 
 
 def exact_quantiles(
@@ -77,40 +100,29 @@ def exact_quantiles(
 ) -> DataFrame:
     """(group.., column, prob, value): linear interpolation between order statistics.
 
-    Groups are few (phases, not entities): their brackets are held by the driver and sent to all tasks, so that
-    the values themselves are never shuffled by group or column. A group that is null is left out, and so is a
-    column without values."""
+    Groups are few (phases, not entities): a row per group, column and prob is held by the driver. Infinite values
+    count, NaN and nulls don't. A group that is null is left out, and so is a column without values."""
     spark, group = df.sparkSession, list(group or [])
     long = _long(df, columns, group)
     by = [*group, "column"]
     for c in group:
         long = long.where(F.col(c).isNotNull())
-    points = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)})
-    at = {p: i for i, p in enumerate(points)}
-    summary = long.groupBy(*by).agg(
-        F.count("v").alias("n"), F.percentile_approx("v", [float(p) for p in points], ACCURACY).alias("q")
-    ).collect()
-    brackets = [
-        Bracket(
-            tuple(r[c] for c in by), float(p), r["n"],
-            r["q"][at[max(p - MARGIN, 0.0)]], r["q"][at[min(p + MARGIN, 1.0)]], 2 * MARGIN * r["n"] * 2,
-        )
-        for r in summary for p in probs
-    ]
-    while any(b.rows > LISTED and b.low < b.high for b in brackets):
-        brackets = _narrowed(spark, long, by, brackets)
-    # Null value: the rows below the bracket, needed only as a count.
-    counted = (
-        long.join(_table(spark, brackets, long, by), by)
-        .where(F.col("v") <= F.col("hi"))
-        .groupBy(*by, "prob", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    running = Window.partitionBy(*by, "prob").orderBy(F.asc_nulls_first("v"))
-    ranked = counted.withColumn("upto", F.sum("c").over(running)).withColumn(
-        "pos", F.col("prob") * (F.col("n") - 1)
-    )
-    low = F.min(F.when(F.col("upto") > F.floor("pos"), F.col("v")))
-    high = F.min(F.when(F.col("upto") > F.ceil("pos"), F.col("v")))
-    share = F.first(F.col("pos") - F.floor("pos"))
-    return ranked.groupBy(*by, "prob").agg((low + (high - low) * share).alias("value"))
+    keyed = long.withColumn("key", ordered_key(F.col("v")))
+    first = _first_pass(keyed, by, probs)
+    every = [w for _, ranks in first.values() for w in ranks]
+    values = {}
+    for level in range(1, PASSES + 1):
+        # All values with one prefix are equal, at the latest when the prefix is the whole key.
+        values |= {(w.by, w.rank): w.low for w in every if w.low == w.high}
+        every = [w for w in every if w.low != w.high]
+        if not every:
+            break
+        every = _next_pass(spark, keyed, by, every, level)
+    rows = []
+    for key, (n, _) in first.items():
+        for p in probs:
+            place = float(p) * (n - 1)
+            low, high = values[key, math.floor(place)], values[key, math.ceil(place)]
+            rows.append((*key, float(p), low if low == high else low + (high - low) * (place - math.floor(place))))
+    kinds = "".join(f"`{c}` {keyed.schema[c].dataType.simpleString()}, " for c in by)
+    return spark.createDataFrame(rows, f"{kinds}prob double, value double")

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.sqltext import number, quoted, with_sql
+
 Range = tuple[float, float]
 
 
@@ -20,15 +22,14 @@ def column_stats(
     df: DataFrame, columns: list[str], null_as: float | None = None
 ) -> dict[str, Stats]:
     """Min, max and mean per column from one aggregate row; all-null columns left out."""
-    def value(c: str) -> Column:
-        x = F.col(c).cast("double")
-        return x if null_as is None else F.coalesce(x, F.lit(null_as))
-
-    row = df.agg(
-        *[
-            F.struct(F.min(value(c)), F.max(value(c)), F.avg(value(c))).alias(f"s{i}")
-            for i, c in enumerate(columns)
-        ]
+    def value(c: str) -> str:
+        x = f"cast({quoted(c)} as double)"
+        return x if null_as is None else f"coalesce({x}, {number(null_as)})"
+
+    if not columns:
+        return {}
+    row = df.selectExpr(
+        *[f"struct(min({value(c)}), max({value(c)}), avg({value(c)})) as s{i}" for i, c in enumerate(columns)]
     ).first()
     return {c: Stats(*row[i]) for i, c in enumerate(columns) if row[i][0] is not None}
 
@@ -38,24 +39,17 @@ def fit_ranges(df: DataFrame, columns: list[str], null_as: float | None = 0.0) -
     return {c: (s.low, s.high) for c, s in column_stats(df, columns, null_as).items()}
 
 
-def scaled(x: Column, low: float, high: float) -> Column:
-    """A constant column maps to 0."""
-    span = (high - low) or 1.0
-    return (x - F.lit(low)) / F.lit(span)
-
-
 def apply_ranges(
     df: DataFrame, ranges: dict[str, Range], null_as: float | None = 0.0
 ) -> DataFrame:
-    out = {}
+    """Columns to [0, 1]; a constant column maps to 0."""
+    have, out = set(df.columns), {}
     for c, (low, high) in ranges.items():
-        if c not in df.columns:
-            continue
-        x = F.col(c).cast("double")
-        if null_as is not None:
-            x = F.coalesce(x, F.lit(null_as))
-        out[c] = scaled(x, low, high)
-    return df.withColumns(out)
+        if c in have:
+            x = f"cast({quoted(c)} as double)"
+            x = x if null_as is None else f"coalesce({x}, {number(null_as)})"
+            out[c] = f"({x} - {number(low)}) / {number((high - low) or 1.0)}"
+    return with_sql(df, out)
 
 
 def inverse(x: Column, low: float, high: float) -> Column:

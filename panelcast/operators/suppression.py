@@ -1,13 +1,18 @@
 """Alert suppression in batch: an alert is sent only if the last *sent* one of
 its entity is more than the interval old.
 
-The rule is sequential, yet an entity need not fit in one task. What a time
-chunk inherits is one number, the last sent time before it, and only its effect
-on the first interval of the chunk matters. Each (entity, chunk) is reduced to
-that step function. Step functions compose: runs of FAN chunks become one
-function, runs of those again, up to one per entity; then the inherited numbers
-go down the same tree, and each chunk marks its own rows. No task holds more
-than one chunk or FAN functions.
+An alert more than the interval after the one before it is sent whatever was
+sent before, so a series falls into sessions that know nothing of each other.
+Sessions are found by windows over (entity, time chunk); one of up to
+SESSION_ROWS moments is a short array that is folded in the JVM.
+
+The rule is sequential, yet a longer session need not fit in one task. What a
+time chunk inherits is one number, the last sent time before it, and only its
+effect on the first interval of the chunk matters. Each (entity, chunk) is
+reduced to that step function. Step functions compose: runs of FAN chunks become
+one function, runs of those again, up to one per entity; then the inherited
+numbers go down the same tree, and each chunk marks its own rows. No task holds
+more than one chunk or FAN functions.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +35,8 @@ INTERVAL_SECONDS = 21600
 CHUNK_INTERVALS = 28
 # Functions that one task composes.
 FAN = 64
+# Moments of a session that is folded as one array.
+SESSION_ROWS = 256
 NEVER = -(2**62)
 
 
@@ -107,10 +114,6 @@ def _sent_moments(times: DataFrame, interval: int, span: int) -> DataFrame:
         bounds, exits = _chunk_function(moments, int(key[1]) * span, interval)
         return pd.DataFrame({"k": key[0], "node": key[1], "bound": bounds, "exit": exits})
 
-    steps = chunked.groupBy("k", "chunk").applyInPandas(
-        reduce_chunk, T.StructType([field("k", key_type), field("chunk"), field("bound"), field("exit")])
-    )
-
     function = T.StructType([field("k", key_type), field("node"), field("bound"), field("exit")])
     chunks = materialized(chunked.groupBy("k", "chunk").applyInPandas(reduce_chunk, function), "alert-steps")
     low, high = chunks.agg(F.min("node"), F.max("node")).first()
@@ -162,6 +165,41 @@ def _sent_moments(times: DataFrame, interval: int, span: int) -> DataFrame:
     )
 
 
+def sessions(times: DataFrame, interval: int, span: int) -> DataFrame:
+    """(k, t) with ``session``, the first moment of its session, and ``n``, the moments of that session.
+
+    Rows of one (entity, chunk of time) are ordered together; what a chunk needs of those before it is their last
+    moment and the last session begun there, one row a chunk."""
+    key = ["k", "chunk"]
+    chunked = times.withColumn("chunk", F.floor(F.col("t") / F.lit(span)).cast("long"))
+    within = Window.partitionBy(*key).orderBy("t")
+    earlier = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # Where a session begins inside of the chunk; its first moment depends on the chunk before.
+    before = F.lag("t").over(within)
+    rows = chunked.withColumns({"before": before}).withColumn(
+        "own", F.max(F.when(F.col("t") > F.col("before") + interval, F.col("t"))).over(
+            within.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(*key).agg(F.min("t").alias("first"), F.max("t").alias("last"), F.max("own").alias("begun"))
+    gap = F.col("first") > F.coalesce(F.max("last").over(earlier), F.lit(NEVER)) + interval
+    ends = ends.withColumn("opens", F.when(gap, F.col("first")))
+    inherited = F.last(F.coalesce("begun", "opens"), True).over(earlier)
+    ends = ends.select(*key, F.coalesce("opens", inherited).alias("inherited"))
+    placed = rows.join(ends, key).select("k", "t", F.coalesce("own", "inherited").alias("session"))
+    return placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k", "session")))
+
+
+def _folded(short: DataFrame, interval: int) -> DataFrame:
+    """(k, t) of the moments at which something is sent, of sessions that fit an array."""
+    times = short.groupBy("k", "session").agg(F.array_sort(F.collect_list("t")).alias("times"))
+    none = F.struct(F.lit(NEVER).cast("long").alias("last"), F.array().cast("array<bigint>").alias("sent"))
+
+    def step(state, t):
+        return F.when(t > state["last"] + interval, F.struct(
+            t.alias("last"), F.array_append(state["sent"], t).alias("sent"))).otherwise(state)
+
+    return times.select("k", F.explode(F.aggregate("times", none, step)["sent"]).alias("t"))
+
+
 def mark_sent(
     alerts: DataFrame,
     entity: str,
@@ -174,7 +212,13 @@ def mark_sent(
     stamped = alerts.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
     # Copies of a moment collapse before the shuffle.
     times = stamped.select(F.col(entity).alias("k"), F.col("_t").alias("t")).dropna().distinct()
-    sent = _sent_moments(times, interval, interval * chunk_intervals)
+    span = interval * chunk_intervals
+    # Written once: read by the search for long sessions and by both ways to mark.
+    placed = materialized(sessions(times, interval, span), "alert-sessions")
+    sent = _folded(placed.where(F.col("n") <= SESSION_ROWS), interval)
+    long = placed.where(F.col("n") > SESSION_ROWS).select("k", "t")
+    if not long.isEmpty():
+        sent = sent.unionByName(_sent_moments(long, interval, span))
     flags = sent.select(F.col("k").alias(entity), F.col("t").alias("_t"), F.lit(True).alias("_sent"))
     return (
         stamped.join(flags, [entity, "_t"], "left")

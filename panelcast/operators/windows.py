@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from panelcast.functions.sqltext import quoted
 from panelcast.spec import PanelSpec, present
 
 # Source columns, lags, window lengths, sequence shape.
@@ -20,6 +21,11 @@ SEQUENCE_LENGTH = 12
 HORIZON = 4
 
 
+def filled_array(columns: list[str]) -> Column:
+    """Numeric columns of a row as an array of doubles, nulls as 0."""
+    return F.expr(f"array({', '.join(f'coalesce(cast({quoted(c)} as double), 0.0D)' for c in columns)})")
+
+
 def lag_columns(w: WindowSpec, columns, lags=LAGS) -> dict[str, Column]:
     """``<c>_lag<k>w``: the value k rows earlier."""
     return {f"{c}_lag{k}w": F.lag(c, k).over(w) for c in columns for k in lags}
@@ -198,8 +204,8 @@ def latest_row(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     last = df.groupBy(spec.entity).agg(
         F.max_by(F.struct(*rest), F.struct(*spec.order(df))).alias("_row")
     )
-    return last.select(
-        *[c if c == spec.entity else F.col("_row")[c].alias(c) for c in df.columns]
+    return last.selectExpr(
+        *[quoted(c) if c == spec.entity else f"_row.{quoted(c)} as {quoted(c)}" for c in df.columns]
     )
 
 
@@ -225,7 +231,7 @@ def tail_sequence(
     Short series are filled in front with their earliest row (``edge``) or with
     zeros (``zero``). Nulls count as 0.
     """
-    row = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    row = filled_array(features)
     tail = tail_rows(df, length, spec).groupBy(spec.entity).agg(
         # At most ``length`` items.
         F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("p"), row.alias("x")))).alias("s"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +11,9 @@ from panelcast.operators import forecast as O
 from panelcast.operators.reports import risk_bands
 from panelcast.operators.cleaning import dedup_first, ensure_date
 from panelcast.operators.windows import LAGS, ROLLING_WINDOWS, SEQUENCE_LENGTH, latest_row, tail_rows, tail_sequence
-from panelcast.plans.features import history_export
-from panelcast.plans.training import HorizonModels, Prepared, tabular
+from panelcast.plans.features import FeaturePipelineModel, history_export
+from panelcast.plans.training import Member, Prepared, prepared_from, with_features
+from panelcast.session import materialized
 from panelcast.spec import PanelSpec
 
 
@@ -28,24 +30,30 @@ def scoring_rows(panel: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     return tail_rows(once, SEQUENCE_LENGTH + REACH, spec).drop("_back")
 
 
+def scoring_table(panel: DataFrame, pipeline: FeaturePipelineModel, spec: PanelSpec = PanelSpec()) -> Prepared:
+    """The features of ``scoring_rows`` under a fitted state, written once: what stored members forecast from."""
+    ends = date.max
+    return prepared_from(pipeline, materialized(pipeline.transform(scoring_rows(panel, spec)), "features"), ends, ends)
+
+
 def member_forecasts(
-    data: Prepared, members: dict[str, HorizonModels], spec: PanelSpec = PanelSpec()
+    data: Prepared, members: dict[str, Member], spec: PanelSpec = PanelSpec()
 ) -> dict[str, DataFrame]:
     """Forecasts from the latest row, or latest twelve rows, of each entity; a series that is shorter is filled up
     in front with its earliest row, so every entity gets a forecast from every member."""
     out = {}
     for name, model in members.items():
         if model.features == "features":
-            rows = tabular(latest_row(data.table, spec), data.tabular_names)
+            rows = with_features(data, latest_row(data.table, spec))
         else:
             tail = tail_sequence(data.table, data.sequence_names, spec, pad="edge")
-            rows = tail.withColumn("sequence", array_to_vector(F.flatten("sequence")))
+            rows = tail.withColumn("sequence", F.flatten("sequence"))
         out[name] = model.predict(rows, [spec.entity])
     return out
 
 
 def score(
-    data: Prepared, members: dict[str, HorizonModels], weights=O.WEIGHTS, spec: PanelSpec = PanelSpec()
+    data: Prepared, members: dict[str, Member], weights=O.WEIGHTS, spec: PanelSpec = PanelSpec()
 ) -> DataFrame:
     """The forecast record of every entity."""
     return O.forecast_struct(O.combine_members(member_forecasts(data, members, spec), weights, spec), spec)

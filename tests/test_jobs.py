@@ -2,10 +2,12 @@ import json
 
 from panelcast import jobs
 from panelcast.catalog import bindings as B
+from panelcast.operators.forest import ForestSize
+from panelcast.operators.network import NetworkSize
 from panelcast.session import materialized
 from panelcast.sources.writers import EXPORTS
 
-SMALL = {"forest": {"numTrees": 3, "maxDepth": 3}, "boosted": {"maxIter": 2, "maxDepth": 2}, "folds": 2}
+SMALL = {"forest": ForestSize(trees=3, depth=3), "network": NetworkSize(layers=(8, 4), rounds=2), "folds": 2}
 
 
 def test_assemble(spark, tmp_path):

@@ -49,10 +49,7 @@ def test_clip_spares_the_centred_index(spark):
     assert C.clip_negative(df).schema == df.schema
 
 
-@pytest.mark.parametrize("listed", [Q.LISTED, 40])
-def test_quantiles_equal_numpy(spark, monkeypatch, listed):
-    """Also through the rounds of narrowing that large frames take."""
-    monkeypatch.setattr(Q, "LISTED", listed)
+def test_quantiles_equal_numpy(spark):
     rng = random.Random(3)
     values = [round(rng.gauss(50, 20), 1) for _ in range(30000)] + [50.0] * 15000
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
@@ -61,6 +58,35 @@ def test_quantiles_equal_numpy(spark, monkeypatch, listed):
         assert v == pytest.approx(np.quantile(values, p), abs=1e-9), p
 
 
+def test_quantiles_end_on_any_data(spark):
+    """Neighbouring doubles with many ties, tails over the whole range, zeros of both signs, groups and columns."""
+    rng = random.Random(4)
+    up = float(np.nextafter(25.0, 26.0))
+    tails = [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-320, 308) for _ in range(3001)]
+    frames = {"ties": [25.0] * 1500 + [up] * 1501, "tails": tails, "zeros": [0.0, -0.0] * 1500 + [5e-324]}
+    rows = [("g", *r) for r in zip(*frames.values())] + [("h", 1.0, None, float("nan")), ("h", 2.0, None, float("inf")),
+                                                        (None, 9.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "g string, ties double, tails double, zeros double")
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {(r["g"], r["column"], r["prob"]): r["value"] for r in Q.exact_quantiles(df, list(frames), probs, ["g"]).collect()}
+    for name, values in frames.items():
+        ordered = sorted(values)
+        for p in probs:
+            assert got["g", name, p] == ordered[int(p * 3000)], (name, p)
+    assert got["h", "ties", 0.5] == 1.5 and got["h", "zeros", 0.5] == float("inf") and ("h", "tails", 0.5) not in got
+    assert Q.exact_quantiles(df.limit(0), ["ties"], probs).count() == 0
+
+
+def test_keys_keep_the_order_of_doubles(spark):
+    rng = random.Random(5)
+    values = [rng.choice([-1, 1]) * x for x in (2.0**np.arange(-1074, 1024)).tolist()]
+    values += [np.nextafter(v, s) for v in values for s in (-np.inf, np.inf)] + [0.0, -0.0, float("inf"), -float("inf")]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", Q.ordered_key(F.col("v")).alias("key"))
+    for v, key in rows.collect():
+        bits = int(np.float64(abs(v)).view("i8"))
+        assert key == (-bits if v < 0 else bits), v
+
+
 def test_caps(spark):
     df = spark.range(1, 1001).selectExpr("cast(id as double) as cases")
     caps = C.fit_caps(df)
@@ -246,10 +272,11 @@ def test_suppression_is_strict_and_counts_from_the_sent(spark):
     assert marked(spark, data) == {("a", 0), ("a", 21601), ("b", 5)}
 
 
-@pytest.mark.parametrize("fan", [2, 64])
+@pytest.mark.parametrize(("fan", "session"), [(2, 2), (64, 20), (64, 10_000)])
 @pytest.mark.parametrize("chunk", [1, 28])
-def test_suppression_equals_brute_force(spark, monkeypatch, chunk, fan):
+def test_suppression_equals_brute_force(spark, monkeypatch, chunk, fan, session):
     monkeypatch.setattr(S, "FAN", fan)
+    monkeypatch.setattr(S, "SESSION_ROWS", session)
     rng = random.Random(chunk)
     data = [("hot", rng.randrange(0, 4_000_000)) for _ in range(3000)]
     data += [("dense", i * 60) for i in range(2000)]
