@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -23,16 +24,115 @@ PIVOTS = 16
 # Bytes of words are digits, letters and all of other scripts; A-Z become a-z, the rest become spaces.
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 _PLAIN = bytes(b if b in _WORD else 32 for b in bytes(range(256)).lower())
+#: Bytes of text that are cut into words at a time.
+SLICE = 2_000_000
+#: Longer words are hashed one by one.
+_SHORT = 32
 
 
-def features(text: bytes | None) -> tuple[int, np.ndarray]:
-    """(number of words, bucket of every run of 1 to LONGEST words) of a text in UTF-8."""
-    words = (text or b"").translate(_PLAIN).split()
-    joined = memoryview(b" ".join(words))
-    ends = list(itertools.accumulate(map(len, words), lambda end, n: end + 1 + n))
-    starts = [end - len(word) for end, word in zip(ends, words, strict=True)]
-    found = [crc32(joined[a:b]) for n in range(LONGEST) for a, b in zip(starts, ends[n:])]
-    return len(words), np.array(found, "u4") % BUCKETS
+def _steps() -> np.ndarray:
+    """What crc32 makes of a state and one byte, by the byte's exclusive or with the state."""
+    c = np.arange(256, dtype="u4")
+    for _ in range(8):
+        c = np.where(c & 1, np.uint32(0xEDB88320) ^ (c >> 1), c >> 1)
+    return c
+
+
+def _shifts() -> np.ndarray:
+    """By number of bytes n < 256 and place j: what n zero bytes make of each value of byte j of a crc."""
+    out = np.empty((256, 4, 256), "u4")
+    out[0] = np.arange(256, dtype="u4")[None, :] << (8 * np.arange(4, dtype="u4"))[:, None]
+    for n in range(1, 256):
+        out[n] = _STEP[out[n - 1] & 255] ^ (out[n - 1] >> 8)
+    return out
+
+
+_STEP = _steps()
+_SHIFT = _shifts().reshape(-1)
+
+
+def _joined(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The crc of two byte strings in a row, from both crcs and the length of the second."""
+    first, left = first.copy(), length.copy()
+    while True:
+        at = np.minimum(left, 255) << 10
+        first = (_SHIFT[at + (first & 255)] ^ _SHIFT[at + 256 + ((first >> 8) & 255)]
+                 ^ _SHIFT[at + 512 + ((first >> 16) & 255)] ^ _SHIFT[at + 768 + (first >> 24)])
+        left = left - np.minimum(left, 255)
+        if not left.any():
+            return first ^ second
+
+
+def _words(plain: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, crc) of the words of a text that is already plain."""
+    text = np.frombuffer(plain, "u1")
+    edge = np.flatnonzero(np.diff((text != 32).view("i1"), prepend=0, append=0))
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    crc = np.full(len(start), 0xFFFFFFFF, "u4")
+    # Words by length, so that those still going are always the last ones.
+    most = np.minimum(length, _SHORT).astype("u1")
+    order = np.argsort(most, kind="stable")
+    at, of, c = start[order], most[order], crc[order]
+    for i in range(int(of[-1]) if len(of) else 0):
+        go = np.searchsorted(of, i, side="right")
+        c[go:] = _STEP[(c[go:] ^ text[at[go:] + i]) & 255] ^ (c[go:] >> 8)
+    crc[order] = ~c
+    for i in np.flatnonzero(length > _SHORT):
+        crc[i] = crc32(plain[start[i]:start[i] + length[i]])
+    return start, length, crc
+
+
+def _slices(texts) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Plain bytes of some texts in a row, or of a part of a long one, that end where no word does, and the end of
+    each text in them; a text that goes on has no end there."""
+    held, ends, size = [], [], 0
+    for value in texts:
+        plain = (value or b"").translate(_PLAIN) + b" "
+        while len(plain) > SLICE:
+            # Up to the last space, or behind the first one after a word that is longer than all of it.
+            cut = 1 + (plain.rfind(b" ", 0, SLICE) if b" " in plain[:SLICE] else plain.index(b" ", SLICE))
+            if cut == len(plain):
+                break
+            yield b"".join([*held, plain[:cut]]), np.array(ends, "i8")
+            held, ends, size, plain = [], [], 0, plain[cut:]
+        held.append(plain)
+        size += len(plain)
+        ends.append(size)
+        if size > SLICE:
+            yield b"".join(held), np.array(ends, "i8")
+            held, ends, size = [], [], 0
+    if held:
+        yield b"".join(held), np.array(ends, "i8")
+
+
+def features(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For texts in UTF-8, slice by slice: (number of texts before, text of each word, text of each feature, bucket of
+    each feature), texts counted from the first of the slice. Words and their runs of up to LONGEST words are hashed
+    for a slice at once; the last words of a text that goes on are carried over."""
+    before, tail = 0, (np.zeros(0, "i8"), np.zeros(0, "u4"))
+    for plain, ends in _slices(texts):
+        start, length, crc = _words(plain)
+        text = np.searchsorted(ends, start, side="right")
+        own = len(tail[0])  # words of this text that were counted before
+        length, crc = np.concatenate([tail[0], length]), np.concatenate([tail[1], crc])
+        every = np.concatenate([np.zeros(own, "i8"), text])
+        spaced = ~crc
+        spaced = ~(_STEP[(spaced ^ np.uint32(32)) & 255] ^ (spaced >> 8))  # the word and a space
+        run, size, found, owner = crc, length, [crc[own:]], [text]
+        for n in range(2, LONGEST + 1):
+            # A run is its first word, a space and the run of n - 1 words behind it.
+            run, size = run[1:], size[1:]
+            here = every[: len(run)]
+            run = _joined(spaced[: len(run)], run, size)
+            size = size + 1 + length[: len(size)]
+            new = np.flatnonzero(here == every[n - 1:])
+            new = new[new + n > own]
+            found.append(run[new])
+            owner.append(here[new])
+        yield before, text, np.concatenate(owner), np.concatenate(found) % BUCKETS
+        before += len(ends)
+        going = every == len(ends)
+        tail = length[going][1 - LONGEST:], crc[going][1 - LONGEST:]
 
 
 def bucket_counts(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -42,8 +142,8 @@ def bucket_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     def counted(frames):
         total = np.zeros(BUCKETS, "i8")
         for frame in frames:
-            for value in frame["text"]:
-                total += np.bincount(features(value)[1], minlength=BUCKETS)
+            for _, _, _, bucket in features(frame["text"]):
+                total += np.bincount(bucket, minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": used, "n": total[used]})
 
@@ -75,11 +175,14 @@ def weighted(documents: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def scored(frames):
         for frame in frames:
-            out = []
-            for value in frame["text"]:
-                words, found = features(value)
-                out.append((words, len(found), int(gain[found].sum())))
-            made = pd.DataFrame(out, columns=["n_words", "n_features", "weight"])
+            out = np.zeros((3, len(frame) + 1), "i8")
+            for before, word, owner, bucket in features(frame["text"]):
+                n = int(max(word.max(initial=0), owner.max(initial=0))) + 1
+                out[0, before:before + n] += np.bincount(word, minlength=n)
+                out[1, before:before + n] += np.bincount(owner, minlength=n)
+                # Sums of whole numbers far below 2 to the 53.
+                out[2, before:before + n] += np.bincount(owner, gain[bucket], n).astype("i8")
+            made = pd.DataFrame(out[:, : len(frame)].T, columns=["n_words", "n_features", "weight"])
             made.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield made.astype({"doc_id": "Int64"})
 

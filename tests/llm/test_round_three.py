@@ -136,6 +136,26 @@ def test_draw_equals_brute_force(spark, monkeypatch, pivots):
     assert sorted(r[4] for r in rows if r[4]) == list(range(1, 1 + max(r[4] or 0 for r in want)))
 
 
+@pytest.mark.parametrize("size", [7, 50, 2_000_000])
+def test_features_of_texts_in_slices(monkeypatch, size):
+    """Words and runs across the ends of slices, words longer than a slice, texts without words."""
+    monkeypatch.setattr(R, "SLICE", size)
+    rnd = random.Random(1)
+    texts = [None, b"", b"A b", b"one two three four five", b"x" * 700 + b" y " + b"z" * 300, b"...  "]
+    texts += [b" ".join(bytes(rnd.choice(b"abcXYZ\xc3.,-") for _ in range(rnd.choice([1, 2, 3, 9, 40, 300])))
+                        for _ in range(rnd.randint(0, 30))) for _ in range(100)]
+    words, found = {}, {}
+    for before, word, owner, bucket in R.features(texts):
+        for i in word:
+            words[before + i] = words.get(before + i, 0) + 1
+        for i, b in zip(owner, bucket, strict=True):
+            found.setdefault(before + i, []).append(b)
+    for i, text in enumerate(texts):
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", (text or b"").lower())
+        runs = [crc32(b" ".join(w[j:j + n])) % 10000 for n in (1, 2, 3) for j in range(len(w) - n + 1)]
+        assert words.get(i, 0) == len(w) and sorted(found.get(i, [])) == sorted(runs)
+
+
 def test_nothing_to_draw_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     few = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
