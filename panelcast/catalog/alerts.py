@@ -8,7 +8,7 @@ from panelcast.catalog import bindings as B
 from panelcast.catalog.registry import query
 from panelcast.operators.suppression import digest, mark_sent
 from panelcast.session import materialized, scratch_path
-from panelcast.streaming.alerts import due_alerts, use_state_store
+from panelcast.streaming.alerts import due_alerts, settled_alerts, tick_counts, use_state_store
 
 ALERT = "event_type = 'error' and value >= 65"
 
@@ -81,3 +81,41 @@ def alert_stream(spark, sf):
     run.awaitTermination()
     made = spark.read.parquet(f"{target}/sent")
     return made.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("sent_at"))
+
+
+def _landed(spark, sf) -> str:
+    """The alerts in five files of six days; every seventh comes one file later, one file comes twice, and a last one
+    holds two moments far ahead: they tell that nothing earlier will follow, in the alerts and in the log of those sent."""
+    folder = scratch_path(spark, "landed")
+    rows = materialized(alerts(spark, sf).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "alerts")
+    day = F.datediff(F.col("ts"), F.lit("2024-01-01"))
+    place = F.least(F.floor(day / 6), F.lit(4)) + (F.col("event_id") % 7 == 0).cast("int")
+    far = rows.limit(1).select(F.lit(-1).cast(rows.schema["user_id"].dataType).alias("user_id"),
+                               F.explode(F.array(*[F.lit(d).cast("timestamp") for d in ("2024-03-01", "2024-06-01")])).alias("ts"))
+    for part in (0, 1, 1, 2, 3, 4, 5):
+        rows.where(place == part).select("user_id", "ts").coalesce(1).write.mode("append").parquet(folder)
+    far.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def _run(made, target, **options):
+    """A stream written as files until all that has landed is worked off."""
+    made.writeStream.format("parquet").option("path", f"{target}/out").option(
+        "checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return f"{target}/out"
+
+
+@query(
+    "digest_stream",
+    f"""{_CHAIN} select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as tick, count(*) as alert_count
+    from chain where ts is not null group by date_trunc('hour', ts)""",
+)
+def digest_stream(spark, sf):
+    """The notification's counts as a stream over late and repeated files: suppression into a log, ticks from it."""
+    use_state_store(spark)
+    landed = spark.readStream.schema(spark.read.parquet(folder := _landed(spark, sf)).schema).option(
+        "maxFilesPerTrigger", 1).parquet(folder)
+    sent = _run(settled_alerts(landed, "user_id", "ts", "7 days"), scratch_path(spark, "settled"))
+    log = spark.readStream.schema(spark.read.parquet(sent).schema).parquet(sent)
+    ticks = spark.read.parquet(_run(tick_counts(log, "ts"), scratch_path(spark, "ticks")))
+    return ticks.select(F.date_format("tick", "yyyy-MM-dd HH:mm:ss").alias("tick"), "alert_count")

@@ -12,6 +12,10 @@ from panelcast.functions.numeric import half_up
 from panelcast.operators import cleaning as C
 from panelcast.operators import reports as P
 from panelcast.operators import windows as W
+from panelcast.operators.blocks import Blocks
+from panelcast.operators.gram import wide_correlation
+from panelcast.operators.ranking import global_rank
+from panelcast.operators.scans import carry_scan
 from panelcast.session import materialized
 
 text = lambda c: F.col(c).cast("string").alias(c)
@@ -81,6 +85,55 @@ def item_boxstats(spark, sf):
     )
 
 
+GRAM_COLUMNS = ["cases", "rainfall_mm", *[f"{c}_lag{k}w" for c in ("cases", "rainfall_mm") for k in W.LAGS]]
+
+
+@query(
+    "lag_correlation",
+    f"with {_CM}, wide as (select cases, rainfall_mm, "
+    + ", ".join(f"lag({c}, {k}) over w as {c}_lag{k}w" for c in GRAM_COLUMNS[:2] for k in W.LAGS)
+    + " from p window w as (partition by entity order by date))\n"
+    + "\nunion all ".join(f"select '{a}' as column_a, '{b}' as column_b, {r(f'corr({a}, {b})', 4)} as r from wide"
+                          for a in GRAM_COLUMNS for b in GRAM_COLUMNS),
+)
+def lag_correlation(spark, sf):
+    """Every customer's months against their lags, which have holes: all pairs from one set of matrix products."""
+    panel = materialized(B.customer_months(spark, sf), "customers")
+    wide = W.add_lags(panel, B.CUSTOMER_SPEC, GRAM_COLUMNS[:2])
+    return wide_correlation(wide, GRAM_COLUMNS).select("column_a", "column_b", half_up("r", 4).alias("r"))
+
+
+@query(
+    "order_ranking",
+    "select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) as place from orders",
+)
+def order_ranking(spark, sf):
+    """The place of every order by its price: a rank over all rows without one task that sorts them."""
+    orders = B.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return global_rank(orders, [F.desc("o_totalprice"), F.asc("o_orderkey")], "place").select("o_orderkey", "place")
+
+
+_HOT = "case when event_id % 3 = 0 then 'every third' else event_type end"
+
+
+@query(
+    "event_carry",
+    f"""select event_id, last_value(case when value >= 60 then value end ignore nulls) over w as last_high,
+      cast(sum(cast(floor(value * 100 + 0.5) as bigint)) over w as bigint) as hundredths
+    from (select *, {_HOT} as series from events)
+    window w as (partition by series order by ts, event_id rows between unbounded preceding and current row)""",
+)
+def event_carry(spark, sf):
+    """The last high value and the running total of few, very long series, one with a third of all rows."""
+    events = B.table(spark, sf, "events").select("event_id", F.expr(_HOT).alias("series"), "ts", "value")
+    blocks = Blocks(chunk=F.date_trunc("hour", F.col("ts").cast("timestamp")), rows=512)
+    made = carry_scan(
+        events, "series", ["ts", "event_id"], blocks, {"last_high": F.when(F.col("value") >= 60, F.col("value"))},
+        {"hundredths": F.floor(F.col("value") * 100 + 0.5)},
+    )
+    return made.select("event_id", "last_high", "hundredths")
+
+
 @query(
     "customer_tail",
     f"""with {_CM}, t as (select *, row_number() over (partition by entity order by date desc) as b from p)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.operators.ranking import running_total
 from panelcast.spec import PanelSpec
 
 
@@ -52,11 +53,11 @@ def time_split(
 def _row_position(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Add ``_i``, the 0-based position in (entity, date) order, and ``_size``.
 
-    Only the table of entity sizes, one row per entity, is ordered as a whole.
+    The sizes of the entities are summed along ranges of entities; no task orders them all.
     """
     sizes = df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(spec.entity).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(spec.entity, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = running_total(sizes, [spec.entity], F.col("_n"), "_upto").select(
+        spec.entity, (F.col("_upto") - F.col("_n")).alias("_start"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
         df.withColumn("_rn", F.row_number().over(spec.window(df)))

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import Window
@@ -12,13 +13,16 @@ from panelcast.operators import assemble as A
 from panelcast.operators import cleaning as C
 from panelcast.operators import quantiles as Q
 from panelcast.operators import reports as P
+from panelcast.operators import gram
 from panelcast.operators import suppression as S
 from panelcast.operators import validate as V
 from panelcast.operators import windows as W
 from panelcast.operators.blocks import Blocks, apply_in_blocks
 from panelcast.operators.forecast import combine_members, forecast_struct
 from panelcast.operators.impute import KnnImputer, MeanImputer
+from panelcast.operators.ranking import global_rank, running_total
 from panelcast.operators.scaling import apply_ranges, fit_ranges, inverse
+from panelcast.operators.scans import carry_scan
 from panelcast.operators.split import expanding_folds, time_split
 from panelcast.sources.reference_data import entity_dimension
 from panelcast.spec import PanelSpec, align_schema, numeric_columns
@@ -388,3 +392,54 @@ def test_columns(spark):
 def test_threshold(spark):
     df = spark.createDataFrame([("a", 64.9), ("b", 65.0)], "province string, risk double")
     assert rows(P.threshold_alerts(df, "risk"), "province") == [("b", 65.0)]
+
+
+def test_global_rank_and_running_total(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(50)]), i, rng.randrange(9)) for i in range(500)] + [(3, 7, 1)] * 40
+    df = spark.createDataFrame(rows, "a int, b int, n int").repartition(5)
+    got = global_rank(df, [F.desc("a"), F.asc("b")]).orderBy("rank").collect()
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [(r["a"], r["b"]) for r in got] == [w[:2] for w in want] and [r["rank"] for r in got] == list(range(1, 541))
+    total = running_total(df, [F.desc("a"), F.asc("b")], F.col("n"), "upto").groupBy("a", "b").agg(F.max("upto").alias("m"))
+    ends = {}
+    for w, upto in zip(want, np.cumsum([w[2] for w in want])):
+        ends[w[:2]] = int(upto)
+    assert {(r["a"], r["b"]): r["m"] for r in total.collect()} == ends
+    assert global_rank(df.limit(0), ["a"]).count() == 0
+
+
+def test_carry_scan_equals_one_window(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "x", "y"]), i, rng.choice([None, None, i])) for i in range(400)] + [("z", 1, None)]
+    df = spark.createDataFrame(rows, "k string, t int, v int")
+    blocks = Blocks(chunk=F.floor(F.col("t") / 30), rows=7)
+    made = carry_scan(df, "k", ["t"], blocks, {"fill": F.col("v")}, {"total": F.col("v")})
+    got = {(r["k"], r["t"]): (r["fill"], r["total"]) for r in made.collect()}
+    state, want = {}, {}
+    for k, t, v in sorted(rows, key=lambda r: (r[0], r[1])):
+        fill, total = state.get(k, (None, None))
+        state[k] = want[k, t] = (fill, total) if v is None else (v, (total or 0) + v)
+    assert got == want and set(made.columns) == {"k", "t", "v", "fill", "total"}
+
+
+@pytest.mark.parametrize("block", [3, 16])
+def test_wide_correlation_equals_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(gram, "BLOCK_COLUMNS", block)
+    rng = random.Random(10)
+    rows = []
+    for i in range(300):
+        a = rng.gauss(1e6, 1)
+        values = [a, a + rng.gauss(0, 1), rng.gauss(0, 1e-3), 5.0, None, a * 2, float("nan") if i % 9 == 0 else rng.random()]
+        rows.append(tuple(None if rng.random() < 0.1 and j != 3 else v for j, v in enumerate(values)))
+    names = list("abcdefg")
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(3)
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in gram.wide_correlation(df, names).collect()}
+    frame = pd.DataFrame(rows, columns=names, dtype="f8")
+    assert len(got) == 49
+    for (a, b), r in got.items():
+        both = frame[[a, b]].dropna().to_numpy().T
+        if a in "de" or b in "de":
+            assert r is None
+        else:
+            assert r == pytest.approx(np.corrcoef(both[0], both[1])[0, 1], abs=1e-9)

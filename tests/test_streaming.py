@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.suppression import mark_sent
 from panelcast.streaming import uploads as S
-from panelcast.streaming.alerts import due_alerts, use_state_store
+from panelcast.streaming.alerts import due_alerts, settled_alerts, use_state_store
 
 UPLOAD = "province string, year int, week int, cases long, ts timestamp"
 
@@ -80,3 +80,24 @@ def test_alert_stream_equals_batch_over_two_runs(spark, tmp_path):
     sent = {(r["k"], r["ts"]) for r in spark.read.parquet(f"{target}/sent").collect()}
     batch = {(r["k"], r["ts"]) for r in mark_sent(rows, "k", "ts").where(F.col("sent")).collect()}
     assert sent == batch
+
+
+def test_settled_alerts_equal_batch_whatever_the_order(spark, tmp_path):
+    """Moments out of order within the delay, files that come twice, moments later than the delay."""
+    use_state_store(spark)
+    rng = random.Random(2)
+    data = sorted((rng.randrange(0, 400_000), k) for k in ("a", "b", "c") for _ in range(40))
+    # In each file some moments of the one before.
+    files = [[x for i, x in enumerate(data) if (s := i // 40 + (i % 5 == 0)) == part] for part in range(4)]
+    files = [files[0], files[1], files[1], files[2], files[3], [(2_000_000, "end")], [(50, "a")]]
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in files:
+        spark.createDataFrame(part, "s long, k string").selectExpr("k", "timestamp_seconds(s) as ts").coalesce(1).write.mode(
+            "append").parquet(folder)
+    stream = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    settled_alerts(stream, "k", "ts", "3 days").writeStream.format("parquet").option("path", f"{target}/sent").option(
+        "checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    sent = [(r["k"], r["ts"]) for r in spark.read.parquet(f"{target}/sent").collect()]
+    rows = spark.createDataFrame(data, "s long, k string").selectExpr("k", "timestamp_seconds(s) as ts")
+    batch = {(r["k"], r["ts"]) for r in mark_sent(rows, "k", "ts").where(F.col("sent")).collect()}
+    assert set(sent) == batch and len(sent) == len(batch)
