@@ -10,6 +10,8 @@ from panelcast.catalog.sql import over_panel, over_sources, r
 from panelcast.functions.numeric import half_up
 from panelcast.operators import windows as W
 from panelcast.operators.blocks import Blocks, apply_in_blocks
+from panelcast.operators.incremental import refreshed
+from panelcast.session import materialized
 from panelcast.spec import PanelSpec
 
 text = lambda c: F.col(c).cast("string").alias(c)
@@ -272,3 +274,39 @@ def customer_features(spark, sf):
     rolls = [c for c in made.columns if "_roll" in c]
     lags = [c for c in made.columns if "_lag" in c]
     return made.select("entity", text("date"), *lags, *[half_up(c, 4).alias(c) for c in rolls])
+
+
+# Every 97th month of a customer is corrected, every 101st is taken back.
+_FIX, _OUT = "(entity * 31 + date_diff) % 97 = 0", "(entity * 31 + date_diff) % 101 = 0"
+_MONTHS = "(extract(year from date) * 12 + extract(month from date))"
+
+
+def _corrected_sql() -> str:
+    place = lambda x: x.replace("date_diff", _MONTHS)
+    cells = [f"lag(cases, {k}) over w as cases_lag{k}w" for k in W.LAGS]
+    cells += [f"{r(f'avg(cases) over (w rows between {n - 1} preceding and current row)', 4)} as cases_roll{n}w_mean"
+              for n in W.ROLLING_WINDOWS]
+    return (
+        f"with {_CM}, q as (select entity, date, cases + case when {place(_FIX)} then 5 else 0 end as cases from p"
+        f" where not {place(_OUT)}) select entity, cast(date as varchar) as date, " + ", ".join(cells)
+        + " from q window w as (partition by entity order by date)"
+    )
+
+
+@query("corrected_features", _corrected_sql())
+def corrected_features(spark, sf):
+    """Stored features after corrections and removals: only rows that a change reaches are computed again."""
+    spec, names = B.CUSTOMER_SPEC, ["cases"]
+
+    def build(df):
+        w = spec.window(df)
+        return df.withColumns(W.lag_columns(w, names) | W.rolling_mean_columns(w, names))
+
+    months = F.year("date") * 12 + F.month("date")
+    old = B.customer_months(spark, sf).select("entity", "date", "cases").withColumn("date_diff", months)
+    old = materialized(old.selectExpr("entity", "date", "cases", f"{_FIX} as fixed", f"{_OUT} as out"), "customers")
+    stored = materialized(build(old.select("entity", "date", "cases")), "features")
+    now = old.where("not out").selectExpr("entity", "date", "cases + if(fixed, 5, 0) as cases")
+    made = refreshed(stored, now, old.where("fixed or out"), build, max(*W.LAGS, *W.ROLLING_WINDOWS), spec)
+    return made.select("entity", text("date"), *[c for c in made.columns if "_lag" in c],
+                       *[half_up(c, 4).alias(c) for c in made.columns if "_roll" in c])

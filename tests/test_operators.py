@@ -19,6 +19,7 @@ from panelcast.operators import validate as V
 from panelcast.operators import windows as W
 from panelcast.operators.blocks import Blocks, apply_in_blocks
 from panelcast.operators.forecast import combine_members, forecast_struct
+from panelcast.operators.incremental import dirty_rows, refreshed
 from panelcast.operators.impute import KnnImputer, MeanImputer
 from panelcast.operators.ranking import global_rank, running_total
 from panelcast.operators.scaling import apply_ranges, fit_ranges, inverse
@@ -443,3 +444,34 @@ def test_wide_correlation_equals_pairs(spark, monkeypatch, block):
             assert r is None
         else:
             assert r == pytest.approx(np.corrcoef(both[0], both[1])[0, 1], abs=1e-9)
+
+
+def test_refreshed_features_equal_full_ones(spark):
+    """After random corrections, removals and additions; few rows are read and computed again."""
+    rng = random.Random(11)
+    spec, reach = PanelSpec(entity="k", date="t"), 3
+    old = {(k, t): rng.random() for k in range(30) for t in range(rng.randint(1, 80))}
+    now, changed = dict(old), set()
+    for k, t in rng.sample(sorted(old), 12):
+        changed.add((k, t))
+        if rng.random() < 0.5:
+            now[k, t] = -1.0
+        else:
+            del now[k, t]
+    for key in [(3, 500), (3, -5), (99, 1), (5, 10_000)]:
+        now[key] = 7.0
+        changed.add(key)
+
+    def frame(rows):
+        return spark.createDataFrame([(k, t, v) for (k, t), v in rows.items()], "k int, t int, v double").repartition(4)
+
+    def build(df):
+        w = Window.partitionBy("k").orderBy("t")
+        return df.withColumns({"lag3": F.lag("v", 3).over(w), "mean": F.avg("v").over(w.rowsBetween(-3, 0))})
+
+    keys = spark.createDataFrame(sorted(changed) + [(1, None), (77, 5)], "k int, t int")
+    got = refreshed(build(frame(old)), frame(now), keys, build, reach, spec)
+    want = build(frame(now))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    read = dirty_rows(frame(now), keys, reach, spec)
+    assert read.count() <= len(changed) * (2 * reach + 1) and read.where("_dirty").count() <= len(changed) * (reach + 1)
