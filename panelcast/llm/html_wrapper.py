@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from zlib import crc32
 
 import pandas as pd
@@ -47,7 +48,9 @@ SHAPES_PER_GROUP = 400
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>"""
     r"""|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: An attribute as a whole, its name and its value; names that say where an element belongs.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+TELLING = frozenset("class id role style hidden aria-hidden".split())
 
 
 class Node:
@@ -71,6 +74,8 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
     if attributes.strip():
         for key, value in _ATTR.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
+            if key not in TELLING:
+                continue
             if key == "hidden" or key == "aria-hidden" and value == "true":
                 outside = True
             elif key == "style":
@@ -83,11 +88,13 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
 
 
 def parse(source: str | None) -> Node:
-    """The tree of block elements of a page; never fails. Inline elements are transparent, comments and raw
-    elements fall away, unclosed elements end with their parent, what is nested too deep hangs on the last level."""
+    """The tree of block elements of a page; never fails. Inline elements are transparent, but the text of hidden
+    ones and of those named as outside of articles falls away, as do comments and raw elements. Unclosed elements end
+    with their parent; what is nested too deep hangs on the last level, and its end tags close nothing else."""
     root = Node("#root")
-    stack, tags, pieces = [root], ["#root"], []
+    stack, tags, pieces, opened = [root], ["#root"], [], Counter()
     linked = [0, 0, False]  # signs of the run inside links, all signs, inside a link now
+    muted = ["", 0, 0]  # an inline element whose text falls away, how often it is open, the level it began on
 
     def flush():
         if pieces:
@@ -100,9 +107,21 @@ def parse(source: str | None) -> Node:
     def close(count: int):
         flush()
         linked[2] = False
+        opened.subtract(tags[count:])
         del stack[count:], tags[count:]
+        if count < muted[2]:
+            muted[:] = "", 0, 0
+
+    def last(tag: str) -> int:
+        """Where the innermost open element of this tag is; there is one. What is passed over is closed with it."""
+        at = len(tags) - 1
+        while tags[at] != tag:
+            at -= 1
+        return at
 
     def say(text: str):
+        if muted[1]:
+            return
         text = entities.unescape(text)
         pieces.append(text)
         size = len(text.strip())
@@ -129,18 +148,23 @@ def parse(source: str | None) -> Node:
             pieces.append(" ")
         elif tag == "a":
             linked[2] = not end
-        elif tag not in BLOCKS:
-            continue
+        if tag not in BLOCKS:
+            if tag == muted[0]:
+                muted[1] += -1 if end else 1
+                if not muted[1]:
+                    muted[:] = "", 0, 0
+            elif not (end or muted[1] or tag in VOID or m.group(3).endswith("/")) and _label(tag, m.group(3))[1]:
+                muted[:] = tag, 1, len(stack)
         elif tag == "hr":
             flush()
         elif end:
-            if tag in tags:
-                close(len(tags) - 1 - tags[::-1].index(tag))
+            if opened[tag] > 0:
+                close(last(tag))
         else:
             flush()
-            if "p" in tags:
-                close(len(tags) - 1 - tags[::-1].index("p"))
-            if tag in CLOSES:
+            if opened["p"] > 0:
+                close(last("p"))
+            if tag in CLOSES and any(opened[x] > 0 for x in CLOSES[tag][0].split()):
                 open_ones, limit = CLOSES[tag]
                 for i in range(len(tags) - 1, 0, -1):
                     if tags[i] in limit:
@@ -149,11 +173,14 @@ def parse(source: str | None) -> Node:
                         close(i)
                         break
             label, outside = _label(tag, m.group(3))
-            node = Node(label, outside)
-            stack[-1].children.append(node)
-            if len(stack) < DEEPEST:
-                stack.append(node)
-                tags.append(tag)
+            node = stack[-1]
+            # Beyond the last level only what begins to be outside still is a node of its own.
+            if len(stack) < DEEPEST or outside and not node.outside:
+                node = Node(label, outside)
+                stack[-1].children.append(node)
+            stack.append(node)
+            tags.append(tag)
+            opened[tag] += 1
     say(source[at:])
     flush()
     return root

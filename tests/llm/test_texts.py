@@ -273,6 +273,19 @@ def test_names_never_cost_the_whole_page(spark, start, end):
     assert all(r["text"] == f"title {r['page_id']}\n\nstory {r['page_id']}" for r in got)
 
 
+@pytest.mark.parametrize("inside, want", [
+    ('<p title="a hidden gem">para</p>', "para"), ('<p data-id="sidebar">para</p>', "para"), ("<p data-hidden=1>para</p>", "para"),
+    ('<p>a <span hidden>secret</span> b<span class="ad">BUY <i>now</i></span></p>', "a b"),
+    ('<p>a <span style="display: none">x <span>y</span> z</span>b <img class="ad"> c</p>', "a b c"),
+    ('<p>a <span class="ad">left open</p><p>b</p>', "a\n\nb"), ('<p hidden>gone</p><p HIDDEN="">gone</p><p>b</p>', "b"),
+    ("<div>" * 130 + "<nav>menu</nav>deep" + "</div>" * 130 + "<p>tail</p>", "deep\n\ntail"),
+    ("<div>" * 400 + "</div>" * 400 + "<ul><li>one<li>two</ul><p>tail", "one\n\ntwo\n\ntail")])
+def test_attributes_depth_and_inline_parts(spark, inside, want):
+    rows = [(1, "http://lone.tld/", f"<div id=page><article><h1>t</h1>{inside}</article></div><div>side</div>")]
+    got = html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert got["text"] == "t\n\n" + want
+
+
 def test_tree_matching_aligns_what_it_can():
     one = html_wrapper.read_shape("#root(div(#text),p(#text),ul(li(#link)))", [(1, 5, 5), (1, 6, 6), (1, 7, 7)])
     other = html_wrapper.read_shape("#root(h1(#text),div(#text),ul(li(#link)))", [(1, 1, 1), (1, 5, 5), (1, 8, 8)])
