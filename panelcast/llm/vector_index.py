@@ -103,7 +103,7 @@ def distinct_vectors(embeddings: DataFrame) -> DataFrame:
     is text with the length of the vector, so that only vectors of one length are compared."""
     v = F.col("embedding").cast("array<double>")
     fine = F.coalesce(
-        (F.size(v) > 1) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = embeddings.where(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     rows = rows.select(F.concat_ws("/", F.col("label").cast("string"), F.size("embedding").cast("string")).alias("label"),
@@ -113,10 +113,11 @@ def distinct_vectors(embeddings: DataFrame) -> DataFrame:
         F.min("id").alias("id"), F.count("*").alias("n"), F.min_by("vector", "id").alias("vector"))
 
 
-def fit(vectors: DataFrame) -> dict[str, MultiIndex]:
+def fit(vectors: DataFrame, exact: bool = False) -> dict[str, MultiIndex]:
     """One index for each length of vectors there is, fitted on a bounded sample of ``vectors``; the number of
     cells to visit comes from the partners that a bounded set of vectors has among all rows, compared in blocks.
-    Of the partners only their ranks in the visiting order, counted in the tasks, reach the driver."""
+    Of the partners only their ranks in the visiting order, counted in the tasks, reach the driver. If ``exact``,
+    every cell that can hold a partner is visited."""
     send_code(__name__)
     sizes = vectors.groupBy(F.size("vector").alias("size")).agg(
         F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).collect()
@@ -126,6 +127,10 @@ def fit(vectors: DataFrame) -> dict[str, MultiIndex]:
         sample = own.orderBy("h1", "id").limit(SAMPLE).select("vector").collect()
         k = min(MOST_CENTROIDS, max(2, round(math.sqrt(n / max(1, labels) / CELL_ROWS))))
         index = MultiIndex(unit([r[0] for r in sample]), k)
+        out[size] = index
+        if exact:
+            index.cells = math.prod(map(len, index.books))
+            continue
         asked = own.orderBy("h2", "id").limit(CALIBRATION).select("label", "id", "vector").collect()
         q, q_id = unit([r["vector"] for r in asked]), np.array([r["id"] for r in asked])
         q_label = np.array([r["label"] for r in asked], dtype=object)
@@ -148,7 +153,6 @@ def fit(vectors: DataFrame) -> dict[str, MultiIndex]:
         if found:
             share = np.cumsum([r["n"] for r in found]) / sum(r["n"] for r in found)
             index.cells = max(FEWEST_CELLS, found[int(np.searchsorted(share, TARGET_RECALL))]["rank"])
-        out[size] = index
     return out
 
 
@@ -230,19 +234,19 @@ def links(vectors: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
     return rows.groupBy(*key).applyInPandas(compared, "id long, links long, root long")
 
 
-def near_duplicates(embeddings: DataFrame) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``embeddings`` (vec_id, label, embedding; other columns
     are left out).
 
     Two rows link when their labels are equal and not null and their cosine, in double precision, is MIN_COSINE
-    or more. Rows with a null id, label or vector, of fewer than two components, with null or non-finite
-    components, or all zero, link with nothing: no links, their own component, kept. Rows with one id count as one
+    or more. Rows with a null id, label or vector, without components, with null or non-finite components, or all
+    zero, link with nothing: no links, their own component, kept. Rows with one id count as one
     vector where they hold the same one, and share a component in any case; equal vectors of a label are
     collapsed first and counted, so their number never multiplies. No pair below MIN_COSINE is ever linked; of
-    those above, the index finds TARGET_RECALL on the calibration vectors.
+    those above, the index finds TARGET_RECALL on the calibration vectors, and all of them if ``exact``.
     """
     vectors = materialized(distinct_vectors(embeddings), "vectors")
-    found = materialized(links(vectors, fit(vectors)), "links")
+    found = materialized(links(vectors, fit(vectors, exact)), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     groups = vectors.select("label", "h1", "h2", "id", "n").join(counts, "id", "left").join(roots, "id", "left").select(

@@ -108,7 +108,7 @@ def vectors(seed, families, copies, size=8):
 def cosine_links(rows):
     def good(r):
         v = r[2]
-        return r[0] is not None and r[1] is not None and v and len(v) > 1 and all(
+        return r[0] is not None and r[1] is not None and v and all(
             x is not None and math.isfinite(x) for x in v) and any(v)
 
     fine, found = [r for r in rows if good(r)], []
@@ -134,6 +134,19 @@ def test_vector_index_finds_the_links(spark, monkeypatch, block):
     assert sum(r["component_id"] == near[r["vec_id"]] for r in got) >= 0.9 * len(rows)
 
 
+def test_vector_index_exact(spark):
+    """Every cell that can hold a partner is visited: no link is lost. One component is a vector, too."""
+    rows = vectors(4, 60, 12) + [(5000, 7, [1.0]), (5001, 7, [3.0]), (5002, 7, [-2.0]), (5003, 7, [0.0])]
+    table = frame(spark, rows, "vec_id long, label int, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_index.near_duplicates(table, exact=True).collect()}
+    links = cosine_links(rows)
+    near, n = roots([r[0] for r in rows], links), {}
+    for pair in links:
+        for i in pair:
+            n[i] = n.get(i, 0) + 1
+    assert got == {r[0]: (n.get(r[0], 0), near[r[0]]) for r in rows} and got[5001] == (1, 5000)
+
+
 def test_vector_index_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, 0, [1.0, 0.0]), (2, 0, [2.0, 0.0]), (3, 1, [1.0, 0.0]), (4, None, [1.0, 0.0]), (5, 0, None), (6, 0, [0.0, 0.0]),
