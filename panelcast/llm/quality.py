@@ -175,12 +175,14 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> QualityModel:
     """Word vectors from every document; the network from labelled rows that are not held out, at most
     ``max_examples`` (a documented bound), chosen by a hash of the id. Several labels of one id count as their
-    largest; null labels and ids are left out. With labels of one kind only, every text gets their share."""
+    largest, of several texts one is learned from; null labels and ids are left out. With labels of one kind only, every text gets their share."""
     send_code(__name__)
     vectors = word_vectors(docs)
     chosen = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(
         F.max("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_examples rows of two numbers
+    # max_examples rows of two numbers; of repeated ids one text, so that the examples are as many.
+    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def pool(frames):
         known = {}

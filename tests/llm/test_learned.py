@@ -101,6 +101,17 @@ def test_context_sums_are_those_of_a_loop():
     assert np.array_equal(quality.context_sums(rows, documents, places, signs), want)
 
 
+def test_repeated_ids_are_learned_from_once(spark, monkeypatch):
+    """However many texts an id has, the examples stay bounded by the number of ids."""
+    rows, labels = labelled(2, 60)
+    docs = spark.createDataFrame(rows + [(1, f"text {i}") for i in range(50)] + [(1, None)], "doc_id long, text string")
+    seen = []
+    whole = quality.QualityModel.__init__
+    monkeypatch.setattr(quality.QualityModel, "__init__", lambda self, v, x, y: (seen.append(len(y)), whole(self, v, x, y))[1])
+    quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert seen == [docs.select("doc_id").distinct().where(~held_out()).count()]
+
+
 def test_learning_from_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
