@@ -16,6 +16,8 @@ from panelcast.llm import blockmax
 from panelcast.llm.common import materialized, send_code, small, strings
 
 SHINGLE = 5
+#: Items of fewer words than SHINGLE, but of so many, are searched as exact phrases.
+PHRASE = 3
 #: Items of one index; more items are searched index after index.
 ITEMS_PER_INDEX = 500
 #: A passage is two neighbouring chunks of so many words, or of as many as the longest item has.
@@ -66,6 +68,11 @@ class LeakIndex:
     questions are entries of their own beside the whole items, so that one is retrieved however long its answer is."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float):
+        self.phrases: dict[int, dict[tuple[str, ...], list[int]]] = {}
+        for item, text in items:
+            if len(phrase := tuple(words(text))) < SHINGLE:
+                self.phrases.setdefault(len(phrase), {}).setdefault(phrase, []).append(item)
+        items = [x for x in items if len(words(x[1])) >= SHINGLE]
         # Items that share frequent words, such as those of one language, stand together: their blocks bound well.
         items = sorted(items, key=lambda x: (sorted(set(words(x[1])), key=lambda t: (-df[t], t))[:3], x))
         self.ids = [i for i, _ in items]
@@ -120,32 +127,38 @@ class LeakIndex:
                 q, a, whole = (len(s & have) / len(s) if s else 0.0 for s in self.sets[k])
                 if max(whole, q) >= MIN_OVERLAP:
                     best[k] = max(best.get(k, (0.0,)), (whole, score, q, a))
-        return [(self.ids[k], s, q, a, whole) for k, (whole, s, q, a) in sorted(best.items())]
+        found = [(self.ids[k], s, q, a, whole) for k, (whole, s, q, a) in sorted(best.items())]
+        for size, phrases in self.phrases.items():
+            held = {p for p in zip(*(tokens[i:] for i in range(size)), strict=False) if p in phrases}
+            found += [(item, 1.0, 1.0, 1.0, 1.0) for item in sorted(i for p in held for i in phrases[p])]
+        return found
 
 
 def indexes(benchmark: DataFrame, items_per_index: int = ITEMS_PER_INDEX):
     """The number of indexes over ``benchmark`` (item_id, text), each of a bounded number of items, and the function
     that builds one of them by its number, so that the caller holds no more than it uses.
 
-    Document frequencies are those of the whole benchmark. Items of fewer than five words, letters in scripts
-    without spaces, are no evidence and are left out; repeated rows count once. An empty benchmark gives no index."""
+    Document frequencies are those of all items of SHINGLE words or more, letters in scripts without spaces. Items of
+    fewer than PHRASE words are no evidence and are left out; repeated rows count once. An empty benchmark gives no
+    index."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
 
     def cut(texts: pd.Series) -> pd.Series:
         return pd.Series([words(x) for x in strings(texts)], dtype=object)
 
-    items = items.withColumn("words", F.pandas_udf(cut, "array<string>")("text")).where(F.size("words") >= SHINGLE)
+    items = items.withColumn("words", F.pandas_udf(cut, "array<string>")("text")).where(F.size("words") >= PHRASE)
     items = materialized(items, "benchmark-items")
-    n_items, mean_words = items.agg(F.count("*"), F.avg(F.size("words"))).first()
-    df = items.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").count()
-    shards = -(-n_items // items_per_index)
+    every, n_items, mean_words = items.agg(F.count("*"), F.count_if(F.size("words") >= SHINGLE), F.avg(
+        F.when(F.size("words") >= SHINGLE, F.size("words")))).first()
+    df = items.where(F.size("words") >= SHINGLE).select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").count()
+    shards = -(-every // items_per_index)
     items = items.withColumn("shard", F.pmod(F.xxhash64("text", "item_id"), F.lit(max(1, shards))))
 
     def build(shard: int) -> LeakIndex:
         own = items.where(F.col("shard") == shard)
         terms = own.select(F.explode("words").alias("term")).distinct().join(df, "term").collect()
         rows = own.select("item_id", "text").collect()
-        return LeakIndex([tuple(r) for r in rows], {r["term"]: r["count"] for r in terms}, n_items, mean_words)
+        return LeakIndex([tuple(r) for r in rows], {r["term"]: r["count"] for r in terms}, n_items, mean_words or 1.0)
 
     return shards, build
 
@@ -167,7 +180,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, items_per_index: int = ITE
     shares of question, answer and whole item found in one passage.
 
     Every passage of two chunks is a query, and each item lies wholly inside one; all items above MIN_SCORE are
-    verified. Null and empty texts, and an empty benchmark, give an empty array. With one index rows never meet one
+    verified. An item of PHRASE words or more, but fewer than SHINGLE, is found where its words stand in a row. Null and empty texts, and an empty benchmark, give an empty array. With one index rows never meet one
     another. More are built, searched and let go one after the other, each in a pass that writes what it found by
     the text's hash; the driver and a worker hold one."""
     send_code(__name__, blockmax.__name__)
