@@ -27,6 +27,8 @@ AT_A_TIME = 500
 HEAD = 4
 #: A score below all others.
 NEVER = float("-inf")
+#: Texts that normalizers change: wide and joined letters, accents apart, spaces in front, behind and in a row.
+PROBES = ("The rain in Spain", "  two  spaces ", "ﬁ Ａ ① e\u0301", "a\n\tb", "日本語 😀")
 #: Places after which a long run of text is tested for a boundary that all paths share.
 COMMIT_EVERY = 64
 
@@ -232,14 +234,20 @@ class Pieces:
 
 
 def load(path: str = MODEL) -> Pieces:
-    """The pieces of a model file; control, unknown and unused entries never occur in an encoding."""
+    """The pieces of a model file; control, unknown and unused entries never occur in an encoding.
+
+    A model that is not merge-based, or that changes texts before it encodes them, is an error: its scores are no
+    ranks, or its ids of PROBES are not those of the pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     entries = [(model.id_to_piece(i), i) for i in range(model.get_piece_size())]
     plain = [(p, i, model.get_score(i)) for p, i in entries
              if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
-    return Pieces(plain, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+    made = Pieces(plain, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+    if any(s != int(s) for _, _, s in plain) or any(made.encode(x).tolist() != model.encode(x) for x in PROBES):
+        raise ValueError(f"{path} is not a merge-based model without a normalizer")
+    return made
 
 
 def encoded(

@@ -135,6 +135,18 @@ def test_a_question_alone_is_a_leak(spark):
     assert next(r for r in got if r["doc_id"] == 10)["question_overlap"] == 1.0
 
 
+@pytest.mark.parametrize("size", [500, 1])
+def test_short_items_are_exact_phrases(spark, size):
+    """Items of three or four words, also where an index holds no other; shorter ones are no evidence."""
+    bench = [(1, "Is water wet? Yes."), (2, "is WATER wet"), (3, "Yes."), (4, "not here at"), (5, "Is water wet? Yes!")]
+    docs = [(10, "they ask: is water wet? Yes, they say"), (11, "Is water wet, yes or no"), (12, "is water"), (13, "water wet is yes"),
+            (14, None), (15, "wet is water wet")]
+    got = decontaminate.with_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                   spark.createDataFrame(bench, "item_id long, text string"), size, "found").collect()
+    found = {r["doc_id"]: sorted(f["item_id"] for f in r["found"]) for r in got}
+    assert found == {10: [1, 2, 5], 11: [1, 2, 5], 12: [], 13: [], 14: [], 15: [2]}
+
+
 def test_one_index_is_held_at_a_time(spark, monkeypatch):
     made, alive, make = [], [], decontaminate._leaks_of
 
@@ -184,6 +196,22 @@ def test_pieces_are_those_of_the_library(model):
         assert model.decode(ids) == (text or "").replace("▁", " ")
 
 
+@pytest.mark.parametrize("fault", ["scores", "texts"])
+def test_other_models_are_an_error(monkeypatch, fault):
+    library = pytest.importorskip("sentencepiece")
+
+    class Other(library.SentencePieceProcessor):
+        def get_score(self, i):
+            return super().get_score(i) * (0.5 if fault == "scores" else 1)
+
+        def encode(self, text):
+            return super().encode(" ".join(text.split()) if fault == "texts" else text)
+
+    monkeypatch.setattr(library, "SentencePieceProcessor", Other)
+    with pytest.raises(ValueError):
+        pieces.load()
+
+
 def test_a_small_window_commits_the_same_path(model, monkeypatch):
     text = "".join(random.Random(7).choice("abcdehinorst") for _ in range(3_000))
     whole = model.path(text).tolist()
