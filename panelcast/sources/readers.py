@@ -48,28 +48,39 @@ def read_csv_by_name(
     """CSV files with headers: the columns of ``schema``, found by name, and the ``file`` of each row.
 
     The files may order their columns differently, leave out columns (null) and hold others (ignored). A header
-    without the ``required`` columns is an error. Files of one header are read together.
+    without the ``required`` columns is an error. Only the different headers reach the driver; where there are
+    several, a row finds its own through the name of its file.
     """
     fields = T.StructType.fromDDL(schema).fields
-    headers = _first_lines(spark, path).groupBy("line").agg(F.collect_list("file").alias("files")).collect()
-    frames = []
-    for header in sorted(headers, key=lambda r: r["line"]):
+    first = _first_lines(spark, path)
+    headers = sorted(first.groupBy("line").agg(F.min("file").alias("file")).collect(), key=lambda r: r["line"])
+    if not headers:
+        return spark.createDataFrame([], f"{schema}, file string")
+    every = []
+    for header in headers:
         names = [n.strip().lstrip("\ufeff") for n in next(csv.reader([header["line"]]))]
         missing = [c for c in required if c not in names]
         if missing:
-            raise ValueError(f"{header['files'][0]} lacks the columns {missing}")
-        # Positions of one header are safe; a name that comes twice counts where it is first.
-        columns = [f"_{i}" for i in range(len(names))]
-        raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", True).csv(header["files"])
-        at = {n: c for n, c in reversed(list(zip(names, columns)))}
-        made = [
-            (_value(at[f.name], f.dataType) if f.name in at else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in fields
-        ]
-        frames.append(raw.select(*made, F.col("_metadata.file_path").alias("file")))
-    if not frames:
-        return spark.createDataFrame([], f"{schema}, file string")
-    return reduce(DataFrame.unionAll, frames)
+            raise ValueError(f"{header['file']} lacks the columns {missing}")
+        every.append(names)
+    # Positions of one header are safe; a name that comes twice counts where it is first.
+    columns = [f"_{i}" for i in range(max(map(len, every)))]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", True).csv(path)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("file"))
+    number = F.lit(0)
+    if len(headers) > 1:
+        known = spark.createDataFrame([(r["line"], i) for i, r in enumerate(headers)], "line string, _header int")
+        raw = raw.join(first.join(F.broadcast(known), "line").select("file", "_header"), "file")
+        number = F.col("_header")
+
+    def cell(field: T.StructField) -> Column:
+        made = F.lit(None).cast(field.dataType)
+        for at in {names.index(field.name) for names in every if field.name in names}:
+            own = [i for i, names in enumerate(every) if field.name in names and names.index(field.name) == at]
+            made = F.when(number.isin(own), _value(f"_{at}", field.dataType)).otherwise(made)
+        return made.alias(field.name)
+
+    return raw.select(*map(cell, fields), "file")
 
 
 def read_panel(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = schemas.PANEL) -> DataFrame:
@@ -174,11 +185,12 @@ def read_upload_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     Each file holds one JSON list of records, or one record per line; its first sign tells which. Files of lines
     are split among tasks; a list is one JSON value and so is read as a whole.
     """
-    listed = _first_lines(spark, path).where(F.ltrim("line").startswith("["))
-    lists = [r["file"] for r in listed.select("file").collect()]
+    listed = _first_lines(spark, path).where(F.ltrim("line").startswith("[")).select("file")
+    # Files of one upload each, to be read as a whole: a reader takes their names.
+    lists = [r["file"] for r in listed.collect()]
     lines = spark.read.text(path).where(F.trim("value") != "")
     if lists:
-        lines = lines.where(~F.col("_metadata.file_path").isin(lists)).select("value")
+        lines = lines.select("value", F.col("_metadata.file_path").alias("file")).join(listed, "file", "left_anti").select("value")
         whole = spark.read.text(lists, wholetext=True)
         items = F.from_json("value", "array<string>")
         # A list that doesn't parse is one broken record.
