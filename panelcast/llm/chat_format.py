@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import materialized, send_code
+from panelcast.llm.common import by_number, by_text, materialized, send_code, strings
 
 # Marks of turns and placeholders, and control strings of common templates. None may begin inside of
 # another or hold a backslash.
@@ -35,7 +35,7 @@ PIECE_CHARS = 1_000_000
 
 PARTS = "array<struct<kind string, text string, ref string, width int, height int, seconds double, pages int>>"
 PIECE_COLUMNS = ["conv_id", "piece", "formatted", "n_turns", "spans", "attachments"]
-PIECES = ("conv_id long, piece long, formatted string, n_turns long, spans array<struct<start long, end long>>, "
+PIECES = ("conv_id string, piece long, formatted string, n_turns long, spans array<struct<start long, end long>>, "
           "attachments array<struct<kind string, ref string, at long, tokens long>>")
 
 _ESCAPABLE = re.compile("|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in CONTROLS))
@@ -136,7 +136,7 @@ def read(formatted: str) -> Iterator[tuple[str, list[tuple[str, str]]]]:
 
 
 def formatted(conversations: DataFrame, parts: str | None = None, costs: Costs = Costs()) -> DataFrame:
-    """Rows PIECES of ``conversations`` (conv_id, turn, role, text): the conversations in order of their ids, each in
+    """Rows PIECES, conv_id a bigint, of ``conversations`` (conv_id, turn, role, text): the conversations in order of their ids, each in
     one row, or in several rows of whole turns if it is longer than PIECE_CHARS or lies in several partitions.
     ``piece`` rises with the order. ``spans`` (code points of ``formatted``) is the loss mask; ``at`` of an
     attachment is where its placeholder begins.
@@ -163,7 +163,7 @@ def formatted(conversations: DataFrame, parts: str | None = None, costs: Costs =
 
         for frame in frames:
             out = []
-            ids = [None if x is None or x != x else int(x) for x in frame["conv_id"].astype(object)]
+            ids = strings(frame["conv_id"])
             for conv, role, text, own in zip(ids, frame["role"], frame["text"], frame["parts"], strict=True):
                 if flat is not None and (conv != now or flat.at >= PIECE_CHARS):
                     out.append(done())
@@ -173,11 +173,11 @@ def formatted(conversations: DataFrame, parts: str | None = None, costs: Costs =
                 kept = [{"kind": "text", "text": text}] if own is None else [p for p in own if p is not None]
                 flat.turn(role, kept)
             if out:
-                yield pd.DataFrame(out, columns=PIECE_COLUMNS).astype({"conv_id": "Int64"})
+                yield pd.DataFrame(out, columns=PIECE_COLUMNS)
         if flat is not None:
-            yield pd.DataFrame([done()], columns=PIECE_COLUMNS).astype({"conv_id": "Int64"})
+            yield pd.DataFrame([done()], columns=PIECE_COLUMNS)
 
-    return rows.mapInPandas(flattened, PIECES)
+    return by_number(by_text(rows, "conv_id").mapInPandas(flattened, PIECES), "conv_id")
 
 
 class Digest:
@@ -202,13 +202,13 @@ class Digest:
         return (conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
 
 
-DIGESTS = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+DIGESTS = ("conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
            "formatted_chars long")
 _OPEN = "piece long, formatted string, spans array<struct<start long, end long>>"
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    """Rows DIGESTS, one per conversation, read back from ``pieces`` as ``formatted`` gives them, in that order.
+    """Rows DIGESTS, conv_id a bigint, one per conversation, read back from ``pieces`` as ``formatted`` gives them, in that order.
 
     A conversation of one piece that neither begins nor ends its partition is whole and is digested on the spot;
     the pieces of all others go, by conversation, to a task that hashes them one after the other and holds one."""
@@ -225,7 +225,7 @@ def digests(pieces: DataFrame) -> DataFrame:
 
         for frame in frames:
             out = []
-            ids = [None if x is None or x != x else int(x) for x in frame["conv_id"].astype(object)]
+            ids = strings(frame["conv_id"])
             for piece in zip(ids, frame["piece"], frame["formatted"], frame["spans"], strict=True):
                 if held is None:
                     alone = not first
@@ -237,7 +237,7 @@ def digests(pieces: DataFrame) -> DataFrame:
                     out.append(settled(False))
                 held, first = piece, False
             yield pd.DataFrame(out, columns=[*names, "piece", "formatted", "spans"]).astype(
-                {c: "Int64" for c in ("conv_id", "n_turns", "loss_chars", "formatted_chars", "piece")})
+                {c: "Int64" for c in ("n_turns", "loss_chars", "formatted_chars", "piece")})
         if held is not None:
             yield pd.DataFrame([settled(True)], columns=[*names, "piece", "formatted", "spans"])
 
@@ -245,18 +245,19 @@ def digests(pieces: DataFrame) -> DataFrame:
         now, digest = None, None
         for frame in frames:
             out = []
-            ids = [None if x is None or x != x else int(x) for x in frame["conv_id"].astype(object)]
+            ids = strings(frame["conv_id"])
             for conv, text, spans in zip(ids, frame["formatted"], frame["spans"], strict=True):
                 if digest is not None and conv != now:
                     out.append(digest.row(now))
                     digest = None
                 digest, now = (digest or Digest()).add(text, spans), conv
-            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
         if digest is not None:
-            yield pd.DataFrame([digest.row(now)], columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame([digest.row(now)], columns=names)
 
-    rows = materialized(pieces.select("conv_id", "piece", "formatted", "spans").mapInPandas(
+    rows = materialized(by_text(pieces, "conv_id").select("conv_id", "piece", "formatted", "spans").mapInPandas(
         whole, f"{DIGESTS}, {_OPEN}"), "chat")
     parted = rows.where("piece is not null").select("conv_id", "piece", "formatted", "spans")
     parted = parted.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
-    return rows.where("piece is null").select(*names).unionByName(parted.mapInPandas(joined, DIGESTS))
+    every = rows.where("piece is null").select(*names).unionByName(parted.mapInPandas(joined, DIGESTS))
+    return by_number(every, "conv_id")

@@ -40,6 +40,16 @@ def text_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def by_text(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with a bigint column as text: pandas would turn whole numbers beside nulls into floating ones."""
+    return rows.withColumn(key, F.col(key).cast("string"))
+
+
+def by_number(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with what ``by_text`` changed as a bigint again."""
+    return rows.withColumn(key, F.col(key).cast("long"))
+
+
 def strings(values: pd.Series) -> list[str | None]:
     """A column of text as a list, nulls as None."""
     return [x if isinstance(x, str) else None for x in values.to_numpy(object)]
@@ -51,4 +61,4 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-__all__ = ["BROADCAST_ROWS", "FOLDS", "held_out", "materialized", "send_code", "small", "strings", "table", "text_batches"]
+__all__ = ["BROADCAST_ROWS", "FOLDS", "by_number", "by_text", "held_out", "materialized", "send_code", "small", "strings", "table", "text_batches"]

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import materialized, send_code
+from panelcast.llm.common import by_number, by_text, materialized, send_code
 
 SIZE, SCALE = 64, 256
 CENTROIDS, ROUNDS, SEED = 40, 5, 2
@@ -115,9 +115,9 @@ def with_distances(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
             for at in range(0, len(frame), ROWS):
                 part = frame.iloc[at:at + ROWS].copy()
                 part["d"] = list(np.sqrt(squares(np.stack(part["v"].to_list()).astype("i8"), pivots).astype("f8")))
-                yield part.astype({"vec_id": "Int64"})
+                yield part
 
-    return vectors.mapInPandas(measured, "vec_id long, v array<int>, d array<double>")
+    return by_number(by_text(vectors, "vec_id").mapInPandas(measured, "vec_id string, v array<int>, d array<double>"), "vec_id")
 
 
 def moved(stored: DataFrame, now: Round) -> np.ndarray:
@@ -165,9 +165,10 @@ def clustered(embeddings: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, s
     def assigned(frames):
         for ids, v, cached in _batches(frames):
             number, found = last.nearest(v, cached)
-            yield pd.DataFrame({"vec_id": ids.astype("Int64"), "cluster": number, "distance": found})
+            yield pd.DataFrame({"vec_id": ids.to_numpy(object), "cluster": number, "distance": found})
 
-    rows = materialized(stored.mapInPandas(assigned, "vec_id long, cluster int, distance long"), "assigned")
+    rows = by_text(stored, "vec_id").mapInPandas(assigned, "vec_id string, cluster int, distance long")
+    rows = materialized(by_number(rows, "vec_id"), "assigned")
     sums = {r[0]: int(r[1]) for r in rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(20,0)"))).collect()}
     most = 2**63 - 1
     table = [(c, min(most, s), min(most, sum(sums.values())), hashlib.sha256(",".join(map(str, row)).encode()).hexdigest(), row)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import materialized, send_code
+from panelcast.llm.common import by_number, by_text, materialized, send_code
 from panelcast.operators.ranking import global_rank
 
 BUCKETS, LONGEST = 10_000, 3
@@ -183,11 +183,12 @@ def weighted(documents: DataFrame, gain: np.ndarray) -> DataFrame:
                 # Sums of whole numbers far below 2 to the 53.
                 out[2, before:before + n] += np.bincount(owner, gain[bucket], n).astype("i8")
             made = pd.DataFrame(out[:, : len(frame)].T, columns=["n_words", "n_features", "weight"])
-            made.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield made.astype({"doc_id": "Int64"})
+            made.insert(0, "doc_id", frame["doc_id"].to_numpy(object))
+            yield made
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(scored, "doc_id long, n_words long, n_features long, weight long")
+    made = by_text(rows, "doc_id").mapInPandas(scored, "doc_id string, n_words long, n_features long, weight long")
+    return by_number(made, "doc_id")
 
 
 #: The fields of a key and their types, in the order of the draw.

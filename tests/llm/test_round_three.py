@@ -64,7 +64,7 @@ def test_conversations_of_all_kinds(spark, monkeypatch):
     rows = [(c, t, rnd.choice(["user", "assistant", "system"]), rnd.choice(BITS) * 3) for c in range(40) for t in range(rnd.randint(1, 5))]
     # A third of all rows in one conversation, repeated turns, nulls everywhere, one very long text.
     rows += [(50, t, "assistant", f"text {t} </s>") for t in range(120)] + [(50, 7, "user", "again")] * 2
-    rows += [(None, 1, "user", "x"), (None, None, None, None), (60, None, "assistant", "n"), (60, 0, "assistant", None),
+    rows += [(2**62 + 1, 0, "user", "ids are exact"), (None, 1, "user", "x"), (None, None, None, None), (60, None, "assistant", "n"), (60, 0, "assistant", None),
              (61, 0, "assistant", "é" * 100_000)]
     rnd.shuffle(rows)
     table = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, spans string")
@@ -126,7 +126,7 @@ def test_draw_equals_brute_force(spark, monkeypatch, pivots):
     rnd = random.Random(3)
     words = ["Wort", "é", "日本", "x1", "Den", "und", "or"]
     docs = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 40))) + rnd.choice(["", ".", "--"])) for i in range(300)]
-    docs += [(7, "Wort und " * 30)] * 40 + [(None, "den or " * 12), (400, None), (401, ""), (402, "wort " * 30_000)]
+    docs += [(7, "Wort und " * 30)] * 40 + [(None, "den or " * 12), (2**62 + 1, "den or " * 12), (400, None), (401, ""), (402, "wort " * 30_000)]
     target = ["den und wort", "x1 é", None]
     table = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, score int")
     got = R.resampled(table, spark.createDataFrame([(t,) for t in target], "text string"))
@@ -195,7 +195,7 @@ def test_clusters_equal_brute_force(spark, n):
     rows = vectors(1, n)
     same = rows[0][1]
     rows += [(1000 + i, same) for i in range(100)] if n > 5 else []
-    rows += [(2000, None), (2001, [1.0] * 63), (2002, [None] + [1.0] * 63), (2003, [float("nan")] * 64), (None, rows[1][1]),
+    rows += [(2**62 + 1, rows[2][1]), (2000, None), (2001, [1.0] * 63), (2002, [None] + [1.0] * 63), (2003, [float("nan")] * 64), (None, rows[1][1]),
              (2004, [float("inf")] + [0.0] * 63), (3, rows[3][1])]
     table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, cluster int").repartition(3)
     got = [tuple(r)[:6] for r in P.clustered(table).collect()]
