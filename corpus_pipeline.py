@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import decontaminate, pieces, prefix_join, secret_ledger, toxicity
-from panelcast.llm.common import materialized, small, table, text_batches
+from panelcast.llm.common import counted, materialized, small, table, text_batches
 
 #: From this score on a document is rejected as toxic.
 TOXIC = 0.5
@@ -31,8 +31,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     placed = prefix_join.near_duplicates(docs)
     ids = placed.groupBy("doc_id").agg(
         F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count("*").alias("rows"))
-    ids = materialized(ids.where("not kept or rows > 1").withColumnRenamed("doc_id", MARK), "ids")
-    gone, repeated = small(ids.where("not kept").select(MARK)), small(ids.where("kept and rows > 1").select(MARK))
+    ids, of = counted(ids.where("not kept or rows > 1").withColumnRenamed("doc_id", MARK), "ids", kept=F.count_if("kept"))
+    stay = of["kept"] or 0
+    gone, repeated = small(ids.where("not kept").select(MARK), of["rows"] - stay), small(ids.where("kept").select(MARK), stay)
     same = docs["doc_id"].eqNullSafe(F.col(MARK))
     left = docs.join(gone, same, "left_anti")
     once = left.join(repeated, same, "left_anti")

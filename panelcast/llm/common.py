@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast import session
@@ -55,10 +55,20 @@ def strings(values: pd.Series) -> list[str | None]:
     return [x if isinstance(x, str) else None for x in values.to_numpy(object)]
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its rows, counted first, stay under BROADCAST_ROWS; else as it is, so
-    that Spark shuffles. For written tables, where a count is cheap."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def counted(df: DataFrame, name: str, **also: Column) -> tuple[DataFrame, dict]:
+    """``df`` as ``materialized`` gives it, and what was seen of its rows while they were written: ``rows``, their
+    number, and the aggregates ``also``. A count of its own would be one more query, each of which keeps some of
+    the driver's threads and memory for a while."""
+    seen = Observation()
+    out = materialized(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[x.alias(k) for k, x in also.items()]), name)
+    # Of a plan that Spark finds empty nothing is seen.
+    return out, {"rows": 0, **dict.fromkeys(also), **seen.get}
 
 
-__all__ = ["BROADCAST_ROWS", "FOLDS", "by_number", "by_text", "held_out", "materialized", "send_code", "small", "strings", "table", "text_batches"]
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its rows, counted first unless known, stay under BROADCAST_ROWS; else as it
+    is, so that Spark shuffles. For written tables, where a count is cheap."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+__all__ = ["BROADCAST_ROWS", "FOLDS", "by_number", "by_text", "counted", "held_out", "materialized", "send_code", "small", "strings", "table", "text_batches"]

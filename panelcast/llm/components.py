@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import materialized
+from panelcast.llm.common import counted, materialized
 
 ROUNDS = 60
 
@@ -23,7 +23,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every vertex hands the smallest vertex around it, itself included, to its larger neighbours."""
     e = edges.select("a", "b").union(edges.select("b", "a"))
     low = e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return e.join(low, "a").where("b > a").selectExpr("b as a", "m as b").where("a != b").distinct()
+    return e.join(low, "a").where("b > a").selectExpr("b as a", "m as b").where("a != b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,11 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
     collected. An empty edge table gives no rows.
     """
     now = materialized(edges.where("a != b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "cc")
-    seen = None
+    seen, edge = None, F.xxhash64("a", "b")
     for _ in range(ROUNDS):
-        now = materialized(_small_star(_large_star(now)), "cc")
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        if mark == seen or mark[0] == 0:
+        now, mark = counted(_small_star(_large_star(now)), "cc", xor=F.bit_xor(edge), total=F.sum(edge % 1000003))
+        if mark == seen or mark["rows"] == 0:
             return now.selectExpr("a as id", "b as component").union(now.selectExpr("b", "b").distinct())
         seen = mark
     raise RuntimeError("components did not settle")

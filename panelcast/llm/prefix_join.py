@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import materialized, send_code, small, strings
+from panelcast.llm.common import counted, materialized, send_code, small, strings
 from panelcast.llm.components import components
 
 WORDS = 5
@@ -197,7 +197,7 @@ def _shared_early(a: str, b: str, first: bool = False) -> str:
 
 
 def _entries(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vertices, entries, large). Vertices are the distinct sets: v, doc, n, f1, f2 and their group. Entries are
+    """(vertices, entries, large), ``large`` marked for broadcast if it is small. Vertices are the distinct sets: v, doc, n, f1, f2 and their group. Entries are
     (token, v, n, pos, w, all) of all shingles in the prefixes of two or more groups, each of weight 1; of groups
     with several members, one more shingle stands for the whole prefix and has its weight. ``all`` is the weight of
     all entries of a set. Of shingles with more than FEW entries, ``large`` tells into how many buckets they go.
@@ -207,9 +207,10 @@ def _entries(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     full = rows.where("n > 0")
     vertices = materialized(full.groupBy("f1", "f2", "n", "g1", "g2").agg(
         F.min("row").alias("v"), F.min_by("doc_id", "row").alias("doc")), "sets")
-    groups = materialized(vertices.groupBy("n", "g1", "g2").agg(F.min("v").alias("g"), F.count("*").alias("members")),
-                          "groups")
-    one = full.select("row", "n", "common", "prefix").join(small(groups.select(F.col("g").alias("row"))), "row", "left_semi")
+    groups, of = counted(vertices.groupBy("n", "g1", "g2").agg(F.min("v").alias("g"), F.count("*").alias("members")),
+                         "groups")
+    heads = small(groups.select(F.col("g").alias("row")), of["rows"])
+    one = full.select("row", "n", "common", "prefix").join(heads, "row", "left_semi")
     dealt = one.select(F.col("row").alias("g"), "n", "common", F.posexplode("prefix").alias("pos", "token"))
     rare = dealt.where("pos < common").withColumn("groups", F.count("*").over(Window.partitionBy("token")))
     shared = rare.where("groups > 1").drop("groups").unionAll(dealt.where("pos >= common")).drop("common")
@@ -220,10 +221,11 @@ def _entries(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     members = groups.select("n", "g1", "g2", "g").join(vertices, ["n", "g1", "g2"]).select("g", "v")
     entries = shared.select("token", "g", "n", "pos", F.lit(1).cast("long").alias("w")).unionAll(many)
     entries = materialized(entries.join(members, "g").select("token", "v", "n", "pos", "w"), "dealt")
-    weights = materialized(entries.groupBy("v").agg(F.sum("w").alias("all")), "weights")
-    entries = materialized(entries.join(small(weights), "v"), "entries")
+    weights, of = counted(entries.groupBy("v").agg(F.sum("w").alias("all")), "weights")
+    entries = materialized(entries.join(small(weights, of["rows"]), "v"), "entries")
     large = entries.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > FEW)
-    return vertices, entries, materialized(large.select("token", F.ceil(F.col("rows") / BUCKET).alias("buckets")), "large")
+    large, of = counted(large.select("token", F.ceil(F.col("rows") / BUCKET).alias("buckets")), "large")
+    return vertices, entries, small(large, of["rows"])
 
 
 def _star_pairs(entries: DataFrame, turn: int) -> DataFrame:
@@ -259,7 +261,8 @@ def _rest_pairs(few: DataFrame, many: DataFrame) -> DataFrame:
     listed = lists.select(F.explode(F.expr(f"flatten(transform(s, x -> {inner}))")).alias("p")).select("p.*")
     counts = many.groupBy("token", "c").agg(F.count("*").alias("rows"))
     most = counts.groupBy("token").agg(F.max_by("c", F.struct("rows", "c")).alias("most"), F.count("*").alias("parts"))
-    open_ = many.join(small(materialized(most.where("parts > 1").drop("parts"), "most")), "token")
+    most, of = counted(most.where("parts > 1").drop("parts"), "most")
+    open_ = many.join(small(most, of["rows"]), "token")
     names = ("v", "n", "pos", "w", "c", "all")
     minor = open_.where("c != most").select("token", *[F.col(x).alias("a" + x) for x in names])
     every = open_.select("token", (F.col("most") == F.col("c")).alias("major"), *[F.col(x).alias("b" + x) for x in names])
@@ -270,8 +273,8 @@ def _rest_pairs(few: DataFrame, many: DataFrame) -> DataFrame:
     met = met.selectExpr("least(av, bv) as a", "greatest(av, bv) as b", f"if({low}, an, bn) as an", f"if({low}, bn, an) as bn",
                          "if(aw > 1, aw, 0) as w").distinct()
     # The members shared in large buckets are counted from the lists of both sets.
-    own = materialized(many.groupBy("v").agg(F.collect_list("token").alias("t")), "lists")
-    held = own.agg(F.sum(F.size("t"))).first()[0] or 0
+    own, of = counted(many.groupBy("v").agg(F.collect_list("token").alias("t")), "lists", held=F.sum(F.size("t")))
+    held = of["held"] or 0
     pairs = listed.unionAll(met).groupBy("a", "b", "an", "bn").agg(F.sum("w").alias("shared"))
     for end in "ab":
         lists = own.toDF(end, f"{end}t")
@@ -280,32 +283,34 @@ def _rest_pairs(few: DataFrame, many: DataFrame) -> DataFrame:
     return pairs.where(f"{shared} >= {_bounds('an', 'bn')[1]}").select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """The pairs whose sets overlap enough, by their exact intersection. The sets of these pairs alone are read
-    again from their texts; those of the hubs are broadcast, in slices, if their counted shingles are few."""
-    ids = pairs.select(F.col("a").alias("v")).unionAll(pairs.select("b")).distinct()
-    wanted = materialized(vertices.join(small(materialized(ids, "ids")), "v", "left_semi"), "wanted")
-    sets = materialized(_sets(docs, wanted), "tokens")
-    hubs = materialized(pairs.select(F.col("a").alias("v")).distinct().join(wanted.select("v", "n"), "v"), "hubs")
-    held = hubs.agg(F.sum("n")).first()[0] or 0
-    ends = sets.join(small(hubs.select("v")), "v", "left_semi").select(F.col("v").alias("a"), F.col("tokens").alias("a_tokens"))
-    both = sets.select(F.col("v").alias("b"), F.col("tokens").alias("b_tokens")).join(small(pairs), "b")
+def _verified(pairs: DataFrame, rows: int, docs: DataFrame, vertices: DataFrame) -> tuple[DataFrame, int]:
+    """Those of so many pairs whose sets overlap enough, by their exact intersection, and their number. The sets of
+    these pairs alone are read again from their texts; those of the hubs are broadcast, in slices, if their counted
+    shingles are few."""
+    ends = pairs.select(F.col("a").alias("v"), F.lit(True).alias("hub")).unionAll(pairs.select("b", F.lit(False)))
+    ids, of = counted(ends.groupBy("v").agg(F.max("hub").alias("hub")), "ids")
+    wanted, of = counted(vertices.join(small(ids, of["rows"]), "v"), "wanted", held=F.sum(F.when(F.col("hub"), F.col("n"))))
+    sets = materialized(_sets(docs, wanted, of["rows"]), "tokens")
+    hubs = sets.where("hub").select(F.col("v").alias("a"), F.col("tokens").alias("a_tokens"))
+    both = sets.select(F.col("v").alias("b"), F.col("tokens").alias("b_tokens")).join(small(pairs, rows), "b")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     size = F.size("a_tokens") + F.size("b_tokens")
     enough = 100 * common >= SIMILARITY * (size - common)
-    slices = max(1, -(-held // BROADCAST_SHINGLES))
+    slices = max(1, -(-(of["held"] or 0) // BROADCAST_SHINGLES))
     if slices > SLICES:
-        return both.join(ends, "a").where(enough).select("a", "b")
-    place, met = F.pmod(F.xxhash64("a"), F.lit(slices)), []
+        links, of = counted(both.join(hubs, "a").where(enough).select("a", "b"), "links")
+        return links, of["rows"]
+    place, met, made = F.pmod(F.xxhash64("a"), F.lit(slices)), [], 0
     for i in range(slices):
-        part = both.where(place == i).join(F.broadcast(ends.where(place == i)), "a").where(enough).select("a", "b")
         # One slice at a time is held.
-        met.append(part if slices == 1 else materialized(part, "verified"))
-    return reduce(DataFrame.unionAll, met)
+        part = both.where(place == i).join(F.broadcast(hubs.where(place == i)), "a").where(enough).select("a", "b")
+        part, of = counted(part, "links")
+        met, made = [*met, part], made + of["rows"]
+    return reduce(DataFrame.unionAll, met), made
 
 
-def _sets(docs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(v, tokens) of the given vertices, read again from their texts."""
+def _sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """(v, hub, tokens) of the so many wanted vertices, read again from their texts."""
 
     def again(frames):
         for part in _parts(frames):
@@ -315,12 +320,10 @@ def _sets(docs: DataFrame, vertices: DataFrame) -> DataFrame:
                 rows.append((None if pd.isna(doc) else int(doc), *_two(own.tobytes()), own.view("i8")))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SETS.split(", ")], dtype=object)
 
-    wanted = vertices.select("v", "doc", "f1", "f2")
-    ids = wanted.select("doc").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(small(ids), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
-    return texts.mapInPandas(again, SETS).join(small(wanted), ["f1", "f2"]).where(
-        F.col("doc").eqNullSafe(F.col("doc_id"))).select("v", "tokens")
+    texts = texts.join(small(wanted.select("doc"), rows), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
+    return texts.mapInPandas(again, SETS).join(small(wanted.select("v", "hub", "doc", "f1", "f2"), rows), ["f1", "f2"]).where(
+        F.col("doc").eqNullSafe(F.col("doc_id"))).select("v", "hub", "tokens")
 
 
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -336,32 +339,31 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialized(features(docs, frequent_items(docs)).withColumn("row", F.monotonically_increasing_id()),
                         "shingled")
     vertices, entries, large = _entries(rows)
-    held = small(large)
-    many = materialized(entries.join(held, "token"), "many")
+    many = materialized(entries.join(large, "token"), "many")
     # In tenths of its prefix, how much of a set is in no large bucket.
     inner = many.groupBy("v", "n").agg(F.count("*").alias("here")).select(
         "v", F.floor(10 - 10 * F.col("here") * 100 / ((100 - SIMILARITY) * F.col("n") + 100)).alias("edge"))
-    many = materialized(many.join(small(materialized(inner, "edges")), "v"), "many")
-    few = entries.join(held, "token", "left_anti")
-    links, labels, first, turn = None, None, None, 0 if not many.isEmpty() else ROUNDS
+    inner, of = counted(inner, "edges")
+    many = materialized(many.join(small(inner, of["rows"]), "v"), "many")
+    few = entries.join(large, "token", "left_anti")
+    links, labels, known, first, turn = None, None, None, None, 0 if of["rows"] else ROUNDS
 
     def labelled(rows: DataFrame) -> DataFrame:
         if labels is None:
             return rows.withColumn("c", F.col("v"))
-        known = small(labels.select(F.col("id").alias("v"), "component"))
         return rows.join(known, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
 
     while True:
         last = turn >= ROUNDS
         found = _rest_pairs(labelled(few), labelled(many)) if last else _star_pairs(labelled(many), turn)
-        found = materialized(found.select("a", "b"), "pairs")
+        found, of = counted(found.select("a", "b"), "pairs")
         made = 0
-        if not found.isEmpty():
-            new = materialized(_verified(found, docs, vertices), "links")
-            made = new.count()
+        if of["rows"]:
+            new, made = _verified(found, of["rows"], docs, vertices)
         if made:
             links = new if links is None else links.unionAll(new)
-            labels = materialized(components(links), "labels")
+            labels, of = counted(components(links), "labels")
+            known = small(labels.select(F.col("id").alias("v"), "component"), of["rows"])
         if last:
             break
         first = made if first is None else first
