@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ MIN_OVERLAP = 0.5
 K1, B = 1.2, 0.75
 #: Items in a block of the index.
 BLOCK = 4
+#: Texts are searched together up to so many words, passages up to so many of their terms.
+WORDS_AT_A_TIME, TERMS_AT_A_TIME = 20_000, 4_096
 #: Names that no table should have.
 TEXT, FOUND_HERE = "_panelcast_text", "_panelcast_leaks"
 FOUND = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double,overlap:double>>"
@@ -38,12 +41,18 @@ _ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u31f0-\u31ff\u340
 _WORD = re.compile(rf"(?=\w)[{_ALONE}]|(?:(?![{_ALONE}])\w)+")
 _SPACED = re.compile(r"\w+")
 _LONE = re.compile(f"[{_ALONE}]")
+#: The first 256 signs, those of no word as space.
+_LATIN = bytes(i if _SPACED.match(chr(i)) else 32 for i in range(256))
 _END = re.compile(r"(?<=[.?!])\s+|(?<=[。？！｡])\s*")
 
 
 def words(text: str | None) -> list[str]:
     """Runs of letters in lower case; a letter of a script without spaces stands alone."""
     text = (text or "").lower()
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        pass
     return (_WORD if _LONE.search(text) else _SPACED).findall(text)
 
 
@@ -93,44 +102,65 @@ class LeakIndex:
             weights += [x / sum(impact) for x in impact]
         self.index = blockmax.BlockMaxIndex(terms, owners, weights, max(1, len(self.terms)), len(entries), BLOCK)
 
-    def retrieve(self, tokens: list[str]) -> dict[int, dict[int, float]]:
-        """Passage number -> {item: score} for all scores of MIN_SCORE or more, the larger one of an item and its
-        question. A block of entries is scored only where the sum of its largest impacts over the passage reaches that."""
-        get = self.terms.get
-        at = np.fromiter((get(w, -1) for w in tokens), "i8", len(tokens))
+    def retrieve(self, texts: list[list[str]]) -> dict[tuple[int, int], dict[int, float]]:
+        """(text, passage number) -> {item: score} for all scores of MIN_SCORE or more, the larger one of an item and
+        its question. A block of entries is scored only where the sum of its largest impacts over the passage reaches that."""
+        sizes = np.fromiter(map(len, texts), "i8", len(texts))
+        at = np.fromiter(map(self.terms.get, chain.from_iterable(texts), repeat(-1)), "i8", sizes.sum())
+        # Chunks are numbered through all texts; a passage has the number of its first.
+        chunks = -(-sizes // self.chunk)
+        base = np.cumsum(chunks) - chunks
         place = np.flatnonzero(at >= 0)
-        if not len(place):
-            return {}
-        n = len(self.terms)
-        chunk, term = place // self.chunk, at[place]
-        later = chunk > 0
-        pairs = np.unique(np.concatenate([chunk * n + term, (chunk[later] - 1) * n + term[later]]))
-        passage, term = pairs // n, pairs % n
+        text = np.repeat(np.arange(len(texts)), sizes)[place]
+        chunk, term = (place - (np.cumsum(sizes) - sizes)[text]) // self.chunk, at[place]
+        n, later = len(self.terms), chunk > 0
+        pairs = (base[text] + chunk) * n + term
+        pairs = np.concatenate([pairs, pairs[later] - n])
+        pairs.sort()
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        passage, term = pairs // max(1, n), pairs % max(1, n)
         first = np.flatnonzero(np.diff(passage, prepend=-1))
         last = np.append(first[1:], len(pairs))
-        bounds = np.add.reduceat(self.index.max[term], first, axis=0)
-        found: dict[int, dict[int, float]] = {}
-        for row, block in np.argwhere(bounds >= MIN_SCORE):
-            asked = term[first[row]:last[row]]
-            scores = self.index.scores(block, asked, np.ones(len(asked)))
-            for k in np.flatnonzero(scores >= MIN_SCORE):
-                items, item = found.setdefault(int(passage[first[row]]), {}), int(self.owner[block * self.index.block + k])
-                items[item] = max(items.get(item, 0.0), float(scores[k]))
+        found: dict[tuple[int, int], dict[int, float]] = {}
+        begin = 0
+        while begin < len(first):
+            end = max(begin + 1, int(np.searchsorted(last, first[begin] + TERMS_AT_A_TIME, "right")))
+            low, high = first[begin], last[end - 1]
+            got = self.index.passing(term[low:high], first[begin:end] - low, last[begin:end] - low, MIN_SCORE)
+            for query, entry, score in zip(*(x.tolist() for x in got), strict=True):
+                number = int(passage[first[begin + query]])
+                # Texts without words have no chunks: the last one that starts here or before is meant.
+                text = int(np.searchsorted(base, number, "right")) - 1
+                items, item = found.setdefault((text, number - int(base[text])), {}), int(self.owner[entry])
+                items[item] = max(items.get(item, 0.0), score)
+            begin = end
         return found
 
-    def leaks(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
-        """(item_id, score, question, answer and whole overlap) of each item that a passage holds."""
-        tokens, best = words(text), {}
-        for passage, items in self.retrieve(tokens).items():
-            have = shingles(tokens[passage * self.chunk:(passage + 2) * self.chunk])
+    def leaks(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float, float]]]:
+        """(item_id, score, question, answer and whole overlap) of each item that a passage holds, of each text."""
+        found = []
+        cut, held = [], 0
+        for text in texts:
+            cut.append(words(text))
+            held += len(cut[-1])
+            if held >= WORDS_AT_A_TIME:
+                found += self._leaks(cut)
+                cut, held = [], 0
+        return found + self._leaks(cut)
+
+    def _leaks(self, texts: list[list[str]]) -> list[list[tuple[int, float, float, float, float]]]:
+        best: list[dict[int, tuple[float, float, float, float]]] = [{} for _ in texts]
+        for (text, passage), items in self.retrieve(texts).items():
+            have = shingles(texts[text][passage * self.chunk:(passage + 2) * self.chunk])
             for k, score in items.items():
                 q, a, whole = (len(s & have) / len(s) if s else 0.0 for s in self.sets[k])
                 if max(whole, q) >= MIN_OVERLAP:
-                    best[k] = max(best.get(k, (0.0,)), (whole, score, q, a))
-        found = [(self.ids[k], s, q, a, whole) for k, (whole, s, q, a) in sorted(best.items())]
+                    best[text][k] = max(best[text].get(k, (0.0,)), (whole, score, q, a))
+        found = [[(self.ids[k], s, q, a, whole) for k, (whole, s, q, a) in sorted(x.items())] for x in best]
         for size, phrases in self.phrases.items():
-            held = {p for p in zip(*(tokens[i:] for i in range(size)), strict=False) if p in phrases}
-            found += [(item, 1.0, 1.0, 1.0, 1.0) for item in sorted(i for p in held for i in phrases[p])]
+            for tokens, out in zip(texts, found, strict=True):
+                held = {p for p in zip(*(tokens[i:] for i in range(size)), strict=False) if p in phrases}
+                out += [(item, 1.0, 1.0, 1.0, 1.0) for item in sorted(i for p in held for i in phrases[p])]
         return found
 
 
@@ -167,7 +197,7 @@ def _leaks_of(index: LeakIndex):
     names = ("item_id", "score", "question_overlap", "answer_overlap", "overlap")
 
     def leaks(texts: pd.Series) -> pd.Series:
-        found = [[dict(zip(names, r, strict=True)) for r in index.leaks(x)] for x in strings(texts)]
+        found = [[dict(zip(names, r, strict=True)) for r in x] for x in index.leaks(strings(texts))]
         return pd.Series(found, dtype=object)
 
     # Marked so that a filter on the result never makes it run twice.
